@@ -128,7 +128,7 @@ VIEWS = {
     "v_reviews": """
         SELECT CAST(l_partkey AS STRING) AS review_summary_id,
                CASE WHEN l_partkey % 103 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END AS product_id,
-               round(avg(CAST(CAST(l_quantity AS INT) % 50 AS DOUBLE) / 10), 2) AS average_rating,
+               floor(CAST(sum(CAST(l_quantity AS INT) % 50) AS DOUBLE) * 10 / count(*)) / 100 AS average_rating,
                CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 17 = 0 THEN 0 ELSE CAST(count(*) AS INT) END AS rating_count,
                CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE CAST(l_partkey % 25 AS DOUBLE) / 10 - 1.2 END AS sentiment_score
         FROM {lineitem} GROUP BY l_partkey
@@ -312,13 +312,16 @@ class Tables:
         each candidate is then verified on the whole token lists.
         """
         docs = self["v_catalog"].select("product_id", tokens(F.col("searchable_text")).alias("toks"))
-        queries = self["v_queries"].select("query_id", tokens(F.col("base_query")).alias("toks"))
-        uniq = queries.select("query_id", F.explode(F.array_distinct("toks")).alias("term"))
-        doc_terms = token_rows(self["v_catalog"], distinct=True).select("product_id", "term")
-        doc_terms = doc_terms.join(uniq.select("term").distinct(), "term", "left_semi")
-        df = document_frequency(doc_terms)
+        queries = self["v_queries"].select("query_id", tokens(F.col("base_query")).alias("qtoks"))
+        uniq = queries.select("query_id", F.explode(F.array_distinct("qtoks")).alias("term"))
+        # only terms that some query asks for, kept together per document
+        doc_terms = (
+            token_rows(self["v_catalog"], distinct=True).select("product_id", "term")
+            .join(uniq.select("term").distinct(), "term", "left_semi")
+            .repartition(F.col("product_id"))
+        )
         ranked = (
-            uniq.join(df, "term", "left")
+            uniq.join(document_frequency(doc_terms), "term", "left")
             .groupBy("query_id")
             .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("terms"))
         )
@@ -327,13 +330,16 @@ class Tables:
             "query_id",
             F.explode(F.slice(F.col("terms"), F.lit(1), (n - F.ceil(n * F.lit(0.6)) + 1).cast("int"))).alias("t"),
         ).select("query_id", F.col("t.term").alias("term"))
-        pairs = doc_terms.join(rare, "term").select("query_id", "product_id").distinct()
+        pairs = doc_terms.join(rare, "term").select("product_id", "query_id").distinct()
+        asked = doc_terms.groupBy("product_id").agg(F.collect_list("term").alias("dterms"))
         joined = (
-            pairs.join(docs, "product_id")
-            .join(queries.withColumnRenamed("toks", "qtoks"), "query_id")
+            pairs.join(asked, "product_id")
+            .join(queries, "query_id")
             .withColumn("n", F.size(F.array_distinct("qtoks")))
-            .withColumn("hits", F.size(F.array_intersect("toks", "qtoks")))
+            .withColumn("hits", F.size(F.array_intersect(F.array_distinct("qtoks"), "dterms")))
             .filter(F.col("hits") >= F.col("n") * F.lit(0.6))
+            .drop("dterms")
+            .join(docs, "product_id")
         )
         pad = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
         exact = F.contains(pad("toks"), pad("qtoks"))
