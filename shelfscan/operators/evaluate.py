@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.functions.ranking import top_k
-
 
 def label_score(label: Column) -> Column:
     """Exact 1.0, Partial 0.75, anything else 0.0; letter case and spaces ignored."""
@@ -24,13 +22,18 @@ def _relevant(grade: Column, min_grade: float) -> Column:
     return grade >= min_grade if min_grade > 0 else grade > 0
 
 
-def ideal_dcg(grades: DataFrame, ks: Sequence[int], gain: str = "linear") -> DataFrame:
-    """Best reachable DCG per query and cut-off; only the top grades are shuffled."""
-    best = top_k(grades, ["query_id"], [F.col("label_score").desc(), F.col("product_id")], max(ks), "pos")
-    part = _gain(F.col("label_score"), gain) / F.log2(F.col("pos") + 1)
-    return best.groupBy("query_id").agg(
-        *[F.sum(F.when(F.col("pos") <= k, part).otherwise(0.0)).alias(f"idcg_{k}") for k in ks]
-    )
+def _ideal_dcg(levels: Column, k: int, gain: str) -> Column:
+    """Best reachable DCG at ``k`` from (grade, number of labels) pairs, best grade first."""
+
+    def add(acc: Column, level: Column) -> Column:
+        seen = acc["seen"]
+        upto = F.least(seen + level["n"], F.lit(k).cast("long"))
+        places = F.when(upto > seen, F.sequence(seen + 1, upto)).otherwise(F.array().cast("array<bigint>"))
+        discount = F.aggregate(places, F.lit(0.0), lambda a, p: a + 1 / F.log2(p + 1))
+        return F.struct((seen + level["n"]).alias("seen"), (acc["sum"] + _gain(level["grade"], gain) * discount).alias("sum"))
+
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("sum"))
+    return F.aggregate(levels, start, add, lambda acc: acc["sum"])
 
 
 def per_query(
@@ -47,28 +50,34 @@ def per_query(
     ``min_grade`` 0 means any positive grade counts as relevant.
     ``empty_relevant`` is the recall of a query without relevant labels.
     """
+    # one full join holds hits and labels; counting per (query, grade) first
+    # leaves a handful of rows per query, however many labels it has
     judged = hits.select("query_id", "product_id", "rank").join(
-        grades.select("query_id", "product_id", "label_score"), ["query_id", "product_id"], "left"
+        grades.select("query_id", "product_id", "label_score"), ["query_id", "product_id"], "full_outer"
     )
-    grade = F.coalesce("label_score", F.lit(0.0))
-    rel = F.coalesce(_relevant(F.col("label_score"), min_grade), F.lit(False))
-    found = judged.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("num_retrieved"),
-        F.min(F.when(rel, F.col("rank"))).alias("first_rank"),
-        *[F.count_if(rel & (F.col("rank") <= k)).alias(f"hits_{k}") for k in ks],
-        *[
-            F.sum(F.when(F.col("rank") <= k, _gain(grade, gain) / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"dcg_{k}")
-            for k in ks
-        ],
+    grade = F.coalesce("grade", F.lit(0.0))
+    rel = F.coalesce(_relevant(F.col("grade"), min_grade), F.lit(False))
+    rank = F.col("rank")
+    per_grade = judged.groupBy("query_id", F.col("label_score").alias("grade")).agg(
+        F.count("rank").alias("n_hits"),
+        F.count("label_score").alias("n_labels"),
+        F.min("rank").alias("first_rank"),
+        *[F.count_if(rank <= k).alias(f"n_{k}") for k in ks],
+        *[F.sum(F.when(rank <= k, 1 / F.log2(rank + 1)).otherwise(0.0)).alias(f"disc_{k}") for k in ks],
     )
-    known = grades.groupBy("query_id").agg(
-        F.count_if(_relevant(F.col("label_score"), min_grade)).alias("num_relevant")
+    level = F.when(F.col("n_labels") > 0, F.struct("grade", F.col("n_labels").alias("n")))
+    found = per_grade.groupBy("query_id").agg(
+        F.sum("n_hits").alias("num_retrieved"),
+        F.sum(F.when(rel, F.col("n_labels")).otherwise(0)).alias("num_relevant"),
+        F.min(F.when(rel, F.col("first_rank"))).alias("first_rank"),
+        F.sort_array(F.collect_list(level), asc=False).alias("levels"),
+        *[F.sum(F.when(rel, F.col(f"n_{k}")).otherwise(0)).alias(f"hits_{k}") for k in ks],
+        *[F.sum(_gain(grade, gain) * F.col(f"disc_{k}")).alias(f"dcg_{k}") for k in ks],
     )
     joined = (
         queries.select("query_id").distinct()
         .join(found, "query_id", "left")
-        .join(known, "query_id", "left")
-        .join(ideal_dcg(grades, ks, gain), "query_id", "left")
+        .withColumns({f"idcg_{k}": _ideal_dcg(F.col("levels"), k, gain) for k in ks})
     )
     n_rel = F.coalesce("num_relevant", F.lit(0))
 

@@ -96,11 +96,11 @@ VIEWS = {
                     ELSE CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_suppkey AS STRING) END AS price_id,
                CAST(l_partkey AS STRING) AS product_id,
                CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_orderkey % 61 = 0 THEN 'USD' ELSE ' INR ' END AS currency,
-               CASE WHEN l_orderkey % 47 = 0 THEN -1.0 ELSE 1.0 END * round(l_extendedprice / l_quantity, 2) AS list_price,
+               CASE WHEN l_orderkey % 47 = 0 THEN -1.0 ELSE 1.0 END * floor(l_extendedprice / l_quantity * 100) / 100 AS list_price,
                CASE WHEN l_orderkey % 59 = 0 THEN NULL
-                    WHEN l_orderkey % 53 = 0 THEN round(l_extendedprice / l_quantity, 2) + 10
-                    WHEN l_orderkey % 47 = 0 THEN -1.0 * round(l_extendedprice / l_quantity, 2)
-                    ELSE round(l_extendedprice / l_quantity * (1 - l_discount), 2) END AS selling_price,
+                    WHEN l_orderkey % 53 = 0 THEN floor(l_extendedprice / l_quantity * 100) / 100 + 10
+                    WHEN l_orderkey % 47 = 0 THEN -1.0 * floor(l_extendedprice / l_quantity * 100) / 100
+                    ELSE floor(l_extendedprice / l_quantity * (1 - l_discount) * 100) / 100 END AS selling_price,
                CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_linenumber = 1 THEN ' Premium' ELSE 'Budget' END AS price_bucket,
                CAST(l_shipdate AS DATE) AS effective_from,
                CASE WHEN l_orderkey % 19 = 0 THEN NULL
@@ -151,6 +151,15 @@ VIEWS = {
                    || CASE WHEN item_id % 7 = 0 THEN ' under 500' ELSE '' END AS query
         FROM {benchmark}
     """,
+    "v_raw_labels": """
+        SELECT CASE WHEN doc_id % 61 = 0 THEN NULL ELSE CAST(doc_id AS STRING) || '-' || CAST(copy AS STRING) END AS id,
+               CAST(doc_id % 47 AS STRING) AS query_id, CAST(doc_id AS STRING) AS product_id,
+               CASE WHEN doc_id % 53 = 0 THEN NULL WHEN doc_id % 59 = 0 THEN 'maybe' WHEN quality = 1 AND toxic = 0 THEN ' exact'
+                    WHEN quality = 1 THEN 'PARTIAL ' ELSE 'irrelevant' END AS label,
+               doc_id * 2 + copy AS arrival
+        FROM (SELECT doc_id, quality, toxic, 0 AS copy FROM {labels}
+              UNION ALL SELECT doc_id, quality, toxic, 1 AS copy FROM {labels} WHERE doc_id % 29 = 0) AS src
+    """,
     "v_intents": """
         SELECT query_id, query AS original_query, base_query AS rewritten_query,
                CASE WHEN CAST(query_id AS INT) % 3 = 0 THEN 'SRC1' END AS category,
