@@ -96,10 +96,10 @@ VIEWS = {
                     ELSE CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_suppkey AS STRING) END AS price_id,
                CAST(l_partkey AS STRING) AS product_id,
                CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_orderkey % 61 = 0 THEN 'USD' ELSE ' INR ' END AS currency,
-               CASE WHEN l_orderkey % 47 = 0 THEN -1.0 ELSE 1.0 END * floor(l_extendedprice / l_quantity * 100) / 100 AS list_price,
+               CAST(CASE WHEN l_orderkey % 47 = 0 THEN -1 ELSE 1 END AS DOUBLE) * floor(l_extendedprice / l_quantity * 100) / 100 AS list_price,
                CASE WHEN l_orderkey % 59 = 0 THEN NULL
                     WHEN l_orderkey % 53 = 0 THEN floor(l_extendedprice / l_quantity * 100) / 100 + 10
-                    WHEN l_orderkey % 47 = 0 THEN -1.0 * floor(l_extendedprice / l_quantity * 100) / 100
+                    WHEN l_orderkey % 47 = 0 THEN CAST(-1 AS DOUBLE) * floor(l_extendedprice / l_quantity * 100) / 100
                     ELSE floor(l_extendedprice / l_quantity * (1 - l_discount) * 100) / 100 END AS selling_price,
                CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_linenumber = 1 THEN ' Premium' ELSE 'Budget' END AS price_bucket,
                CAST(l_shipdate AS DATE) AS effective_from,
