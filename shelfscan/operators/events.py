@@ -119,9 +119,11 @@ def latency_windows(log: DataFrame, width: str = "1 day") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("errors"), F.count_if(slow).alias("slow")
     )
     total = F.sum("n")
+    # whole microseconds add up to the same sum in any order
+    micros = F.sum(F.round(F.col("latency_ms") * 1000).cast("long") * F.col("n"))
     pct = lambda p: F.round(F.percentile("latency_ms", F.lit(p), F.col("n")), 6)
     return counted.groupBy("w").agg(
-        total.alias("searches"), F.round(F.sum(F.col("latency_ms") * F.col("n")) / total, 6).alias("avg_ms"),
+        total.alias("searches"), F.round(micros / total / 1000, 6).alias("avg_ms"),
         pct(0.5).alias("p50_ms"), pct(0.95).alias("p95_ms"), pct(0.99).alias("p99_ms"),
         F.round(F.sum("errors") / total, 6).alias("error_rate"), F.round(F.sum("slow") / total, 6).alias("slow_share"),
     ).select(start_text(), "searches", "avg_ms", "p50_ms", "p95_ms", "p99_ms", "error_rate", "slow_share")

@@ -60,7 +60,7 @@ def session_context(t: Tables):
 
 @register(
     "latency_windows",
-    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS searches, round(avg(latency_ms), 6) AS avg_ms,
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS searches, round(sum(CAST(round(latency_ms * 1000) AS BIGINT)) / count(*) / 1000, 6) AS avg_ms,
       round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms,
       round(count(*) FILTER (status = 'FAILED') / count(*), 6) AS error_rate, round(count(*) FILTER (latency_ms > 2000) / count(*), 6) AS slow_share
     FROM v_search_log GROUP BY 1""",
@@ -154,7 +154,7 @@ def stream_ingest(t: Tables):
     """The events table as a stream, split into valid rows and quarantine."""
     spark = t.spark
     base = scratch_path(spark, "stream-ingest")
-    stream = jobs.stream_parquet(spark, t.path("events"), t["events"].schema)
+    stream = jobs.stream_parquet(spark, t.path("{events}"), t["events"].schema)
     target, rejects = f"{base}/valid", f"{base}/rejects"
     jobs.checked_ingest(stream, event_rules, "events", "event_id", target, rejects, f"{base}/checkpoint")
     good = spark.read.parquet(target).select(F.lit("valid").alias("outcome"), "event_id")

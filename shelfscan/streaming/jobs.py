@@ -19,7 +19,7 @@ from shelfscan.session import scratch_path
 
 
 def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
-    """Files of ``path`` as a stream."""
+    """Files of a folder, or of a glob, as a stream (a single file is given as a glob)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
