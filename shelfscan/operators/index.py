@@ -22,7 +22,11 @@ def tokenized(docs: DataFrame, text: str = "searchable_text", id_col: str = "pro
     )
 
 
-def token_rows(docs: DataFrame, text: str = "searchable_text", distinct: bool = False) -> DataFrame:
+# A term no text can hold: its posting stands for the document itself.
+DOCUMENT = ""
+
+
+def token_rows(docs: DataFrame, text: str = "searchable_text", distinct: bool = False, document_rows: bool = False) -> DataFrame:
     """(product_id, dl, term), one row per token or per distinct token.
 
     The outer explode keeps Spark from inferring a "has tokens" filter below
@@ -30,24 +34,41 @@ def token_rows(docs: DataFrame, text: str = "searchable_text", distinct: bool =
     texts are dropped here.
     """
     toks = F.array_distinct("toks") if distinct else F.col("toks")
+    if document_rows:
+        toks = F.array_append(toks, F.lit(DOCUMENT))
     rows = tokenized(docs, text).select("product_id", "dl", F.explode_outer(toks).alias("term"))
     return rows.filter(F.col("term").isNotNull())
 
 
-def postings(docs: DataFrame, text: str = "searchable_text", terms: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, text: str = "searchable_text") -> DataFrame:
     """(product_id, dl, term, tf), distributed by document.
 
-    With ``terms`` only the postings of those terms are built. One shuffle on
-    the (unique) document id; later grouping by document needs no other.
+    One shuffle on the (unique) document id; later grouping by document needs
+    no other.
     """
-    exploded = token_rows(docs, text)
-    if terms is not None:
-        exploded = exploded.join(terms.select("term").distinct(), "term", "left_semi")
-    return (
-        exploded.repartition(F.col("product_id"))
-        .groupBy("product_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return _counted(token_rows(docs, text))
+
+
+def query_postings(docs: DataFrame, terms: DataFrame, text: str = "searchable_text") -> DataFrame:
+    """Postings of the listed terms, plus one row per document.
+
+    The document rows give the corpus statistics from the same shuffle as the
+    postings, so the texts are tokenised once. A term is never filtered out
+    afterwards: that would be pushed below the shuffle and undo its reuse.
+    """
+    doc_row = terms.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))
+    wanted = terms.select("term").distinct().union(doc_row)
+    return _counted(token_rows(docs, text, document_rows=True).join(wanted, "term", "left_semi"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.col("product_id")).groupBy("product_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def posting_stats(index: DataFrame) -> DataFrame:
+    """:func:`corpus_stats` from the document rows of :func:`query_postings`."""
+    is_doc = F.col("term") == DOCUMENT
+    return index.agg(F.count_if(is_doc).alias("n"), F.avg(F.when(is_doc, F.col("dl"))).alias("avgdl"))
 
 
 def document_stats(docs: DataFrame, text: str = "searchable_text") -> DataFrame:

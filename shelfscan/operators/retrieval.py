@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfscan.functions.ranking import top_hits
 from shelfscan.functions.text import tokens
-from shelfscan.operators.index import corpus_stats, document_frequency, document_stats, postings
+from shelfscan.operators.index import document_frequency, posting_stats, query_postings
 
 # Queries up to this many are sent to every task; more are spread over a grid.
 MAX_BROADCAST_QUERIES = 2048
@@ -27,15 +27,16 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
-def bm25_scores(q_terms: DataFrame, index: DataFrame, lengths: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_scores(q_terms: DataFrame, index: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 of every document that shares a term with a query.
 
-    ``index`` is distributed by document, so when the query terms fit a
-    broadcast (Spark decides by their size) the per-document sums need no
-    further shuffle. A larger batch is joined by term, where a hot term is
-    split by the adaptive skew join.
+    ``stats`` holds the corpus size and mean length (one row). ``index`` is
+    distributed by document, so when the query terms fit a broadcast (Spark
+    decides by their size) the per-document sums need no further shuffle. A
+    larger batch is joined by term, where a hot term is split by the adaptive
+    skew join.
     """
-    stats = corpus_stats(lengths).select(F.struct("n", "avgdl")).scalar()
+    stats = stats.select(F.struct("n", "avgdl")).scalar()
     n, avgdl = stats["n"], stats["avgdl"]
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = q_terms.join(document_frequency(index), "term").select("query_id", "term", idf.alias("idf"))
@@ -52,7 +53,8 @@ def bm25_scores(q_terms: DataFrame, index: DataFrame, lengths: DataFrame, k1: fl
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "query", text: str = "searchable_text") -> DataFrame:
     """Top ``k`` documents per query, straight from the documents."""
     q_terms = query_terms(queries, query)
-    return top_hits(bm25_scores(q_terms, postings(docs, text, q_terms), document_stats(docs, text)), k)
+    index = query_postings(docs, q_terms, text)
+    return top_hits(bm25_scores(q_terms, index, posting_stats(index)), k)
 
 
 # ── dense ────────────────────────────────────────────────────────────────

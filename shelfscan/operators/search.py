@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfscan.functions.ranking import top_hits, top_k
 from shelfscan.functions.text import collapse_spaces, display, tokens, words
-from shelfscan.operators.index import corpus_stats, document_frequency, document_stats, token_rows
+from shelfscan.operators.index import document_frequency, posting_stats, query_postings
 from shelfscan.operators.retrieval import query_terms
 
 # Words ignored when matching a query against titles.
@@ -176,9 +176,9 @@ def request_filter(rows: DataFrame, requests: DataFrame, intents: DataFrame | No
 def term_weights(queries: DataFrame, docs: DataFrame, query: str = "query", text: str = "searchable_text") -> DataFrame:
     """(query_id, weights array<struct<term, idf>>); an unseen term has the largest idf."""
     q_terms = query_terms(queries, query)
-    seen = token_rows(docs, text, distinct=True).select("product_id", "term")
-    df = document_frequency(seen.join(q_terms.select("term").distinct(), "term", "left_semi"))
-    n = corpus_stats(document_stats(docs, text)).select("n").scalar()
+    index = query_postings(docs, q_terms, text)  # shared with the lexical retrieval of the same batch
+    df = document_frequency(index)
+    n = posting_stats(index).select(F.struct("n", "avgdl")).scalar()["n"]
     freq = F.coalesce("df", F.lit(0))
     idf = F.log(1 + (n - freq + 0.5) / (freq + 0.5))
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfscan.operators import evaluate, ops
 from shelfscan.plans.registry import register
 from shelfscan.plans.relevance import bm25_hits, grades
-from shelfscan.session import scratch_path
+from shelfscan.session import cut_lineage, scratch_path
 from shelfscan.sources import readers, sinks
 from shelfscan.sources.fixtures import Tables
 
@@ -18,7 +18,9 @@ _CSV = ["asin", "title", "categories", "price", "mrp", "discount", "stars", "num
 def src_csv_strings(t: Tables):
     """S3: the raw catalog written as CSV and read back as strings."""
     path = scratch_path(t.spark, "csv")
-    t["v_product_raw"].select(*_CSV, "arrival").write.options(header=True, quote='"', escape='"').csv(path)
+    t["v_product_raw"].select(*_CSV, "arrival").write.options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
     return readers.read_csv_strings(t.spark, path)
 
 
@@ -123,7 +125,8 @@ def ops_append(t: Tables):
 def eval_report_export(t: Tables):
     """Written by Spark and read back; the numbers are those of the metric queries."""
     folder = scratch_path(t.spark, "report")
-    report = evaluate.per_query(bm25_hits(t), grades(t), t["v_queries"])
+    # three outputs, one evaluation
+    report = cut_lineage(evaluate.per_query(bm25_hits(t), grades(t), t["v_queries"]))
     paths = sinks.write_report(evaluate.macro_average(report), evaluate.rounded(report, 4), folder)
     return t.spark.read.csv(paths["evaluation_summary"], header=True, schema="metric string, average_value double")
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import re
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -300,11 +299,17 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return os.path.join(self.sf_dir, f"{name}.parquet")
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._build(name)
+        return self._frames[name]
+
+    def _build(self, name: str) -> DataFrame:
         if name == "v_labels":
             return self.labels
         if name in VIEWS:
@@ -312,7 +317,7 @@ class Tables:
             return self.spark.sql(sql, **{dep: self[dep] for dep in set(_NAME.findall(VIEWS[name]))})
         return read_table(self.spark, self.path(name), SPREAD.get(name))
 
-    @cached_property
+    @property
     def labels(self) -> DataFrame:
         """Graded query–product pairs sharing at least 0.6 of the query's tokens.
 

@@ -23,9 +23,13 @@ def read_table(spark: SparkSession, source: str, key: str | None = None) -> Data
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column a string, no inference, NULL as ''."""
-    options = {"header": True, "inferSchema": False, "multiLine": True, "quote": '"', "escape": '"'}
+def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV with a header, every column a string, no inference, NULL as ''.
+
+    A quoted line break makes a file one task; where the texts hold none,
+    ``multi_line=False`` lets Spark split large files.
+    """
+    options = {"header": True, "inferSchema": False, "multiLine": multi_line, "quote": '"', "escape": '"'}
     return spark.read.options(**options).csv(path).fillna("")
 
 
