@@ -103,8 +103,9 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     payload = sorted(c for c in old.columns if c != key)
 
     def hashed(df: DataFrame, name: str) -> DataFrame:
-        # two independent 64-bit hashes: an update must not be missed
-        cells = [F.struct(*[F.col(c) for c in payload])]
+        # Spark's hashes skip NULLs, so each cell goes in with its NULL flag;
+        # two different hashes make a missed update practically impossible
+        cells = [x for c in payload for x in (F.col(c), F.col(c).isNull())]
         return df.select(key, F.struct(F.xxhash64(*cells), F.hash(*cells)).alias(name))
 
     change = (

@@ -153,6 +153,8 @@ def _grid(queries: DataFrame, docs: DataFrame, cell: str, k: int, skip_self: boo
 
     d = spread(docs, "product_id", "n_d", "n_q", "block_d", "block_q")
     q = spread(queries, "query_id", "n_q", "n_d", "block_q", "block_d")
+    # queries may be the products themselves: fresh columns keep the two sides apart
+    q = q.select(*[F.col(c).alias(c) for c in q.columns])
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
