@@ -41,28 +41,27 @@ def token_rows(docs: DataFrame, text: str = "searchable_text", distinct: bool =
 
 
 def postings(docs: DataFrame, text: str = "searchable_text") -> DataFrame:
-    """(product_id, dl, term, tf), distributed by document.
-
-    One shuffle on the (unique) document id; later grouping by document needs
-    no other.
-    """
+    """(product_id, dl, term, tf): repeats are combined in the map tasks before the shuffle."""
     return _counted(token_rows(docs, text))
 
 
 def query_postings(docs: DataFrame, terms: DataFrame, text: str = "searchable_text") -> DataFrame:
-    """Postings of the listed terms, plus one row per document.
+    """Postings of the listed terms, plus one row per document, distributed by document.
 
+    Only the tokens that a query asks for are shuffled, once, on the (unique)
+    document id; grouping by document and query later needs no other shuffle.
     The document rows give the corpus statistics from the same shuffle as the
     postings, so the texts are tokenised once. A term is never filtered out
     afterwards: that would be pushed below the shuffle and undo its reuse.
     """
     doc_row = terms.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))
     wanted = terms.select("term").distinct().union(doc_row)
-    return _counted(token_rows(docs, text, document_rows=True).join(wanted, "term", "left_semi"))
+    rows = token_rows(docs, text, document_rows=True).join(wanted, "term", "left_semi")
+    return _counted(rows.repartition(F.col("product_id")))
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    return rows.repartition(F.col("product_id")).groupBy("product_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.groupBy("product_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def posting_stats(index: DataFrame) -> DataFrame:

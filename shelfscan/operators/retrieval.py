@@ -12,8 +12,11 @@ from shelfscan.functions.ranking import top_hits
 from shelfscan.functions.text import tokens
 from shelfscan.operators.index import document_frequency, posting_stats, query_postings
 
-# Queries up to this many are sent to every task; more are spread over a grid.
+# Queries within both bounds are sent to every task; more are spread over a grid.
 MAX_BROADCAST_QUERIES = 2048
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# Similarities held at once: a block of documents times this many queries.
+QUERY_SLICE = 256
 # Rows of one side that meet in one task of the grid.
 BLOCK_DOCS = 16384
 BLOCK_QUERIES = 2048
@@ -82,17 +85,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _block_hits(q_ids, q_mat, d_ids, d_mat, k, skip_self):
     """Best ``k`` of a block of documents for each query of a block."""
-    sims = np.round(q_mat @ d_mat.T, 6)
     out_q, out_d, out_s = [], [], []
-    for i, qid in enumerate(q_ids):
-        row, ids = sims[i], d_ids
-        if skip_self:
-            keep = d_ids != qid
-            row, ids = row[keep], d_ids[keep]
-        best = _best(row, ids, k)
-        out_q.append(np.full(len(best), qid, dtype=object))
-        out_d.append(ids[best])
-        out_s.append(row[best])
+    for first in range(0, len(q_ids), QUERY_SLICE):
+        sims = np.round(q_mat[first : first + QUERY_SLICE] @ d_mat.T, 6)
+        for qid, row in zip(q_ids[first : first + QUERY_SLICE], sims):
+            ids = d_ids
+            if skip_self:
+                keep = d_ids != qid
+                row, ids = row[keep], d_ids[keep]
+            best = _best(row, ids, k)
+            out_q.append(np.full(len(best), qid, dtype=object))
+            out_d.append(ids[best])
+            out_s.append(row[best])
     if not out_q:
         return pd.DataFrame({"query_id": [], "product_id": [], "score": []})
     return pd.DataFrame(
@@ -141,7 +145,8 @@ def _grid(queries: DataFrame, docs: DataFrame, cell: str, k: int, skip_self: boo
     def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
         return df.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
-    sizes = blocks(docs, BLOCK_DOCS, "n_d").join(blocks(queries, BLOCK_QUERIES, "n_q"), cell)
+    # one row per cell: 1 for the exact search, bands * 2^bits for the hashed one
+    sizes = F.broadcast(blocks(docs, BLOCK_DOCS, "n_d").join(blocks(queries, BLOCK_QUERIES, "n_q"), cell))
 
     def spread(df: DataFrame, id_col: str, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
         return (
@@ -172,13 +177,14 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 20, skip_self: bool
     """Exact cosine top ``k`` per query: (query_id, product_id, rank, score).
 
     At most ``max_broadcast`` + 1 queries are looked at to choose the plan:
-    a batch within the bound is sent to every task, a larger one is answered
-    on a grid of bounded blocks.
+    a batch within the bounds (rows and bytes) is sent to every task, a larger
+    one is answered on a grid of bounded blocks.
     """
     q = queries.select("query_id", "embedding")
     d = docs.select("product_id", "embedding")
     probe = q.limit(max_broadcast + 1).collect()
-    if len(probe) <= max_broadcast:
+    size = sum(8 * len(r["embedding"] or ()) for r in probe)
+    if len(probe) <= max_broadcast and size <= MAX_BROADCAST_BYTES:
         hits = _scan_with_all_queries(probe, d, k, skip_self)
     else:
         one = F.lit(0).alias("cell")

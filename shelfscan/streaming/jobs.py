@@ -111,7 +111,8 @@ class SessionState:
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         columns = [f.split()[0] for f in self.SCHEMA.split(", ")]
-        everything = self.events(batch_id - 1).unionByName(batch.select(*columns))
+        # four lists are derived from the same rows
+        everything = self.events(batch_id - 1).unionByName(batch.select(*columns)).persist()
         searches = ev.recent_searches(everything)
         views = ev.recent_views(everything).withColumn("kind", F.lit("view")).withColumn("action", F.lit(None).cast("string"))
         # a cart item re-enters as an add before all later events, in cart order
@@ -126,6 +127,7 @@ class SessionState:
         for part in (searches, views, told):
             out = out.unionByName(part.select(*columns))
         out.write.mode("overwrite").parquet(self.path(batch_id))
+        everything.unpersist()
         self.latest = batch_id
 
 
@@ -138,11 +140,12 @@ def checked_ingest(
     """Valid rows to ``target``, the first failed rule of the others to ``rejects``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = quality.check(batch, rules())
+        checked = quality.check(batch, rules()).persist()
         folder = f"batch={batch_id}"
         quality.valid(checked).write.mode("overwrite").parquet(os.path.join(target, folder))
         bad = quality.quarantine(checked, table, F.col(key), run_id)
         bad.write.mode("overwrite").parquet(os.path.join(rejects, folder))
+        checked.unpersist()
 
     run_available(stream, handle, checkpoint)
 
