@@ -10,11 +10,11 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscan.functions.text import tokens
-from shelfscan.operators.index import document_frequency, token_rows
+from shelfscan.operators.index import token_rows
 from shelfscan.sources.readers import read_table
 
 VIEWS = {
@@ -293,6 +293,11 @@ def with_views(sql: str) -> str:
 SPREAD = {"documents": "doc_id"}
 
 
+def pad(words) -> Column:
+    """Words as one text with a space on both sides."""
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
 class Tables:
     """Lazy access to the supplied tables and the adapter views over them."""
 
@@ -321,42 +326,33 @@ class Tables:
     def labels(self) -> DataFrame:
         """Graded query–product pairs sharing at least 0.6 of the query's tokens.
 
-        A pair with that share holds one of the query's rarest
-        ``n - ceil(0.6 n) + 1`` tokens, so only those tokens make candidates;
-        each candidate is then verified on the whole token lists.
+        Shared tokens are counted where the document's tokens are; whole texts
+        are only compared for pairs that share all of them.
         """
-        docs = self["v_catalog"].select("product_id", tokens(F.col("searchable_text")).alias("toks"))
         queries = self["v_queries"].select("query_id", tokens(F.col("base_query")).alias("qtoks"))
         uniq = queries.select("query_id", F.explode(F.array_distinct("qtoks")).alias("term"))
-        # only terms that some query asks for, kept together per document
         doc_terms = (
             token_rows(self["v_catalog"], distinct=True).select("product_id", "term")
             .join(uniq.select("term").distinct(), "term", "left_semi")
             .repartition(F.col("product_id"))
         )
-        ranked = (
-            uniq.join(document_frequency(doc_terms), "term", "left")
-            .groupBy("query_id")
-            .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("terms"))
-        )
-        n = F.size("terms")
-        rare = ranked.select(
-            "query_id",
-            F.explode(F.slice(F.col("terms"), F.lit(1), (n - F.ceil(n * F.lit(0.6)) + 1).cast("int"))).alias("t"),
-        ).select("query_id", F.col("t.term").alias("term"))
-        pairs = doc_terms.join(rare, "term").select("product_id", "query_id").distinct()
-        asked = doc_terms.groupBy("product_id").agg(F.collect_list("term").alias("dterms"))
-        joined = (
-            pairs.join(asked, "product_id")
-            .join(queries, "query_id")
-            .withColumn("n", F.size(F.array_distinct("qtoks")))
-            .withColumn("hits", F.size(F.array_intersect(F.array_distinct("qtoks"), "dterms")))
+        wanted = queries.select("query_id", F.size(F.array_distinct("qtoks")).alias("n"), pad("qtoks").alias("phrase"))
+        shared = (
+            doc_terms.join(uniq, "term").groupBy("product_id", "query_id").agg(F.count(F.lit(1)).alias("hits"))
+            .join(wanted, "query_id")
             .filter(F.col("hits") >= F.col("n") * F.lit(0.6))
-            .drop("dterms")
-            .join(docs, "product_id")
         )
-        pad = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-        exact = F.contains(pad("toks"), pad("qtoks"))
+        whole = shared.filter(F.col("hits") == F.col("n"))
+        docs = (
+            self["v_catalog"].join(whole.select("product_id").distinct(), "product_id", "left_semi")
+            .select("product_id", pad(tokens(F.col("searchable_text"))).alias("body"))
+        )
+        phrases = (
+            whole.join(docs, "product_id").filter(F.contains("body", "phrase"))
+            .select("query_id", "product_id", F.lit(True).alias("exact"))
+        )
+        joined = shared.join(phrases, ["query_id", "product_id"], "left")
+        exact = F.coalesce("exact", F.lit(False))
         case = F.col("product_id").cast("int") % 3
         label = (
             F.when(exact, F.when(case == 0, "exact").when(case == 1, "EXACT").otherwise("Exact"))
