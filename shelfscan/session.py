@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +31,22 @@ def build_session(app: str = "shelfscan", master: str | None = None, **conf) ->
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per context: Python tasks import it by name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfscan_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.parent.is_dir():  # a package that came as an archive is on the workers' path already
+        folder = tempfile.mkdtemp(prefix="shelfscan-ship-")  # the driver serves the file from here until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(f"{folder}/shelfscan", "zip", package.parent, package.name))
+    sc._shelfscan_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfscan.session import ship_package
+
 
 def read_table(spark: SparkSession, source: str, key: str | None = None) -> DataFrame:
     """A catalog table by name, or parquet by path.
@@ -15,6 +17,7 @@ def read_table(spark: SparkSession, source: str, key: str | None = None) -> Data
     (one small file with large texts) is spread by that key. A large table
     has more tasks than cores and is left alone.
     """
+    ship_package(spark)
     is_path = "/" in source
     df = spark.read.parquet(source) if is_path else spark.table(source)
     if key is None:
