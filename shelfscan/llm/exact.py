@@ -80,7 +80,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     ``docs`` has ``doc_id`` and ``text``.
     """
     marked = written(_sorted_runs(docs, F.lit(None).cast("boolean"), "boolean", False).drop("row"), "content-sort")
-    joined = marked.join(_groups(marked), "digest")
+    # a written side is a plain exchange for the join, so Spark can split a group that fills a task
+    joined = marked.join(written(_groups(marked), "content-groups"), "digest")
     kept = F.col("first") & (F.col("n_chars") == F.col("keep_chars")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 

@@ -21,6 +21,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfscan.llm.scratch import written
+
 #: fixed values: what licence notices say
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.",
@@ -80,12 +82,14 @@ def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: floa
     ``files``: (id, path, text, is_licence_file). ``origin`` is ``own``,
     ``inherited`` or ``none``; ``from_path`` is the file the licence comes from.
     """
-    rows = files.select(
+    # written sides are plain exchanges for the joins, so Spark can split a statement or directory that fills a task
+    rows = written(files.select(
         "id", F.col("path").cast("string").alias("path"), statement_of(F.col("text")).alias("statement"),
         F.coalesce("is_licence_file", F.lit(False)).alias("is_licence_file"),
-    )
+    ), "licence-rows")
     statements = rows.where("statement <> ''").groupBy("statement").agg(F.count(F.lit(1)).alias("files"))
-    own = rows.join(match_statements(statements, templates, least), "statement", "left")
+    matched = written(match_statements(written(statements, "licence-statements"), templates, least), "licence-matches")
+    own = rows.join(matched, "statement", "left")
     own = own.select("id", "path", "is_licence_file", "licence", "score", _directory(F.coalesce("path", F.lit(""))).alias("dir"))
     holders = own.where("is_licence_file and licence is not null and path is not null").groupBy("dir").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "path", "licence")).alias("holder")
@@ -94,7 +98,7 @@ def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: floa
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("up"), n.alias("depth")))
     climbs = own.where("licence is null").select("dir").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.up", "a.depth")
     found = climbs.join(holders.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by("holder", "depth").alias("holder"))
-    joined = own.join(found, "dir", "left")
+    joined = own.join(written(found, "licence-directories"), "dir", "left")
     has = F.col("licence").isNotNull()
     return joined.select(
         "id", "path", F.coalesce("licence", "holder.licence").alias("licence"),

@@ -175,7 +175,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, shard_lines: int = SHARD
     texts = rows.join(suspected, "doc_id")
     found = written(texts.mapInArrow(_suspected_lines(least), "doc_id long, key string"), "suspected-lines")
     repeated = found.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("last > keeper")
-    return found.join(repeated, "key").where("doc_id > keeper").select("doc_id", "key")
+    # a written side is a plain exchange for the join, so Spark can split a line that fills a task
+    return found.join(written(repeated, "repeated-lines"), "key").where("doc_id > keeper").select("doc_id", "key")
 
 
 def drop_repeated_lines(docs: DataFrame, least: int = LEAST, shard_lines: int = SHARD_LINES) -> DataFrame:
