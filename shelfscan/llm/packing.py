@@ -14,7 +14,9 @@ each for itself; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ SLACK = 8
 #: bins of one task in the merge rounds
 BINS_PER_TASK = 200_000
 FAN_IN = 8
-#: words that a task keeps with their ids
-CACHE_WORDS = 400_000
+#: parts of words that a worker process keeps with their ids
+CACHE_PARTS = 1_000_000
 CACHE_LENGTH = 40
 
 _MEMBER = pa.struct(
@@ -45,30 +47,68 @@ _BIN_SCHEMA = (
 )
 
 
+#: characters for which the tokenizer's normalising and splitting are restated below; words with others go through the tokenizer whole
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+#: fixed value: the tokenizer's own pattern, for those characters in lower case
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+def _byte_letters() -> list[str]:
+    """Byte-level BPE's letter of each byte: itself where it prints, else the next code point from 256."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
+
 class Words:
-    """Ids of texts, word by word: the tokenizer never joins what a space or a line feed parts."""
+    """Ids of texts, part by part: the tokenizer never joins what its pattern parts.
+
+    Most distinct parts are rare, so the BPE model is asked once for each that
+    is new, and parts that were seen are looked up.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
-        words = text.replace("\n", " ").split(" ")
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self._plain(text)
+        return b"".join([self._plain(w) if _PLAIN.fullmatch(w) and "<|" not in w else self._other(w) for w in text.replace("\n", " ").split(" ")])
+
+    def _plain(self, text: str) -> bytes:
+        parts = _PARTS.findall(text.lower())
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            self.known = known = {"": b""}
-        new = list({w for w in words if w not in known})
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        own = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)}
-        known.update((w, b) for w, b in own.items() if len(w) <= CACHE_LENGTH)
-        return b"".join([known[w] if w in known else own[w] for w in words])
+        if len(known) > CACHE_PARTS:
+            self.known = known = {}
+        new = set(parts).difference(known)
+        if not new:
+            return b"".join([known[p] for p in parts])
+        own = {p: self._part(p) for p in new}
+        known.update((p, b) for p, b in own.items() if len(p) <= CACHE_LENGTH)
+        return b"".join([known[p] if p in known else own[p] for p in parts])
+
+    def _part(self, part: str) -> bytes:
+        letters = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _other(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+
+_words: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """The tokenizer of a worker process, which serves one task after another."""
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -123,7 +163,7 @@ def _pack_documents(path: str, end_id: int):
         ids, numbers = [], {k: [] for k in ("piece", "start", "length", "crc")}
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            words = words or Words(path)
+            words = words or words_of(path)
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 own = words.ids(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(own), 4 * LENGTH)):
