@@ -40,18 +40,27 @@ def _unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that are computed once per row.
+
+    A column used inside a lambda would otherwise be merged into it by the
+    optimizer and computed for every element; a generator is not merged.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _running(values: Column) -> Column:
     """Totals before each value of an array of longs, in steps of ``STEP`` so that long arrays aren't copied once per value."""
     size = F.size(values)
-    steps = F.sequence(F.lit(0), F.greatest(F.ceil((size - 1) / STEP).cast("int") - F.lit(1), F.lit(0)))
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(size / STEP).cast("int") - F.lit(1), F.lit(0)))
     zero = F.array(F.lit(0).cast("long"))
 
     def totals(array: Column) -> Column:
         return F.aggregate(array, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    parts = F.transform(steps, lambda k: F.slice(values, k * STEP + 1, STEP))
-    before = totals(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda acc, x: acc + x)))
-    shifted = F.transform(parts, lambda p, k: F.transform(F.slice(totals(p), 1, F.size(p)), lambda x: x + F.get(before, k)))
+    parts = F.transform(steps, lambda k: totals(F.slice(values, k * STEP + 1, STEP)))
+    before = totals(F.transform(parts, lambda p: F.element_at(p, -1)))
+    shifted = F.zip_with(parts, F.slice(before, 1, F.size(before) - 1), lambda p, n: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: x + n))
     return F.flatten(shifted)
 
 
@@ -74,11 +83,10 @@ def format_conversations(rows: DataFrame, loss_role: str = LOSS_ROLE) -> DataFra
             F.when(after.eqNullSafe(t["role"]), F.lit("")).otherwise(F.lit(END)).alias("tail"),
         )
 
-    pieces = turns.select("conv_id", "turns", F.transform("turns", piece).alias("pieces"))
+    pieces = _held(turns, pieces=F.transform("turns", piece))
     text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
     sizes = F.transform("pieces", lambda p: (F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).cast("long"))
-    measured = pieces.select("conv_id", "turns", "pieces", text.alias("formatted"), sizes.alias("sizes"))
-    placed = measured.select("conv_id", "turns", "pieces", "formatted", _running(F.col("sizes")).alias("starts"))
+    placed = _held(_held(pieces, formatted=text, sizes=sizes), starts=_running(F.col("sizes")))
     spans = F.transform(
         "turns",
         lambda t, i: F.struct(
@@ -95,12 +103,15 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
     blocks = F.split("formatted", END)
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)
 
-    def turns(block: Column) -> Column:
+    def read(block: Column) -> Column:
         role = F.regexp_extract(block, r"(?s)^### ((?:[^\\:]|\\.)*):\n", 1)
         texts = F.split(F.substring(block, F.length(role) + len(HEAD) + len(HEAD_END) + 1, F.length(block)), NEXT)
-        return F.transform(texts, lambda x: F.struct(_unescaped(role).alias("role"), _unescaped(x).alias("text")))
+        return F.struct(_unescaped(role).alias("role"), texts.alias("texts"))
+
+    def turns(block: Column) -> Column:
+        return F.transform(block["texts"], lambda x: F.struct(block["role"].alias("role"), _unescaped(x).alias("text")))
 
-    return formatted.withColumn("turns", F.flatten(F.transform(blocks, turns)))
+    return _held(formatted, turns=F.flatten(F.transform(F.transform(blocks, read), turns)))
 
 
 def masked_text(parsed: DataFrame) -> Column:

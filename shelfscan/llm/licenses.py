@@ -28,7 +28,7 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD 3-Clause License.",
     "CC-BY-4.0": "This work is licensed under CC BY 4.0, the Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0, the Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under CC BY-NC 4.0, the Creative Commons Attribution-NonCommercial 4.0 International License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software.",
     "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
