@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import utf8, written
+from shelfscan.llm.scratch import in_small_batches, utf8, written
 
 WINDOW = 10
 #: UTF-8 bytes of item texts in one automaton
@@ -225,7 +225,7 @@ def contamination(
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("boolean")
     kind = docs.schema.simpleString() if carry else "boolean"
-    marked = docs.select(
+    marked = in_small_batches(docs).select(
         row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:long,last:long>>)").alias("spans"),
         F.expr("cast(array() as array<string>)").alias("items"),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import utf8, written
+from shelfscan.llm.scratch import in_small_batches, utf8, written
 
 #: fixed value: the code points that normalisation deletes
 SPACE = " \t\n\x0b\x0c\r"
@@ -54,7 +54,7 @@ def _sorted_runs(docs: DataFrame, row, row_type: str, only_first: bool) -> DataF
     """(row, doc_id, digest, n_chars, first) of every document, in content order."""
     norm = normalised(F.col("text"))
     order = ["lead", "digest", F.desc("n_chars"), F.asc_nulls_last("doc_id")]
-    rows = docs.select(
+    rows = in_small_batches(docs).select(
         row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(norm, 256).alias("digest"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.substring(norm, 1, LEAD).alias("lead"),
         F.col("text").cast("string").alias("text"),

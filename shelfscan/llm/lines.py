@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import utf8, written
+from shelfscan.llm.scratch import in_small_batches, utf8, written
 
 LEAST = 10
 #: lines of one shard, and slots of each of its filters (a power of two)
 SHARD_LINES = 2_000_000
 SLOTS = 1 << 24
 PROBES = 3
+#: lines whose equal hashes a map task merges
+DEALT = 500_000
 _SPACE = b" \t\n\x0b\x0c\r"
 _NO_ID = (1 << 63) - 1
 
@@ -63,28 +65,34 @@ def _slots(hashes: np.ndarray) -> list[np.ndarray]:
     return [((low + np.uint64(i) * high) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(PROBES)]
 
 
+def _dealt(hashes: np.ndarray, docs: np.ndarray, shards: int) -> pa.RecordBatch:
+    order = np.lexsort((docs, hashes))
+    hashes, docs = hashes[order], docs[order]
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+    lasts = np.r_[starts[1:], len(hashes)] - 1 if len(starts) else starts
+    several = docs[starts] != docs[lasts]
+    hashes = hashes[starts]
+    shard = (hashes >> np.uint64(20)) % np.uint64(shards)
+    rows = [(int(s), hashes[shard == s].tobytes(), np.packbits(several[shard == s]).tobytes()) for s in np.unique(shard)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+        names=["shard", "hashes", "several"],
+    )
+
+
 def _deal(shards: int, least: int):
+    """Hashes by shard, each once per ``DEALT`` lines, marked if several documents hold it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in batches:
             own = [np.fromiter(map(_hash, _keys(t, least)), np.uint64) for t in utf8(batch.column("text"))]
-            docs = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(h) for h in own])
-            hashes = np.concatenate([*own, np.zeros(0, np.uint64)])
-            order = np.lexsort((docs, hashes))
-            hashes, docs = hashes[order], docs[order]
-            first = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
-            starts = np.flatnonzero(first)
-            lasts = np.r_[starts[1:], len(hashes)] - 1 if len(starts) else starts
-            several = docs[starts] != docs[lasts]
-            hashes = hashes[starts]
-            shard = (hashes >> np.uint64(20)) % np.uint64(shards)
-            rows = []
-            for s in np.unique(shard):
-                here = shard == s
-                rows.append((int(s), hashes[here].tobytes(), np.packbits(several[here]).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                names=["shard", "hashes", "several"],
-            )
+            hashes.extend(own)
+            docs.append(np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(h) for h in own]).astype(np.int64))
+            if sum(map(len, docs)) >= DEALT:
+                yield _dealt(np.concatenate(hashes), np.concatenate(docs), shards)
+                hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        yield _dealt(np.concatenate(hashes), np.concatenate(docs), shards)
 
     return run
 
@@ -181,7 +189,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, shard_lines: int = SHARD
 
 def drop_repeated_lines(docs: DataFrame, least: int = LEAST, shard_lines: int = SHARD_LINES) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept), one row per row of ``docs``."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     gone = repeated_lines(rows, least, shard_lines).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
     out = rows.join(gone, "doc_id", "left").mapInArrow(_drop, "doc_id long, n_lines long, n_dropped long, kept string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))

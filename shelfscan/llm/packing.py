@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import written
+from shelfscan.llm.scratch import in_small_batches, written
 
 LENGTH = 4096
 END_ID = 1
@@ -36,7 +36,7 @@ SLACK = 8
 BINS_PER_TASK = 200_000
 FAN_IN = 8
 #: parts of words that a worker process keeps with their ids
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 300_000
 CACHE_LENGTH = 40
 
 _MEMBER = pa.struct(
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, bins_per_task: i
 
     ``tokenizer`` is the path of a tokenizer file that every executor has.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bins = written(rows.mapInArrow(_pack_documents(tokenizer, end_id), _BIN_SCHEMA), "packed")
     finished, level, tasks = [], 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:

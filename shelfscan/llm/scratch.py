@@ -7,6 +7,19 @@ from pyspark.sql import DataFrame
 from shelfscan.session import scratch_path
 
 
+#: rows of one Arrow batch of texts, where the session does not say: long texts would fill a worker with Spark's 10,000
+BATCH_ROWS = 1_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session hands texts to Python tasks in batches of ``BATCH_ROWS``, unless it sets a size itself."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH_ROWS) == "10000":
+        conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+    return docs
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the rows written.
 

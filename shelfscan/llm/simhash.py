@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscan.llm.graph import components
-from shelfscan.llm.scratch import utf8, written
+from shelfscan.llm.scratch import in_small_batches, utf8, written
 
 SEED = 42
 SHINGLE = 3
@@ -192,7 +192,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every document; fp is the fingerprint as a signed long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 

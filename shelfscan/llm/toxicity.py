@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import written
+from shelfscan.llm.scratch import in_small_batches, written
 
 THRESHOLD = 0.3
 #: labelled documents the lexicon is learned from, at most; those with the smallest hash of their id
@@ -39,6 +39,8 @@ ENTRIES = 4_000
 SIGNIFICANCE = 14.0
 LEAST_WEIGHT = 3.0
 STEMS = range(4, 8)
+#: distinct terms that a task counts before it sends them on
+TERMS = 300_000
 HELD_OUT = 2
 
 #: fixed values: look-alikes and substitutes, by the letter they stand for
@@ -132,21 +134,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return b
 
 
+def _counted(counts: dict[int, Counter]) -> pa.RecordBatch:
+    keys = list({*counts[0], *counts[1]})
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())],
+        names=["term", "n_toxic", "n_clean"],
+    )
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, clean): documents with each term, summed over the batch; the empty term counts documents."""
+    """(term, toxic, clean): documents with each term, summed as far as ``TERMS`` allows."""
+    counts = {0: Counter(), 1: Counter()}
     for batch in batches:
-        counts = {0: Counter(), 1: Counter()}
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            terms = {""}
-            for word in set(folded(text or "")):
-                if len(word) >= 3:
-                    terms.update(_terms(word))
-            counts[label].update(terms)
-        keys = list({*counts[0], *counts[1]})
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())],
-            names=["term", "n_toxic", "n_clean"],
-        )
+            counts[label].update({t for word in set(folded(text or "")) if len(word) >= 3 for t in _terms(word)})
+            if len(counts[0]) + len(counts[1]) > TERMS:
+                yield _counted(counts)
+                counts = {0: Counter(), 1: Counter()}
+    yield _counted(counts)
 
 
 def _features(lexicon):
@@ -166,7 +171,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     )
     usable = usable.where(F.crc32(F.col("label_id").cast("string")) % 4 != HELD_OUT)
     chosen = usable.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    return docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("label_id")).select(F.col("text").cast("string").alias("text"), "toxic")
+    return in_small_batches(docs).join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("label_id")).select(F.col("text").cast("string").alias("text"), "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Lexicon:
@@ -188,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
     ratio = 2 * (
         part(a, held * toxic / n) + part(c, held * clean / n) + part(F.lit(toxic) - a, (F.lit(n) - held) * toxic / n) + part(F.lit(clean) - c, (F.lit(n) - held) * clean / n)
     )
-    best = counts.where((F.col("term") != "") & (a >= 2)).select("term", weight.alias("weight"), ratio.alias("ratio"))
+    best = counts.where(a >= 2).select("term", weight.alias("weight"), ratio.alias("ratio"))
     best = best.where((F.col("ratio") >= SIGNIFICANCE) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("ratio"), "term").limit(entries)
     lexicon = Lexicon({r["term"]: r["weight"] for r in best.collect()})
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -214,7 +219,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, carry
     """(doc_id, score, predicted) per document; with ``carry`` the whole row as ``row`` too."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("boolean")
     kind = docs.schema.simpleString() if carry else "boolean"
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     out = rows.mapInArrow(_score(shared, threshold), f"row {kind}, doc_id long, score double, predicted int")
     return out if carry else out.drop("row")
