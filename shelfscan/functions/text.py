@@ -66,7 +66,7 @@ def display(col: Column, missing: str) -> Column:
 def clean_value(col: Column) -> Column:
     """The value as text, or NULL when it is blank or spells null/none."""
     text = col.cast("string")
-    absent = is_blank(text) | F.lower(F.trim(text)).isin("null", "none")
+    absent = text.isNull() | F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")).isin("", "null", "none")
     return F.when(~absent, text)
 
 

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfscan.session import cut_lineage
+
 from shelfscan.functions.ranking import ordered_text, top_k
 from shelfscan.functions.text import is_blank
 from shelfscan.operators.clean import guillemet_path, review_sentence, searchable_text
@@ -85,12 +87,24 @@ def showcase(
     )
 
 
-def category_paths(categories: DataFrame, max_depth: int = 5, sep: str = " > ") -> DataFrame:
-    """Full path of each category, by a bounded number of parent joins; a cycle ends at ``max_depth``."""
+def category_paths(categories: DataFrame, sep: str = " > ") -> DataFrame:
+    """(category_id, path, cyclic): full path of each category, by joins with the parents until none is left.
+
+    A category whose ancestors form a cycle is reported as ``cyclic``, with
+    the path up to where the cycle closes.
+    """
     up = categories.select(F.col("category_id").alias("_id"), F.col("parent_category_id").alias("_next"), F.col("category_name").alias("_name"))
-    paths = categories.select("category_id", F.col("parent_category_id").alias("_up"), F.col("category_name").alias("path"))
-    for _ in range(max_depth - 1):
-        paths = paths.join(up, F.col("_up") == F.col("_id"), "left").select(
-            "category_id", F.col("_next").alias("_up"), F.concat_ws(sep, "_name", "path").alias("path")
+    paths = categories.select(
+        "category_id", F.col("parent_category_id").alias("_up"), F.col("category_name").alias("path"), F.array("category_id").alias("_seen"), F.lit(False).alias("cyclic")
+    )
+    climbing = F.col("_up").isNotNull() & ~F.col("cyclic")
+    while paths.where(climbing).take(1):
+        closes = F.coalesce(F.array_contains("_seen", F.col("_up")), F.lit(False))
+        joined = paths.withColumn("cyclic", F.col("cyclic") | closes).join(up, (F.col("_up") == F.col("_id")) & ~F.col("cyclic"), "left")
+        paths = cut_lineage(
+            joined.select(
+                "category_id", F.when(F.col("cyclic"), F.col("_up")).otherwise(F.col("_next")).alias("_up"), F.concat_ws(sep, "_name", "path").alias("path"),
+                F.when(F.col("_id").isNull(), F.col("_seen")).otherwise(F.concat("_seen", F.array("_id"))).alias("_seen"), "cyclic",
+            )
         )
-    return paths.select("category_id", "path")
+    return paths.select("category_id", "path", "cyclic")

@@ -99,12 +99,13 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     Both sides are reduced to (key, payload hash) before the full join, so
     only narrow rows are shuffled.
     """
-    payload = sorted(c for c in old.columns if c != key)
+    payload = sorted({*old.columns, *new.columns} - {key})  # a column that one side lacks is NULL there
 
     def hashed(df: DataFrame, name: str) -> DataFrame:
         # Spark's hashes skip NULLs, so each cell goes in with its NULL flag;
         # two different hashes make a missed update practically impossible
-        cells = [x for c in payload for x in (F.col(c), F.col(c).isNull())]
+        own = [F.col(c) if c in df.columns else F.lit(None).cast("string") for c in payload]
+        cells = [x for c in own for x in (c, c.isNull())]
         return df.select(key, F.struct(F.xxhash64(*cells), F.hash(*cells)).alias(name))
 
     change = (

@@ -311,11 +311,12 @@ def benchmark_sweep(queries: DataFrame, rows: DataFrame, threshold: float) -> Da
 # ── query understanding ──────────────────────────────────────────────────
 
 
-def query_intent(queries: DataFrame, dictionary: DataFrame, query: str = "query", max_words: int = 3) -> DataFrame:
+def query_intent(queries: DataFrame, dictionary: DataFrame, query: str = "query") -> DataFrame:
     """Rule-based intent: price limit by pattern, other fields by dictionary.
 
     ``dictionary``: (kind, phrase, value), phrase in lower case. Per kind the
-    longest matching phrase wins, then the earliest. ``category`` and
+    longest matching phrase wins, then the earliest; spans are as long as the
+    dictionary's longest phrase. ``category`` and
     ``brand`` have their own columns, other kinds go to ``filters``. The
     rewritten query is the query without the matched spans.
     """
@@ -326,12 +327,14 @@ def query_intent(queries: DataFrame, dictionary: DataFrame, query: str = "query"
         F.regexp_extract(low, limit_pattern, 1).alias("_limit"),
         words(F.regexp_replace(low, limit_pattern, " ")).alias("_words"),
     )
+    longest = dictionary.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(1)).alias("_longest"), F.lit(1).alias("_one"))
+    q = q.withColumn("_one", F.lit(1)).join(F.broadcast(longest), "_one").drop("_one")  # one row
     starts = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(F.array().cast("array<int>"))
     spans = F.flatten(
         F.transform(
             starts,
             lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_words") - s)),
+                F.sequence(F.lit(1), F.least("_longest", F.size("_words") - s)),
                 lambda n: F.struct(s.alias("start"), n.alias("n"), F.array_join(F.slice("_words", s + 1, n), " ").alias("phrase")),
             ),
         )
@@ -361,14 +364,16 @@ def query_intent(queries: DataFrame, dictionary: DataFrame, query: str = "query"
     )
 
 
-_INTENT_SCHEMA = "rewritten_query string, category string, brand string, price_max string, filters map<string,string>"
+_INTENT_FIELDS = "rewritten_query:string,category:string,brand:string,price_max:string,filters:map<string,string>"
 
 
 def parse_intent_json(rows: DataFrame, query: str = "query", response: str = "response") -> DataFrame:
-    """Intent from a model's reply: code fences dropped, malformed replies pass the query through."""
+    """Intent from a model's reply: code fences dropped, a reply that is not one object pass the query through."""
     bare = F.regexp_replace(F.col(response), "```(?:json)?", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"^\s+|\s+$", ""), r"`+$", "")
-    parsed = F.from_json(F.trim(bare), _INTENT_SCHEMA, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
+    # as the only element of an array, so that text after the object makes the reply malformed
+    listed = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), f"array<struct<{_INTENT_FIELDS}>>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
+    parsed = F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
     p = rows.withColumn("_p", parsed)
     return p.select(
         "query_id", F.col(query).alias("original_query"),
@@ -384,17 +389,16 @@ def intent_tokens(query: Column) -> Column:
     return F.slice(F.filter(words(F.lower(query)), lambda w: (F.length(w) > 3) & ~w.isin(INTENT_STOPWORDS)), 1, 6)
 
 
-def suggest_prefixes(log: DataFrame, query: str = "query", n: int = 5, min_length: int = 2, max_length: int = 20) -> DataFrame:
+def suggest_prefixes(log: DataFrame, query: str = "query", n: int = 5, min_length: int = 2) -> DataFrame:
     """(prefix, rank, completion, uses): the most used logged queries per prefix.
 
     The log is reduced to distinct queries before prefixes are made, so a
     query asked by everyone still makes one row per prefix.
     """
     uses = log.select(F.lower(collapse_spaces(F.col(query))).alias("completion")).groupBy("completion").agg(F.count(F.lit(1)).alias("uses"))
-    size = F.least(F.length("completion"), F.lit(max_length))
     prefixes = uses.filter(F.length("completion") >= min_length).select(
         "completion", "uses",
-        F.explode(F.transform(F.sequence(F.lit(min_length), size), lambda i: F.substring(F.col("completion"), F.lit(1), i))).alias("prefix"),
+        F.explode(F.transform(F.sequence(F.lit(min_length), F.length("completion")), lambda i: F.substring(F.col("completion"), F.lit(1), i))).alias("prefix"),
     )
     return top_k(prefixes, ["prefix"], [F.col("uses").desc(), F.col("completion")], n)
 
