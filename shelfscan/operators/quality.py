@@ -352,28 +352,32 @@ def query_policy(df: DataFrame, query: str = "query", max_length: int = 512) ->
 
 
 def price_overlap(prices: DataFrame) -> DataFrame:
-    """Prices starting before the previous price of their product has ended.
+    """Prices starting before an earlier price of their product has ended.
 
-    The previous price is found per product and month, with the last price of
-    the month before carried over, so one product's history is never sorted
-    in a single task.
+    Reported with the earlier price that ends last; no end means open. Rows
+    without a product or a start are left out. The latest end is carried along
+    per product and month, then over the months, so only one product's prices
+    of one month are sorted in a task.
     """
     from pyspark.sql import Window
 
-    rows = prices.withColumn("_m", F.year("effective_from") * 12 + F.month("effective_from"))
-    here = F.struct("effective_from", "price_id", "effective_to")
-    inside = Window.partitionBy("product_id", "_m").orderBy("effective_from", "price_id")
-    lagged = rows.withColumn("_prev", F.lag(here).over(inside))
-    months = rows.groupBy("product_id", "_m").agg(F.max(here).alias("_last"))
-    carried = months.select(
-        "product_id", "_m", F.lag("_last").over(Window.partitionBy("product_id").orderBy("_m")).alias("_carry")
-    )
-    prev = F.coalesce("_prev", "_carry")
-    overlaps = prev.isNotNull() & F.coalesce(prev["effective_to"] > F.col("effective_from"), F.lit(True))
+    rows = prices.filter(F.col("product_id").isNotNull() & F.col("effective_from").isNotNull())
+    rows = rows.withColumn("_m", F.year("effective_from") * 12 + F.month("effective_from"))
+    end = F.struct(F.col("effective_to").isNull().alias("open"), "effective_to", "effective_from", "price_id")
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = earlier.partitionBy("product_id", "_m").orderBy("effective_from", "price_id")
+    before = earlier.partitionBy("product_id").orderBy("_m")
+    here = rows.withColumn("_inside", F.max(end).over(inside))
+    months = rows.groupBy("product_id", "_m").agg(F.max(end).alias("_last"))
+    carried = months.select("product_id", "_m", F.max("_last").over(before).alias("_carry"))
     return (
-        lagged.join(carried, ["product_id", "_m"])
-        .filter(overlaps)
-        .select("price_id", "product_id", "effective_from", prev["price_id"].alias("previous_price_id"), prev["effective_to"].alias("previous_to"))
+        here.join(carried, ["product_id", "_m"])
+        .withColumn("_prev", F.greatest("_inside", "_carry"))
+        .filter(F.col("_prev.open") | (F.col("_prev.effective_to") > F.col("effective_from")))
+        .select(
+            "price_id", "product_id", "effective_from",
+            F.col("_prev.price_id").alias("previous_price_id"), F.col("_prev.effective_to").alias("previous_to"),
+        )
     )
 
 

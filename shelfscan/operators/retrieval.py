@@ -12,13 +12,10 @@ from shelfscan.functions.ranking import top_hits
 from shelfscan.functions.text import tokens
 from shelfscan.operators.index import document_frequency, posting_stats, query_postings
 
-# Queries within both bounds are sent to every task; more are spread over a grid.
-MAX_BROADCAST_QUERIES = 2048
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Similarities held at once: a block of documents times this many queries.
 QUERY_SLICE = 256
 # Rows of one side that meet in one task of the grid.
-BLOCK_DOCS = 16384
+BLOCK_DOCS = 8192
 BLOCK_QUERIES = 2048
 
 
@@ -107,32 +104,6 @@ def _block_hits(q_ids, q_mat, d_ids, d_mat, k, skip_self):
 _HIT_SCHEMA = "query_id string, product_id string, score double"
 
 
-def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    both = pd.concat(parts, ignore_index=True)
-    both = both.sort_values(["query_id", "score", "product_id"], ascending=[True, False, True], kind="stable")
-    return both.groupby("query_id", sort=False).head(k)
-
-
-def _scan_with_all_queries(queries: list, docs: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Documents stay where they are; each task keeps ``k`` hits per query."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((np.array([r[0] for r in queries], dtype=object), _matrix([r[1] for r in queries])))
-
-    def scan(batches):
-        q_ids, q_mat = shared.value
-        best = None
-        for pdf in batches:
-            if len(pdf):
-                hits = _block_hits(
-                    q_ids, q_mat, pdf["product_id"].to_numpy(dtype=object), _matrix(pdf["embedding"]), k, skip_self
-                )
-                best = hits if best is None else _merge([best, hits], k)
-        if best is not None:
-            yield best
-
-    return docs.select("product_id", "embedding").mapInPandas(scan, _HIT_SCHEMA)
-
-
 def _grid(queries: DataFrame, docs: DataFrame, cell: str, k: int, skip_self: bool) -> DataFrame:
     """Blocks of documents meet blocks of queries of the same cell.
 
@@ -145,8 +116,7 @@ def _grid(queries: DataFrame, docs: DataFrame, cell: str, k: int, skip_self: boo
     def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
         return df.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
-    # one row per cell: 1 for the exact search, bands * 2^bits for the hashed one
-    sizes = F.broadcast(blocks(docs, BLOCK_DOCS, "n_d").join(blocks(queries, BLOCK_QUERIES, "n_q"), cell))
+    sizes = blocks(docs, BLOCK_DOCS, "n_d").join(blocks(queries, BLOCK_QUERIES, "n_q"), cell)
 
     def spread(df: DataFrame, id_col: str, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
         return (
@@ -173,23 +143,15 @@ def _grid(queries: DataFrame, docs: DataFrame, cell: str, k: int, skip_self: boo
     return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(meet, _HIT_SCHEMA)
 
 
-def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 20, skip_self: bool = False, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 20, skip_self: bool = False) -> DataFrame:
     """Exact cosine top ``k`` per query: (query_id, product_id, rank, score).
 
-    At most ``max_broadcast`` + 1 queries are looked at to choose the plan:
-    a batch within the bounds (rows and bytes) is sent to every task, a larger
-    one is answered on a grid of bounded blocks.
+    One plan for all sizes: bounded blocks of queries meet bounded blocks of
+    documents, so a document is sent once per block of queries.
     """
-    q = queries.select("query_id", "embedding")
-    d = docs.select("product_id", "embedding")
-    probe = q.limit(max_broadcast + 1).collect()
-    size = sum(8 * len(r["embedding"] or ()) for r in probe)
-    if len(probe) <= max_broadcast and size <= MAX_BROADCAST_BYTES:
-        hits = _scan_with_all_queries(probe, d, k, skip_self)
-    else:
-        one = F.lit(0).alias("cell")
-        hits = _grid(q.select("*", one), d.select("*", one), "cell", k, skip_self)
-    return top_hits(hits, k)
+    one = F.lit(0).alias("cell")
+    q, d = queries.select("query_id", "embedding", one), docs.select("product_id", "embedding", one)
+    return top_hits(_grid(q, d, "cell", k, skip_self), k)
 
 
 def lsh_cells(df: DataFrame, id_col: str, bands: int, bits: int, seed: int) -> DataFrame:

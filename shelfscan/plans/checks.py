@@ -347,9 +347,10 @@ def duplicate_keys(t: Tables):
 
 @register(
     "price_overlap",
-    """SELECT price_id, product_id, effective_from, prev_id AS previous_price_id, prev_to AS previous_to FROM (
-      SELECT *, lag(effective_to) OVER w AS prev_to, lag(price_id) OVER w AS prev_id, row_number() OVER w AS rn FROM v_pricing WHERE price_id IS NOT NULL
-      WINDOW w AS (PARTITION BY product_id ORDER BY effective_from, price_id)) WHERE rn > 1 AND (prev_to IS NULL OR prev_to > effective_from)""",
+    """SELECT price_id, product_id, effective_from, last.id AS previous_price_id, last.until AS previous_to FROM (
+      SELECT *, arg_max({'id': price_id, 'until': effective_to}, (coalesce(effective_to, DATE '9999-12-31'), effective_from, price_id)) OVER w AS last,
+        max(coalesce(effective_to, DATE '9999-12-31')) OVER w AS until FROM v_pricing WHERE price_id IS NOT NULL AND product_id IS NOT NULL
+      WINDOW w AS (PARTITION BY product_id ORDER BY effective_from, price_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE until > effective_from""",
 )
 def price_overlap(t: Tables):
     """F21."""

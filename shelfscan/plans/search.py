@@ -28,14 +28,15 @@ def threshold(t: Tables):
 
 @register(
     "paginate",
-    f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position, count(*) OVER (PARTITION BY query_id) AS total_results
-      FROM v_bm25_hits WHERE rank <= 2 * 5 + 50 AND score >= {CUT})
+    f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM v_bm25_scores),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position, count(*) OVER (PARTITION BY query_id) AS total_results
+      FROM h WHERE rank <= 2 * 5 + 50 AND score >= {CUT})
     SELECT query_id, product_id, position::INT AS position, score, total_results, CAST(greatest(1, ceil(total_results / 5.0)) AS INT) AS total_pages, 2 AS page
     FROM f WHERE position BETWEEN 6 AND 10""",
 )
 def paginate(t: Tables):
     """L2: the second page of five."""
-    return search.paginate(bm25_hits(t), page=2, page_size=5, threshold=CUT)
+    return search.paginate(bm25_hits(t, 2 * 5 + 50), page=2, page_size=5, threshold=CUT)
 
 
 @register(

@@ -60,7 +60,7 @@ def session_context(t: Tables):
 
 @register(
     "latency_windows",
-    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS searches, round(sum(CAST(round(latency_ms * 10) AS BIGINT)) / count(*) / 10, 6) AS avg_ms,
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS searches, round(CAST(sum(CAST(latency_ms AS DECIMAL(28,9))) AS DOUBLE) / count(latency_ms), 6) AS avg_ms,
       round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms,
       round(count(*) FILTER (status = 'FAILED') / count(*), 6) AS error_rate, round(count(*) FILTER (latency_ms > 2000) / count(*), 6) AS slow_share
     FROM v_search_log GROUP BY 1""",

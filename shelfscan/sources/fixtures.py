@@ -145,9 +145,8 @@ VIEWS = {
     """,
     "v_queries": """
         SELECT CAST(item_id AS STRING) AS query_id,
-               regexp_extract(text, '^([^ ]+ +){0,5}[^ ]+', 0) AS base_query,
-               regexp_extract(text, '^([^ ]+ +){0,5}[^ ]+', 0)
-                   || CASE WHEN item_id % 7 = 0 THEN ' under 500' ELSE '' END AS query
+               text AS base_query,
+               text || CASE WHEN item_id % 7 = 0 THEN ' under 500' ELSE '' END AS query
         FROM {benchmark}
     """,
     "v_raw_labels": """
@@ -289,10 +288,6 @@ def with_views(sql: str) -> str:
     return f"{head}{views}{',' if head == 'WITH RECURSIVE ' else ''}\n{body}"
 
 
-# Tables of long texts, and the key to spread them by when they are one small file.
-SPREAD = {"documents": "doc_id"}
-
-
 def pad(words) -> Column:
     """Words as one text with a space on both sides."""
     return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
@@ -320,7 +315,7 @@ class Tables:
         if name in VIEWS:
             sql = re.sub(r"\{(\d+,\d+)\}", r"{{\1}}", VIEWS[name])
             return self.spark.sql(sql, **{dep: self[dep] for dep in set(_NAME.findall(VIEWS[name]))})
-        return read_table(self.spark, self.path(name), SPREAD.get(name))
+        return read_table(self.spark, self.path(name))
 
     @property
     def labels(self) -> DataFrame:

@@ -10,20 +10,10 @@ from pyspark.sql import functions as F
 from shelfscan.session import ship_package
 
 
-def read_table(spark: SparkSession, source: str, key: str | None = None) -> DataFrame:
-    """A catalog table by name, or parquet by path.
-
-    With ``key``, a scan that yields fewer tasks than the cluster has cores
-    (one small file with large texts) is spread by that key. A large table
-    has more tasks than cores and is left alone.
-    """
+def read_table(spark: SparkSession, source: str) -> DataFrame:
+    """A catalog table by name, or parquet by path."""
     ship_package(spark)
-    is_path = "/" in source
-    df = spark.read.parquet(source) if is_path else spark.table(source)
-    if key is None:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(source) if "/" in source else spark.table(source)
 
 
 def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

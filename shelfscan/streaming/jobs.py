@@ -28,20 +28,12 @@ def event_time(stream: DataFrame, delay: str = "10 minutes", col: str = "ts") ->
     return stream.withColumn(col, F.col(col).cast("timestamp")).withWatermark(col, delay)
 
 
-def latency_windows(log: DataFrame, width: str = "1 day", delay: str = "10 minutes") -> DataFrame:
-    """Latency windows with sketched percentiles; late rows within the delay still count."""
-    total = F.count(F.lit(1))
-    pct = lambda p: F.approx_percentile("latency_ms", p, 10000)
-    return (
-        event_time(log, delay).groupBy(F.window("ts", width).alias("w"))
-        .agg(
-            total.alias("searches"), F.round(F.avg("latency_ms"), 6).alias("avg_ms"),
-            pct(0.5).alias("p50_ms"), pct(0.95).alias("p95_ms"), pct(0.99).alias("p99_ms"),
-            F.round(F.count_if(F.col("status") == "FAILED") / total, 6).alias("error_rate"),
-            F.round(F.count_if(F.col("latency_ms") > ev.SLOW_MS) / total, 6).alias("slow_share"),
-        )
-        .select(ev.start_text(), "searches", "avg_ms", "p50_ms", "p95_ms", "p99_ms", "error_rate", "slow_share")
-    )
+def latency_counts(log: DataFrame, width: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Counts per window and latency; late rows within the delay still count.
+
+    ``events.latency_report`` makes the windows of what the stream has written.
+    """
+    return ev.latency_counts(event_time(log, delay), width)
 
 
 def failure_alerts(log: DataFrame, delay: str = "10 minutes", **limits) -> DataFrame:

@@ -90,6 +90,20 @@ def test_overlap_across_months(spark):
     assert {(r["price_id"], r["previous_price_id"]) for r in q.price_overlap(rows).collect()} == {("b", "a"), ("c", "b")}
 
 
+def test_overlap_with_a_longer_earlier_price(spark):
+    rows = spark.createDataFrame(
+        [("a", "2024-01-01", "2024-12-31"), ("b", "2024-02-01", "2024-02-10"), ("c", "2024-06-01", "2024-06-30"), ("d", "2025-01-01", None), ("e", None, None)],
+        "price_id string, f string, t string",
+    ).selectExpr("price_id", "'p' AS product_id", "date(f) AS effective_from", "date(t) AS effective_to")
+    assert {(r["price_id"], r["previous_price_id"]) for r in q.price_overlap(rows).collect()} == {("b", "a"), ("c", "a")}
+
+
+def test_headers_with_one_canonical_form(spark):
+    rows = spark.createDataFrame([("1", "2", "3", "x")], "`list price` string, list_price string, price string, `My Note` string")
+    out = clean.resolve_schema(rows, {"price": ("string", ("list_price", "price"))}).first().asDict()
+    assert out == {"price": "2", "list price": "1", "price_other": "3", "My Note": "x"}
+
+
 def test_broken_parent_is_unlinked(spark):
     rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "gone")], "category_id string, parent_category_id string")
     out = {r["category_id"]: (r["parent_category_id"], r["broken_parent"]) for r in q.parent_repair(rows).collect()}

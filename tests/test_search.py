@@ -17,16 +17,16 @@ def rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-def test_grid_equals_broadcast_with_copies(spark, monkeypatch):
+def test_dense_blocks_with_copies(spark, monkeypatch):
     """A third of the documents are copies of one vector: ties everywhere."""
-    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 40)
-    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 3)
     rng = np.random.default_rng(1)
     vecs = [[float(x) for x in rng.standard_normal(8)] for _ in range(200)] + [[1.0] * 8] * 100
     docs = spark.createDataFrame([(str(i), v) for i, v in enumerate(vecs)], "product_id string, embedding array<float>")
     queries = docs.filter(F.col("product_id").cast("int") % 30 == 0).withColumnRenamed("product_id", "query_id")
     a = retrieval.dense_topk(queries, docs, 7)
-    b = retrieval.dense_topk(queries, docs, 7, max_broadcast=2)
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 3)
+    b = retrieval.dense_topk(queries, docs, 7)
     assert rows(a, *a.columns) == rows(b, *b.columns)
     mat = np.array(vecs, dtype=np.float32).astype(float)
     mat /= np.linalg.norm(mat, axis=1, keepdims=True)

@@ -25,10 +25,11 @@ def test_price_overlap_of_a_hot_product(spark):
     want, last = set(), {}
     for price, product, start, end in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
         if product in last:
-            before, until = last[product]
+            _, until, _, before = last[product]
             if until is None or until > start:
                 want.add((price, before))
-        last[product] = (price, end)
+        key = lambda r: (r[0], r[1] or day0, r[2], r[3])
+        last[product] = max(last.get(product, (False, day0, day0, "")), (end is None, end, start, price), key=key)
     assert {(r["price_id"], r["previous_price_id"]) for r in q.price_overlap(df).collect()} == want
 
 
