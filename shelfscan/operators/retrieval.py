@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -50,11 +52,18 @@ def bm25_scores(q_terms: DataFrame, index: DataFrame, stats: DataFrame, k1: floa
     )
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "query", text: str = "searchable_text") -> DataFrame:
-    """Top ``k`` documents per query, straight from the documents."""
+def bm25_topk(
+    queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "query", text: str = "searchable_text",
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Top ``k`` documents per query, straight from the documents.
+
+    ``keep`` filters the scored pairs before the cut at ``k``.
+    """
     q_terms = query_terms(queries, query)
     index = query_postings(docs, q_terms, text)
-    return top_hits(bm25_scores(q_terms, index, posting_stats(index)), k)
+    scores = bm25_scores(q_terms, index, posting_stats(index))
+    return top_hits(keep(scores) if keep else scores, k)
 
 
 # ── dense ────────────────────────────────────────────────────────────────
@@ -80,15 +89,20 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, ties])
 
 
-def _block_hits(q_ids, q_mat, d_ids, d_mat, k, skip_self):
-    """Best ``k`` of a block of documents for each query of a block."""
+def _block_hits(q_ids, q_mat, d_ids, d_mat, k, skip_self, allowed=None):
+    """Best ``k`` of a block of documents for each query of a block.
+
+    ``allowed``: per query, which of the documents it may retrieve.
+    """
     out_q, out_d, out_s = [], [], []
     for first in range(0, len(q_ids), QUERY_SLICE):
         sims = np.round(q_mat[first : first + QUERY_SLICE] @ d_mat.T, 6)
-        for qid, row in zip(q_ids[first : first + QUERY_SLICE], sims):
-            ids = d_ids
+        for at, row in enumerate(sims, first):
+            qid, ids = q_ids[at], d_ids
+            keep = allowed[at] if allowed else None
             if skip_self:
-                keep = d_ids != qid
+                keep = d_ids != qid if keep is None else keep & (d_ids != qid)
+            if keep is not None:
                 row, ids = row[keep], d_ids[keep]
             best = _best(row, ids, k)
             out_q.append(np.full(len(best), qid, dtype=object))
@@ -104,7 +118,13 @@ def _block_hits(q_ids, q_mat, d_ids, d_mat, k, skip_self):
 _HIT_SCHEMA = "query_id string, product_id string, score double"
 
 
-def _grid(queries: DataFrame, docs: DataFrame, cell: str, k: int, skip_self: bool) -> DataFrame:
+Allow = Callable[[tuple, pd.DataFrame], np.ndarray]
+
+
+def _grid(
+    queries: DataFrame, docs: DataFrame, cell: str, k: int, skip_self: bool,
+    wants: Sequence[str] = (), facts: Sequence[str] = (), allow: Allow | None = None,
+) -> DataFrame:
     """Blocks of documents meet blocks of queries of the same cell.
 
     The number of blocks of a cell follows from its counted size, so a cell
@@ -118,40 +138,50 @@ def _grid(queries: DataFrame, docs: DataFrame, cell: str, k: int, skip_self: boo
 
     sizes = blocks(docs, BLOCK_DOCS, "n_d").join(blocks(queries, BLOCK_QUERIES, "n_q"), cell)
 
-    def spread(df: DataFrame, id_col: str, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
+    def spread(df: DataFrame, id_col: str, extra: Sequence[str], own: str, other: str, own_block: str, other_block: str) -> DataFrame:
         return (
             df.join(sizes, cell)
             .withColumn(own_block, F.pmod(F.xxhash64(id_col), F.col(own)).cast("int"))
             .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .select(cell, "block_d", "block_q", id_col, "embedding")
+            .select(cell, "block_d", "block_q", id_col, "embedding", *extra)
         )
 
-    d = spread(docs, "product_id", "n_d", "n_q", "block_d", "block_q")
-    q = spread(queries, "query_id", "n_q", "n_d", "block_q", "block_d")
+    d = spread(docs, "product_id", facts, "n_d", "n_q", "block_d", "block_q")
+    q = spread(queries, "query_id", wants, "n_q", "n_d", "block_q", "block_d")
     # queries may be the products themselves: fresh columns keep the two sides apart
     q = q.select(*[F.col(c).alias(c) for c in q.columns])
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "product_id": [], "score": []})
+        allowed = None
+        if allow:
+            known: dict[str, np.ndarray] = {}
+            asked = list(left[list(wants)].itertuples(index=False, name=None))
+            allowed = [known[a] if (a := repr(w)) in known else known.setdefault(a, allow(w, right)) for w in asked]
         return _block_hits(
             left["query_id"].to_numpy(dtype=object), _matrix(left["embedding"]),
-            right["product_id"].to_numpy(dtype=object), _matrix(right["embedding"]), k, skip_self,
+            right["product_id"].to_numpy(dtype=object), _matrix(right["embedding"]), k, skip_self, allowed,
         )
 
     keys = [cell, "block_d", "block_q"]
     return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(meet, _HIT_SCHEMA)
 
 
-def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 20, skip_self: bool = False) -> DataFrame:
+def dense_topk(
+    queries: DataFrame, docs: DataFrame, k: int = 20, skip_self: bool = False,
+    wants: Sequence[str] = (), facts: Sequence[str] = (), allow: Allow | None = None,
+) -> DataFrame:
     """Exact cosine top ``k`` per query: (query_id, product_id, rank, score).
 
     One plan for all sizes: bounded blocks of queries meet bounded blocks of
-    documents, so a document is sent once per block of queries.
+    documents, so a document is sent once per block of queries. ``allow`` says
+    before the cut which of a block's documents a query may retrieve, from the
+    query's columns ``wants`` and the documents' columns ``facts``.
     """
     one = F.lit(0).alias("cell")
-    q, d = queries.select("query_id", "embedding", one), docs.select("product_id", "embedding", one)
-    return top_hits(_grid(q, d, "cell", k, skip_self), k)
+    q, d = queries.select("query_id", "embedding", *wants, one), docs.select("product_id", "embedding", *facts, one)
+    return top_hits(_grid(q, d, "cell", k, skip_self, wants, facts, allow), k)
 
 
 def lsh_cells(df: DataFrame, id_col: str, bands: int, bits: int, seed: int) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscan.functions.ranking import top_hits, top_k
 from shelfscan.functions.text import collapse_spaces, display, tokens, words
 from shelfscan.operators.index import document_frequency, posting_stats, query_postings
-from shelfscan.operators.retrieval import query_terms
+from shelfscan.operators.retrieval import bm25_topk, dense_topk, query_terms
 
 # Words ignored when matching a query against titles.
 MATCH_STOPWORDS = ["with", "for", "the", "and", "under", "in", "of", "to", "a", "an"]
@@ -403,12 +405,48 @@ def suggest_prefixes(log: DataFrame, query: str = "query", n: int = 5, min_lengt
     return top_k(prefixes, ["prefix"], [F.col("uses").desc(), F.col("completion")], n)
 
 
+def _intent_mask(wants: tuple, facts: pd.DataFrame) -> np.ndarray:
+    """:func:`intent_filter` for one query and the lower-case facts of a block of products."""
+    category, brand, most, values = wants
+    kept = np.ones(len(facts), dtype=bool)
+    if category:
+        kept &= facts["_path"].str.contains(category, regex=False).to_numpy(dtype=bool)
+    if brand:
+        kept &= (facts["_brand_name"] == brand).to_numpy(dtype=bool)
+    if pd.notna(most):
+        kept &= ~(facts["_price"] > most).to_numpy(dtype=bool)
+    for value in values:
+        kept &= facts["_attributes"].str.contains(value, regex=False).to_numpy(dtype=bool)
+    return kept
+
+
 def search_batch(
-    queries: DataFrame, docs: DataFrame, lexical: DataFrame, dense: DataFrame, intents: DataFrame, top_k_hits: int = 20, top_n: int = 10
+    queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, intents: DataFrame, top_k_hits: int = 20, top_n: int = 10
 ) -> DataFrame:
-    """Fuse, enrich, filter by intent, rerank: the answer to every query in one job."""
+    """Retrieve by words and by vectors, fuse, enrich, rerank: the answer to every query in one job.
+
+    A query retrieves only products that satisfy its intent, so a list is
+    short only where no more products qualify.
+    """
+    low = lambda c, name: F.lower(F.coalesce(F.col(c), F.lit(""))).alias(name)
+    facts = docs.select(
+        "product_id", low("category_path", "_path"), low("brand_name", "_brand_name"), low("attribute_summary", "_attributes"),
+        F.col("selling_price").cast("double").alias("_price"),
+    )
+    no_text = {c: "" for c in ("_path", "_brand_name", "_attributes")}
+    no_values = F.array().cast("array<string>")
+    values = F.transform(F.coalesce(F.map_values("filters"), no_values), F.lower)
+    wants = intents.select(
+        "query_id", F.lower("category").alias("_category"), F.lower("brand").alias("_brand"),
+        F.col("price_max").cast("double").alias("_most"), values.alias("_values"),
+    )
+    details = docs.select("product_id", "category_path", "brand_name", "attribute_summary", "selling_price")
+    lexical = bm25_topk(queries, docs, top_k_hits, keep=lambda scored: intent_filter(scored.join(details, "product_id"), intents))
+    dense = dense_topk(
+        query_vectors.join(wants, "query_id", "left").withColumn("_values", F.coalesce("_values", no_values)),
+        vectors.join(facts, "product_id", "left").fillna(no_text), top_k_hits,
+        wants=["_category", "_brand", "_most", "_values"], facts=["_path", "_brand_name", "_attributes", "_price"], allow=_intent_mask,
+    )
     fused = fuse_ranks(dense, lexical, top_k_hits)
-    wanted = enrich_hits(fused, docs.join(fused.select("product_id").distinct(), "product_id", "left_semi"))
-    kept = intent_filter(wanted, intents)
-    weights = term_weights(queries, docs)
-    return rerank(kept, weights, top_n)
+    found = enrich_hits(fused, docs.join(fused.select("product_id").distinct(), "product_id", "left_semi"))
+    return rerank(found, term_weights(queries, docs), top_n)

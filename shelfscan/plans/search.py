@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfscan.operators import search
 from shelfscan.plans.registry import register
-from shelfscan.plans.relevance import bm25_hits, dense_hits
+from shelfscan.plans.relevance import bm25_hits
 from shelfscan.sources.fixtures import Tables
 
 CUT = 14.0  # BM25 scores are not cosines; a cut that keeps part of the fixture hits
@@ -289,18 +289,26 @@ def suggest_prefix(t: Tables):
     return search.suggest_prefixes(log).select("prefix", "rank", "completion", "uses")
 
 
+def within_intent(scores: str) -> str:
+    """A query's best 20 of the scored products that its intent allows."""
+    return f"""SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank
+      FROM {scores} LEFT JOIN v_catalog USING (product_id) LEFT JOIN v_intents USING (query_id) WHERE {intent_where()}
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) <= 20"""
+
+
 @register(
     "search_batch",
-    f"""WITH {WEIGHTS}, fused AS (SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INT) AS rank, score
+    f"""WITH {WEIGHTS},
+    words AS ({within_intent('v_bm25_scores')}), vectors AS ({within_intent('v_dense_scores')}),
+    fused AS (SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INT) AS rank, score
       FROM (SELECT query_id, product_id, round(sum(s), 6) AS score FROM (
-        SELECT query_id, product_id, (1 - (rank - 1) / (count(*) OVER (PARTITION BY query_id))) * 0.7::DOUBLE AS s FROM v_dense_hits
-        UNION ALL SELECT query_id, product_id, (1 - (rank - 1) / (count(*) OVER (PARTITION BY query_id))) * 0.3::DOUBLE FROM v_bm25_hits) GROUP BY ALL)),
-    e AS (SELECT query_id, product_id, rank, score, coalesce(nullif(product_name, ''), 'Product ' || product_id) AS product_name, coalesce(brand_name, '') AS brand_name,
-      coalesce(category_path, '') AS category_path, coalesce(attribute_summary, '') AS attribute_summary, selling_price FROM fused LEFT JOIN v_catalog USING (product_id) WHERE rank <= 20),
-    f AS (SELECT * FROM e JOIN v_intents USING (query_id) WHERE {intent_where()})
+        SELECT query_id, product_id, (1 - (rank - 1) / (count(*) OVER (PARTITION BY query_id))) * 0.7::DOUBLE AS s FROM vectors
+        UNION ALL SELECT query_id, product_id, (1 - (rank - 1) / (count(*) OVER (PARTITION BY query_id))) * 0.3::DOUBLE FROM words) GROUP BY ALL)),
+    f AS (SELECT query_id, product_id, rank, score, coalesce(nullif(product_name, ''), 'Product ' || product_id) AS product_name, coalesce(brand_name, '') AS brand_name,
+      coalesce(category_path, '') AS category_path, coalesce(attribute_summary, '') AS attribute_summary, selling_price FROM fused LEFT JOIN v_catalog USING (product_id) WHERE rank <= 20)
     SELECT query_id, product_id, score, retrieval_rank, rerank_score, rank FROM ({rerank_sql('f', 10)})""",
 )
 def search_batch(t: Tables):
     """R16, flagship: every query answered in one job."""
-    out = search.search_batch(t["v_queries"], t["v_catalog"], bm25_hits(t), dense_hits(t), intents(t))
+    out = search.search_batch(t["v_queries"], t["v_catalog"], t["v_query_vectors"], t["v_vec_products"], intents(t))
     return out.select("query_id", "product_id", "score", "retrieval_rank", "rerank_score", "rank")

@@ -36,6 +36,25 @@ def test_dense_blocks_with_copies(spark, monkeypatch):
         assert got == [str(i) for i in want]
 
 
+def test_intent_narrows_the_candidates_not_the_answer(spark):
+    """30 better matches fail the filter; the list is full all the same."""
+    docs = spark.createDataFrame(
+        [(f"{i:02d}", "oak table", "oak table " * (3 if i < 30 else 1) + "word " * i, "SRC1" if i >= 30 else "SRC2", "en", "Color: Red", 10.0 if i < 45 else None, 4.0, 1) for i in range(50)],
+        "product_id string, product_name string, searchable_text string, category_path string, brand_name string, attribute_summary string, "
+        "selling_price double, average_rating double, review_count int",
+    )
+    vectors = docs.select("product_id", F.expr("array(1.0F, float(product_id) / 10)").alias("embedding"))
+    queries = spark.createDataFrame([("q", "oak table")], "query_id string, query string")
+    q_vectors = queries.select("query_id", F.expr("array(1.0F, 0.0F)").alias("embedding"))
+    intents = spark.createDataFrame(
+        [("q", "src1", None, 20.0, {"color": "red"})], "query_id string, category string, brand string, price_max double, filters map<string,string>"
+    )
+    out = search.search_batch(queries, docs, q_vectors, vectors, intents, 20, 10).collect()
+    assert len(out) == 10 and all(int(r["product_id"]) >= 30 for r in out)
+    none = intents.withColumn("filters", F.create_map(F.lit("color"), F.lit("blue")))
+    assert search.search_batch(queries, docs, q_vectors, vectors, none, 20, 10).count() == 0
+
+
 def test_ann_recall(spark, sf):
     t = Tables(spark, sf)
     exact = {tuple(r) for r in retrieval.dense_topk(t["v_query_vectors"], t["v_vec_products"], 10).select("query_id", "product_id").collect()}
