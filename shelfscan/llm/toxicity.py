@@ -1,10 +1,12 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Texts are folded first: letters of other scripts that look like Latin ones,
-full-width letters, and digits and signs written for letters. The lexicon is
+full-width letters, and digits and signs written for letters (a sign that
+closes a word is punctuation). The lexicon is
 learned from labelled documents: whole words and word beginnings, each weighed
 by the log-odds of toxic documents among those that hold it; an entry must be
-strong and significant (likelihood ratio). A document's evidence is the sum of
+strong and significant (likelihood ratio), and a beginning no weaker than the
+entries that go on from it, else it would only add clean words. A document's evidence is the sum of
 the weights of its distinct matched words, the weight per thousand words, and
 its largest weight; a logistic function fitted to the labelled documents makes
 them the score. Matches inside an exception phrase don't count.
@@ -19,6 +21,7 @@ each give their row; other columns are not read.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -58,9 +61,13 @@ _TABLE |= {c: " " for c in range(128) if not chr(c).isalnum() and c not in _TABL
 _TABLE |= {c: " " for c in (0xA0, 0x2018, 0x2019, 0x201C, 0x201D, 0x2013, 0x2014, 0x2026, 0xAB, 0xBB, 0xBF, 0xA1)}
 
 
+#: signs that stand for letters only where a word goes on behind them
+_CLOSING = re.compile(r"[!|$@]+(?!\w)")
+
+
 def folded(text: str) -> list[str]:
     """The words of a text, folded."""
-    return text.lower().translate(_TABLE).split()
+    return _CLOSING.sub(" ", text.lower()).translate(_TABLE).split()
 
 
 def _terms(word: str) -> list[str]:
@@ -134,6 +141,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return b
 
 
+def without_loose_stems(weights: dict[str, float]) -> dict[str, float]:
+    """Whole words, and those beginnings that tell no less than every entry that goes on from them."""
+    best: dict[str, float] = {}
+    for term, weight in weights.items():
+        for n in STEMS:
+            if n < len(term):
+                best[term[:n]] = max(best.get(term[:n], 0.0), weight)
+    return {t: w for t, w in weights.items() if t.endswith(" ") or w >= best.get(t, 0.0)}
+
+
 def _counted(counts: dict[int, Counter]) -> pa.RecordBatch:
     keys = list({*counts[0], *counts[1]})
     return pa.RecordBatch.from_arrays(
@@ -195,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
     )
     best = counts.where(a >= 2).select("term", weight.alias("weight"), ratio.alias("ratio"))
     best = best.where((F.col("ratio") >= SIGNIFICANCE) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("ratio"), "term").limit(entries)
-    lexicon = Lexicon({r["term"]: r["weight"] for r in best.collect()})
+    lexicon = Lexicon(without_loose_stems({r["term"]: r["weight"] for r in best.collect()}))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = train.mapInArrow(_features(shared), "x array<double>, toxic int").collect()  # at most ``sample`` rows of four numbers
     lexicon = Lexicon(lexicon.weights, tuple(fit_logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)).tolist()))

@@ -207,6 +207,9 @@ def test_lexicon_folds_and_excepts():
     assert toxicity.score_text(lexicon, automaton, "a clown fish") < 0.1
     assert toxicity.score_text(lexicon, automaton, "clownish") < 0.1 < toxicity.score_text(lexicon, automaton, "morons")
     assert toxicity.score_text(lexicon, automaton, "clown " + LONG) < plain
+    assert toxicity.folded("CLOWN!! c!own sc|um pa$ta$$$ @ll!") == ["clown", "ciown", "scium", "pasta", "all"]
+    loose = {"loser ": 7.7, "lose": 4.4, "clow": 5.0, "clown ": 4.0, "clowns ": 5.0, "scum ": 3.0}
+    assert toxicity.without_loose_stems(loose) == {k: w for k, w in loose.items() if k != "lose"}
 
 
 def test_chat_round_trip(spark):
