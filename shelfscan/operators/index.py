@@ -93,6 +93,15 @@ def index_stats(index: DataFrame, lengths: DataFrame) -> DataFrame:
     return docs.select("*", counted["terms"].alias("terms"), counted["postings"].alias("postings"))
 
 
+def vector_stats(vectors: DataFrame) -> DataFrame:
+    """One row: vectors, vectors that are NULL, and their least and largest dimension."""
+    size = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    return vectors.agg(
+        F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("embedding").isNull()).alias("missing"),
+        F.min(size).alias("least_dimension"), F.max(size).alias("largest_dimension"),
+    )
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows that differ between two snapshots, as insert / update / delete.
 

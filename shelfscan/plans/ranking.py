@@ -79,6 +79,16 @@ def index_stats(t: Tables):
     return index.index_stats(index.postings(docs), index.document_stats(docs))
 
 
+@register(
+    "vector_stats",
+    """SELECT count(*) AS vectors, count(*) FILTER (embedding IS NULL) AS missing, CAST(min(len(embedding)) AS INT) AS least_dimension,
+      CAST(max(len(embedding)) AS INT) AS largest_dimension FROM embeddings""",
+)
+def vector_stats(t: Tables):
+    """The vector index."""
+    return index.vector_stats(t["v_vec_products"])
+
+
 @register("embed_corpus")
 def embed_corpus(t: Tables):
     """Unit vectors of all documents."""

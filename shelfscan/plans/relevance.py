@@ -76,10 +76,10 @@ def eval_per_query(t: Tables):
     return report(t)
 
 
-_MEANS = ", ".join(f"round(avg({c})::DOUBLE, 4) AS {c}" for c in _ALL)
+MEANS = ", ".join(f"round(avg({c})::DOUBLE, 4) AS {c}" for c in _ALL)
 
 
-@register("eval_macro", f"WITH {metric_sql()} SELECT count(*) AS num_queries, {_MEANS} FROM m")
+@register("eval_macro", f"WITH {metric_sql()} SELECT count(*) AS num_queries, {MEANS} FROM m")
 def eval_macro(t: Tables):
     return evaluate.macro_average(evaluate.per_query(bm25_hits(t), grades(t), t["v_queries"]))
 

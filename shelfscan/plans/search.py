@@ -279,7 +279,7 @@ def intent_tokens(t: Tables):
 @register(
     "suggest_prefix",
     """WITH u AS (SELECT completion, count(*) AS uses FROM (SELECT query AS completion FROM v_search_log UNION ALL SELECT lower(source) FROM documents) GROUP BY 1),
-    p AS (SELECT completion, uses, substring(completion, 1, i) AS prefix FROM (SELECT completion, uses, unnest(range(2, least(length(completion), 20) + 1)) AS i FROM u WHERE length(completion) >= 2))
+    p AS (SELECT completion, uses, substring(completion, 1, i) AS prefix FROM (SELECT completion, uses, unnest(range(2, length(completion) + 1)) AS i FROM u WHERE length(completion) >= 2))
     SELECT prefix, CAST(row_number() OVER (PARTITION BY prefix ORDER BY uses DESC, completion) AS INT) AS rank, completion, uses FROM p
     QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY uses DESC, completion) <= 5""",
 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfscan.operators import evaluate, ops
 from shelfscan.plans.registry import register
-from shelfscan.plans.relevance import bm25_hits, grades
+from shelfscan.plans.relevance import MEANS, bm25_hits, grades, metric_sql
 from shelfscan.session import cut_lineage, scratch_path
 from shelfscan.sources import readers, sinks
 from shelfscan.sources.fixtures import Tables
@@ -121,7 +121,11 @@ def ops_append(t: Tables):
     return table.groupBy("pipeline_stage", "metric_name", "metric_value", "unit", "status").agg(F.count("timestamp").alias("n"))
 
 
-@register("eval_report_export")
+@register(
+    "eval_report_export",
+    f"""WITH {metric_sql()}, a AS (SELECT {MEANS} FROM m)
+    SELECT metric, average_value::DOUBLE AS average_value FROM a UNPIVOT (average_value FOR metric IN (COLUMNS(*)))""",
+)
 def eval_report_export(t: Tables):
     """Written by Spark and read back; the numbers are those of the metric queries."""
     folder = scratch_path(t.spark, "report")
