@@ -16,6 +16,13 @@ written out and joined by equality on whole fingerprints, which are unique.
 Defined results: null text has no words; a text without words has fingerprint
 zero; a null id counts as larger than any other and is returned as null; rows
 with one id are one document; an empty table gives no rows.
+
+``similar_links`` is for a similarity instead of two bits: fingerprints are
+candidates when they share a variant of one of ``segments`` segments and differ
+in at most ``bits``, and a candidate counts when its sets of ``words`` words
+have a Jaccard similarity of ``least``. Each row's nearest in each of its
+buckets is verified first; what this connects needs no more comparing, so only
+candidates of different components follow.
 """
 
 from __future__ import annotations
@@ -42,19 +49,23 @@ HOT = 65_536
 SMALL = 48
 
 
-def fingerprint(text: bytes) -> int:
-    """Majority bits of the shingles' XXH64; 0 for a text without words."""
+def _shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """XXH64 of every run of ``shingle`` words; of the whole line where there are no more words than that."""
     words = text.lower().split()
-    if not words:
-        return 0
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        hashes = [digest(line, SEED)]
-    else:
-        ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
-        starts = [0, *(e + 1 for e in ends[: -SHINGLE])]
-        hashes = [digest(line[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :])]
+    if len(words) <= shingle:
+        return [digest(line, SEED)]
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[:-shingle])]
+    return [digest(line[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority bits of the shingles' XXH64; 0 for a text without words."""
+    if not text.split():
+        return 0
+    hashes = _shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     packed = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, len(packed), 8192):
@@ -62,10 +73,13 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([fingerprint(t) for t in utf8(batch.column("text"))], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+def _fingerprints(shingle: int):
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t, shingle) for t in utf8(batch.column("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+
+    return prints_of
 
 
 def _segments_of(fp: np.ndarray, part: int) -> np.ndarray:
@@ -190,10 +204,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every document; fp is the fingerprint as a signed long."""
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
@@ -224,3 +238,146 @@ def drop_near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The rows of ``docs`` that are their group's smallest id, columns unchanged; rows without an id stay."""
     gone = near_groups(docs, hot).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+#: shingles of the similarity, and its least value
+WORDS = 5
+LEAST = 0.8
+#: candidates: segments with one wildcard each, and the most bits that differ
+SEGMENTS = 5
+NEAR_BITS = 12
+
+
+def _spread(segments: int):
+    """(key, fp, doc_id, label) of every variant of every segment."""
+    width = 64 // segments
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                some = batch.slice(at, 8192)
+                fp = some.column("fp").to_numpy().view(np.uint64)
+                keys = []
+                for part in range(segments):
+                    seg = (fp >> np.uint64(width * part)) & np.uint64((1 << width) - 1)
+                    keys += [(seg & ~np.uint64(1 << b)) | np.uint64((part << 6 | b) << 48) for b in range(width)]
+                for key in keys:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), some.column("fp"), some.column("doc_id"), some.column("label")], names=["key", "fp", "doc_id", "label"]
+                    )
+
+    return spread
+
+
+def _close_in(fp: np.ndarray, label: np.ndarray, bits: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one bucket of different labels within ``bits``: every pair, or each row's nearest."""
+    names, sizes = np.unique(label, return_counts=True)
+    rows = np.arange(len(fp)) if nearest else np.flatnonzero(label != names[sizes.argmax()])
+    left, right = [], []
+    step = max(1, 4_000_000 // len(fp))
+    for at in range(0, len(rows), step):
+        own = rows[at : at + step]
+        apart = np.bitwise_count(fp[own][:, None] ^ fp[None, :])
+        apart[label[own][:, None] == label[None, :]] = 255
+        if nearest:
+            other = apart.argmin(axis=1)
+            ok = apart[np.arange(len(own)), other] <= bits
+            left.append(own[ok])
+            right.append(other[ok])
+        else:
+            x, y = np.nonzero(apart <= bits)
+            left.append(own[x])
+            right.append(y)
+    return (np.concatenate(left), np.concatenate(right)) if left else (rows[:0], rows[:0])
+
+
+def _candidates(bits: int, nearest: bool):
+    """(a, b), a > b: candidates inside whole buckets; rows come sorted by key, a bucket may span batches."""
+
+    def out(key, fp, doc, label):
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        size_of = np.repeat(sizes, sizes)
+        small = size_of <= SMALL
+        x, y = [], []
+        for step in range(1, SMALL):
+            i = np.flatnonzero(small[:-step] & (size_of[:-step] > step) & (key[:-step] == key[step:]))
+            if not len(i):
+                break
+            i = i[(np.bitwise_count(fp[i] ^ fp[i + step]) <= bits) & (label[i] != label[i + step])]
+            x += [i, i + step]
+            y += [i + step, i]
+        if x:
+            x, y = np.concatenate(x), np.concatenate(y)
+            if nearest:
+                order = np.lexsort((np.bitwise_count(fp[x] ^ fp[y]), x))
+                x, y = x[order], y[order]
+                first = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+                x, y = x[first], y[first]
+            x, y = [x], [y]
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            a, b = _close_in(fp[s : s + n], label[s : s + n], bits, nearest)
+            x.append(a + s)
+            y.append(b + s)
+        x, y = (np.concatenate(x), np.concatenate(y)) if x else (np.zeros(0, int), np.zeros(0, int))
+        pairs = np.unique(np.stack([np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "fp", "doc_id", "label")
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            new = [batch.column(n).to_numpy() for n in names]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
+            done = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
+            if done:
+                yield out(held[0][:done], held[1][:done].view(np.uint64), held[2][:done], held[3][:done])
+                held = [c[done:] for c in held]
+        if held is not None and len(held[0]):
+            yield out(held[0], held[1].view(np.uint64), held[2], held[3])
+
+    return candidates
+
+
+def _close(prints: DataFrame, segments: int, bits: int, nearest: bool) -> DataFrame:
+    spread = prints.select("fp", "doc_id", "label").mapInArrow(_spread(segments), "key long, fp long, doc_id long, label long")
+    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(bits, nearest), "a long, b long").distinct()
+
+
+def _sets(words: int):
+    """(doc_id, own) of each row: the distinct hashes of its runs of ``words`` words."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(np.array(_shingle_hashes(t, words), np.uint64)).view(np.int64) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "own"])
+
+    return sets
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a")
+    both = F.size(F.array_intersect("x", "y"))
+    return joined.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
+
+
+def similar_links(docs: DataFrame, words: int = WORDS, least: float = LEAST, segments: int = SEGMENTS, bits: int = NEAR_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): ids of similar documents; they connect every candidate pair whose similarity is ``least``."""
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    prints = written(fingerprints(texts, shingle).distinct().withColumn("label", F.col("doc_id")), "near-prints")
+    first = written(_close(prints, segments, bits, nearest=True), "near-first")
+    linked = first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct()
+    sets = written(texts.join(linked, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, own array<long>"), "near-sets")
+    found = written(_similar(first, sets, least), "near-found")
+    # a row with a candidate has a nearest one, so the rest of the pairs is among these rows
+    roots = components(found).withColumnRenamed("node", "doc_id")
+    rest = prints.drop("label").join(linked, "doc_id", "left_semi").join(roots, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id"))
+    second = _close(rest, segments, bits, nearest=False).join(first, ["a", "b"], "left_anti")
+    return found.union(_similar(written(second, "near-second"), sets, least))
+
+
+def drop_similar(docs: DataFrame, words: int = WORDS, least: float = LEAST, segments: int = SEGMENTS, bits: int = NEAR_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that are the smallest id of those connected by similarity, columns unchanged; rows without an id stay."""
+    gone = components(similar_links(docs, words, least, segments, bits, shingle)).where("node <> root").select(F.col("node").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
