@@ -3,7 +3,9 @@
 Labelled page outcomes (bad or not) are counted per host, registered domain
 and public suffix, in the map tasks first. Each level's rate is shrunk to the
 level above: a beta-binomial prior centred on the parent's rate, its strength
-from the spread of the level's own rates (method of moments). A host is
+from the spread of the level's own rates (method of moments). A host without
+a labelled page has its domain's rate, a domain without one its suffix's, a
+suffix without one that of all labelled pages. A host is
 blocked when its bad rate lies above the limit even at the lower end of the
 posterior (mean less ``z`` standard deviations). Rules come first.
 
@@ -66,7 +68,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 
 def _strength(level: DataFrame) -> DataFrame:
     """One row: the prior strength k that explains the spread of the level's rates."""
-    sums = level.agg(
+    sums = level.where("n > 0").agg(
         F.sum("bad").alias("bad"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("squares")
     )
     m = F.col("bad") / F.col("total")
@@ -76,15 +78,15 @@ def _strength(level: DataFrame) -> DataFrame:
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """(host, n, bad, bound) per host with labelled pages. ``outcomes``: (page_id, bad)."""
+    """(host, n, bad, bound) per host of ``pages``; none without any labelled page. ``outcomes``: (page_id, bad)."""
     seen = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     host, _ = split_url(F.col("url"))
-    labelled = pages.select("page_id", host.alias("host")).where("host <> ''").join(seen, "page_id")
-    hosts = labelled.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    labelled = pages.select("page_id", host.alias("host")).where("host <> ''").join(seen, "page_id", "left")
+    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("rate"))
+    whole = suffixes.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("n > 0").select(((F.col("bad") + 1) / (F.col("n") + 2)).alias("rate"))
 
     def shrunk(level: DataFrame, parent_rate: str) -> Column:
         return (F.col("bad") + F.col("k") * F.col(parent_rate)) / (F.col("n") + F.col("k"))
