@@ -95,7 +95,7 @@ def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: floa
         F.min(F.struct((-F.col("score")).alias("s"), "path", "licence")).alias("holder")
     )
     parts = F.split("dir", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("up"), n.alias("depth")))
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("up"), n.alias("depth")))
     climbs = own.where("licence is null").select("dir").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.up", "a.depth")
     found = climbs.join(holders.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by("holder", "depth").alias("holder"))
     joined = own.join(written(found, "licence-directories"), "dir", "left")
