@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscan.llm import chat, decontaminate, exact, html_text, licenses, lines, packing, simhash, toxicity, urls
+from shelfscan.llm import bpe, chat, decontaminate, divergence, exact, html_text, licenses, lines, packing, simhash, toxicity, urls, whitening
 from shelfscan.sources.readers import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -111,9 +111,26 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, and the text they decode to."""
+    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between sources of a language, and the terms each has more of."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on up to 32 whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_licenses, op3_html_text, op4_exact_dedup, op5_simhash, op6_chat, op7_urls, op8_pack, op9_toxicity, op10_lines,
+        op11_bpe, op12_divergence, op13_whitening,
     )
 }

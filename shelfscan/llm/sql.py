@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfscan.llm import chat, decontaminate, licenses, lines, urls
+from shelfscan.llm import chat, decontaminate, divergence, licenses, lines, urls
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -183,6 +183,36 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+OP12 = rf"""
+WITH rows AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_lowered("coalesce(text, '')")}, '{divergence.TERM}') AS w
+  FROM documents
+),
+words AS (SELECT id, lang, source, unnest(w) AS term FROM rows),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT id) >= {divergence.LEAST_DOCS}),
+languages AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+counts AS (SELECT w.lang, w.source, term, count(*) AS n FROM words w JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM rows) g LEFT JOIN sizes s USING (lang, source)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS own,
+    1 + (CAST({divergence.UNIT} AS HUGEINT) * (coalesce(c.n, 0) + {divergence.PRIOR})) // CAST(g.n + {divergence.PRIOR} * l.v AS HUGEINT) AS p,
+    1 + (CAST({divergence.UNIT} AS HUGEINT) * (k.total + {divergence.PRIOR})) // CAST(l.n + {divergence.PRIOR} * l.v AS HUGEINT) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN languages l ON l.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+distances AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM shares WHERE own > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
 ORACLES = {
     "op1_decontaminate": OP1, "op2_licenses": OP2, "op4_exact_dedup": OP4, "op6_chat": OP6, "op7_urls": OP7, "op10_lines": OP10,
+    "op12_divergence": OP12,
 }
