@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import in_small_batches, utf8, written
+from shelfscan.llm.scratch import in_small_batches, other_columns, rows_again, utf8, written
 
 WINDOW = 10
 #: UTF-8 bytes of item texts in one automaton
@@ -221,10 +221,9 @@ def contamination(
 ) -> DataFrame:
     """(doc_id, n_words, spans, items) per document: hit words as runs, and the items with occurring windows.
 
-    With ``carry``, ``text`` and the whole row as ``row`` come along.
+    With ``carry``, ``text`` comes along, and the other columns as ``row``.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("boolean")
-    kind = docs.schema.simpleString() if carry else "boolean"
+    row, kind = other_columns(docs) if carry else (F.lit(None).cast("boolean"), "boolean")
     marked = in_small_batches(docs).select(
         row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:long,last:long>>)").alias("spans"),
@@ -266,8 +265,9 @@ def _clean(max_coverage: float):
                 dropped.append(bool(hit) and hit > max_coverage * n)
                 if hit and not dropped[-1]:
                     texts[i] = _cut_text(texts[i], [(s["first"], s["last"]) for s in spans])
+            cut = [not d and bool(s) for d, s in zip(dropped, batch.column("spans").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(texts, pa.string()), pa.array(dropped, pa.bool_())], names=["row", "clean", "dropped"]
+                [batch.column("row"), pa.array(texts, pa.string()), pa.array(cut, pa.bool_()), pa.array(dropped, pa.bool_())], names=["row", "text", "cut", "dropped"]
             )
 
     return run
@@ -282,26 +282,26 @@ def decontaminate(
     marked and cut again until a pass finds nothing. ``n_chars``, where there
     is one, follows the text. Texts without a hit stay as they are.
     """
-    columns = docs.columns
-    kind = docs.schema.simpleString()
+    columns, (_, kind) = docs.columns, other_columns(docs)
 
     def cut(rows: DataFrame) -> DataFrame:
+        """(row, text, cut) of the documents that stay; the helpers lie beside the packed row, so no column clashes with them."""
         found = contamination(rows, items, window, block_bytes, carry=True)
-        cleaned = found.select("row", "text", "n_words", "spans").mapInArrow(_clean(max_coverage), f"row {kind}, clean string, dropped boolean")
-        out = cleaned.where("not dropped").select("row.*", F.col("clean").alias("llm_clean"))
-        hit = ~F.col("llm_clean").eqNullSafe(F.col("text"))
-        out = out.withColumn("llm_cut", hit).withColumn("text", F.col("llm_clean"))
-        if "n_chars" in columns:
-            kept = docs.schema["n_chars"].dataType
-            out = out.withColumn("n_chars", F.when(F.col("llm_cut"), F.length("text").cast(kept)).otherwise(F.col("n_chars")))
-        return written(out.select(*[F.col(f"`{c}`") for c in columns], "llm_cut"), "decontaminated")
+        cleaned = found.select("row", "text", "n_words", "spans").mapInArrow(_clean(max_coverage), f"row {kind}, text string, cut boolean, dropped boolean")
+        return written(cleaned.where("not dropped").drop("dropped"), "decontaminated")
+
+    def whole(rows: DataFrame, was_cut: bool) -> DataFrame:
+        changed = {"text": F.col("text").cast(docs.schema["text"].dataType)}
+        if "n_chars" in columns and was_cut:
+            changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+        return rows_again(rows.where("cut" if was_cut else "not cut"), columns, **changed)
 
     once = cut(docs)
-    parts, again = [once.where("not llm_cut").drop("llm_cut")], once.where("llm_cut").drop("llm_cut")
+    parts, again = [whole(once, False)], whole(once, True)
     while again.take(1):
         more = cut(again)
-        parts.append(more.where("not llm_cut").drop("llm_cut"))
-        again = more.where("llm_cut").drop("llm_cut")
+        parts.append(whole(more, False))
+        again = whole(more, True)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

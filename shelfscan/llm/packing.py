@@ -35,8 +35,8 @@ SLACK = 8
 #: bins of one task in the merge rounds
 BINS_PER_TASK = 200_000
 FAN_IN = 8
-#: parts of words that a worker process keeps with their ids
-CACHE_PARTS = 300_000
+#: parts of words that a task keeps with their ids
+CACHE_PARTS = 100_000
 CACHE_LENGTH = 40
 
 _MEMBER = pa.struct(
@@ -105,9 +105,10 @@ _words: dict[str, Words] = {}
 
 
 def words_of(path: str) -> Words:
-    """The tokenizer of a worker process, which serves one task after another."""
+    """The tokenizer of a worker process; what an earlier task kept of its texts is gone."""
     if path not in _words:
         _words[path] = Words(path)
+    _words[path].known = {}
     return _words[path]
 
 

@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfscan.session import scratch_path
 
 
-#: rows of one Arrow batch of texts, where the session does not say: long texts would fill a worker with Spark's 10,000
-BATCH_ROWS = 1_000
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: bytes of one Arrow batch, where the session does not say: a worker holds a batch several times over
+BATCH_BYTES = "8m"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, whose session hands texts to Python tasks in batches of ``BATCH_ROWS``, unless it sets a size itself."""
+    """``docs``, whose session hands rows to Python tasks in batches of ``BATCH_BYTES``, unless it sets a size itself."""
     conf = docs.sparkSession.conf
-    if conf.get(_BATCH_ROWS) == "10000":
-        conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+    if _BATCH_BYTES not in conf.getAll:
+        conf.set(_BATCH_BYTES, BATCH_BYTES)
     return docs
 
 
+def other_columns(docs: DataFrame) -> tuple[Column, str]:
+    """All columns but ``text`` as one struct, and its type: no helper's name can clash with them, and no text is carried twice."""
+    others = StructType([f for f in docs.schema if f.name != "text"])
+    if not len(others):
+        return F.lit(None).cast("boolean"), "boolean"
+    return F.struct(*[F.col(f"`{f.name}`") for f in others]), others.simpleString()
+
+
+def rows_again(carried: DataFrame, columns: list[str], row: str = "row", **changed: Column) -> DataFrame:
+    """The rows that ``other_columns`` packed as ``row``, with ``text`` and whatever else is ``changed``."""
+    return carried.select(*[changed[c].alias(c) if c in changed else F.col(f"{row}.`{c}`").alias(c) for c in columns])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the rows written.
 

@@ -17,17 +17,24 @@ Defined results: null text has no words; a text without words has fingerprint
 zero; a null id counts as larger than any other and is returned as null; rows
 with one id are one document; an empty table gives no rows.
 
-``similar_links`` is for a similarity instead of two bits: fingerprints are
-candidates when they share a variant of one of ``segments`` segments and differ
-in at most ``bits``, and a candidate counts when its sets of ``words`` words
-have a Jaccard similarity of ``least``. Each row's nearest in each of its
-buckets is verified first; what this connects needs no more comparing, so only
-candidates of different components follow.
+``similar_links`` is for a similarity instead of two bits. Fingerprints are
+candidates when they share a variant of one of several segments. A segment is
+as wide as the counted rows need for buckets of a constant size, and wider
+segments are more of them, so that the recall stays. Inside a bucket a row meets
+another only if the sizes of their word sets, their fingerprints and their
+sketches (one bit of the least hash in each of 64 classes) allow the
+similarity. First, by half of the segments, each row goes on with the most
+central it meets (in a crowded bucket with the head of its crowd), and the pair
+is verified on the whole sets. What this connects needs no more comparing: in a
+second round, by all segments, a row goes on with the most central and the
+nearest of each other component it meets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -243,114 +250,238 @@ def drop_near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
 #: shingles of the similarity, and its least value
 WORDS = 5
 LEAST = 0.8
-#: candidates: segments with one wildcard each, and the most bits that differ
-SEGMENTS = 5
+#: most bits in which fingerprints and sketches of candidates differ
 NEAR_BITS = 12
+SKETCH_BITS = 18
+#: rows of a bucket that chance alone brings together, the least width of a segment, and what the segments are planned for:
+#: the share of pairs found that differ in ``PLANNED_BITS`` of 64
+CHANCE_ROWS = 128
+LEAST_WIDTH = 12
+PLANNED_BITS = 8
+RECALL = 0.985
+#: rows of a bucket beyond which rows meet heads instead of each other
+CROWD = 2048
 
+_NEAR_COLUMNS = ("doc_id", "fp", "sketch", "size", "label")
+_NEAR_SCHEMA = "doc_id long, fp long, sketch long, size int, label long"
 
-def _spread(segments: int):
-    """(key, fp, doc_id, label) of every variant of every segment."""
-    width = 64 // segments
+
+def planned_segments(rows: int) -> tuple[int, int]:
+    """(width, number) of segments for so many rows; a pair ``PLANNED_BITS`` apart shares a variant with a chance of ``RECALL``."""
+    width = min(32, max(LEAST_WIDTH, 1 + math.ceil(math.log2(max(rows, 1) / CHANCE_ROWS))))
+    apart = PLANNED_BITS / 64
+    one = (1 - apart) ** width + width * apart * (1 - apart) ** (width - 1)
+    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - one))
+
+
+def _segment(fp: np.ndarray, part: int, width: int, segments: int) -> np.ndarray:
+    """``width`` bits of each fingerprint; the parts start at even distances and go round the end."""
+    at = np.uint64(part * 64 // segments)
+    turned = (fp >> at) | (fp << ((np.uint64(64) - at) & np.uint64(63))) if at else fp
+    return turned & np.uint64((1 << width) - 1)
+
+
+def _spread(width: int, segments: int, parts: range):
+    """(key, ...) of every variant of the segments in ``parts``."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 some = batch.slice(at, 8192)
                 fp = some.column("fp").to_numpy().view(np.uint64)
-                keys = []
-                for part in range(segments):
-                    seg = (fp >> np.uint64(width * part)) & np.uint64((1 << width) - 1)
-                    keys += [(seg & ~np.uint64(1 << b)) | np.uint64((part << 6 | b) << 48) for b in range(width)]
-                for key in keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), some.column("fp"), some.column("doc_id"), some.column("label")], names=["key", "fp", "doc_id", "label"]
-                    )
+                for part in parts:
+                    seg = _segment(fp, part, width, segments)
+                    for b in range(width):
+                        key = (seg & ~np.uint64(1 << b)) | np.uint64((part << 6 | b) << 48)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(some.column(n) for n in _NEAR_COLUMNS)], names=["key", *_NEAR_COLUMNS])
 
     return spread
 
 
-def _close_in(fp: np.ndarray, label: np.ndarray, bits: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one bucket of different labels within ``bits``: every pair, or each row's nearest."""
-    names, sizes = np.unique(label, return_counts=True)
-    rows = np.arange(len(fp)) if nearest else np.flatnonzero(label != names[sizes.argmax()])
+class _Rows:
+    """Columns of a bucket's rows, and how far rows are from each other."""
+
+    def __init__(self, columns: list[np.ndarray], bits: int, least: float):
+        self.doc, fp, sketch, self.size, self.label = columns
+        self.fp, self.sketch = fp.view(np.uint64), sketch.view(np.uint64)
+        self.bits, self.least = bits, least
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches differ, 255 where the rows cannot be similar or are of one component; x and y broadcast."""
+        far = np.bitwise_count(self.sketch[x] ^ self.sketch[y])
+        size_x, size_y = self.size[x], self.size[y]
+        ok = (np.bitwise_count(self.fp[x] ^ self.fp[y]) <= self.bits) & (far <= SKETCH_BITS) & (self.label[x] != self.label[y])
+        ok &= np.minimum(size_x, size_y) >= self.least * np.maximum(size_x, size_y)
+        return np.where(ok, far, np.uint8(255))
+
+
+def _best_of(rows: _Rows, own: np.ndarray, all_rows: np.ndarray, per_component: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``own`` its most central neighbour among ``all_rows``; with ``per_component`` that and the nearest of each other component.
+
+    The most central is the one that is nearest to its own neighbours on the
+    whole: the text that copies were made from is similar to all of them, when
+    they are hardly similar to each other.
+    """
+    if per_component:
+        all_rows = all_rows[np.argsort(rows.label[all_rows], kind="stable")]
+        names = rows.label[all_rows]
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+    else:
+        starts = np.zeros(1, np.int64)
+    step = max(1, 1_000_000 // len(all_rows))
+    parts = [own[at : at + step] for at in range(0, len(own), step)]
+    sums, counts = np.zeros(len(all_rows)), np.zeros(len(all_rows))
+    for some in parts:
+        far = rows.apart(some[:, None], all_rows[None, :])
+        sums += np.where(far < 255, far, 0).sum(axis=0)
+        counts += (far < 255).sum(axis=0)
+    central = np.argsort(np.argsort(sums / np.maximum(counts, 1), kind="stable"), kind="stable")
+    place = np.arange(len(all_rows), dtype=np.int64)
+    none = np.int64(1) << 62
+    left, right = [own[:0]], [own[:0]]
+    for some in parts:
+        far = rows.apart(some[:, None], all_rows[None, :]).astype(np.int64)
+        for order in (far, np.broadcast_to(central[None, :], far.shape))[0 if per_component else 1 :]:
+            least = np.minimum.reduceat(np.where(far < 255, order << 32 | place[None, :], none), starts, axis=1)
+            x, k = np.nonzero(least < none)
+            left.append(some[x])
+            right.append(all_rows[least[x, k] & 0xFFFFFFFF])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _to_heads(rows: _Rows, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, head) of a crowded bucket: the row in the middle of a crowd heads all that can be similar to it, then the rest goes on."""
     left, right = [], []
-    step = max(1, 4_000_000 // len(fp))
-    for at in range(0, len(rows), step):
-        own = rows[at : at + step]
-        apart = np.bitwise_count(fp[own][:, None] ^ fp[None, :])
-        apart[label[own][:, None] == label[None, :]] = 255
-        if nearest:
-            other = apart.argmin(axis=1)
-            ok = apart[np.arange(len(own)), other] <= bits
-            left.append(own[ok])
-            right.append(other[ok])
-        else:
-            x, y = np.nonzero(apart <= bits)
-            left.append(own[x])
-            right.append(y)
-    return (np.concatenate(left), np.concatenate(right)) if left else (rows[:0], rows[:0])
-
-
-def _candidates(bits: int, nearest: bool):
+    while len(own) > CROWD:
+        near = own[rows.apart(own[:1], own) < 255]
+        if not len(near):
+            own = own[1:]
+            continue
+        ones = np.unpackbits(rows.sketch[near].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+        middle = np.frombuffer(np.packbits(2 * ones > len(near)).tobytes(), ">u8").astype(np.uint64)[0]
+        head = near[np.bitwise_count(rows.sketch[near] ^ middle).argmin()]
+        members = own[rows.apart(np.array([head]), own) < 255]
+        left.append(members)
+        right.append(np.full(len(members), head))
+        gone = np.isin(own, members) | (own == head)
+        gone[0] = True
+        own = own[~gone]
+    if len(own):
+        x, y = _best_of(rows, own, own, False)
+        left.append(x)
+        right.append(y)
+    return (np.concatenate(left), np.concatenate(right)) if left else (own, own)
+
+
+def _candidates(bits: int, least: float, per_component: bool):
     """(a, b), a > b: candidates inside whole buckets; rows come sorted by key, a bucket may span batches."""
 
-    def out(key, fp, doc, label):
+    def out(key, columns):
+        rows = _Rows(columns, bits, least)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         size_of = np.repeat(sizes, sizes)
         small = size_of <= SMALL
-        x, y = [], []
+        x, y, far = [], [], []
         for step in range(1, SMALL):
             i = np.flatnonzero(small[:-step] & (size_of[:-step] > step) & (key[:-step] == key[step:]))
             if not len(i):
                 break
-            i = i[(np.bitwise_count(fp[i] ^ fp[i + step]) <= bits) & (label[i] != label[i + step])]
+            own = rows.apart(i, i + step)
+            i, own = i[own < 255], own[own < 255]
             x += [i, i + step]
             y += [i + step, i]
+            far += [own, own]
         if x:
-            x, y = np.concatenate(x), np.concatenate(y)
-            if nearest:
-                order = np.lexsort((np.bitwise_count(fp[x] ^ fp[y]), x))
-                x, y = x[order], y[order]
-                first = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
-                x, y = x[first], y[first]
-            x, y = [x], [y]
+            x, y, far = map(np.concatenate, (x, y, far))
+            counts = np.bincount(y, minlength=len(key))
+            mean = (np.bincount(y, far, minlength=len(key)) / np.maximum(counts, 1))[y]
+            group = [x, rows.label[y]] if per_component else [x]
+            picked = []
+            for best in (far, mean) if per_component else (mean,):
+                order = np.lexsort((y, best, *reversed(group)))
+                same = [g[order][1:] == g[order][:-1] for g in group]
+                first = np.r_[True, ~np.logical_and.reduce(same)] if len(x) else np.zeros(0, bool)
+                picked.append(order[first])
+            picked = np.concatenate(picked)
+            x, y = [x[picked]], [y[picked]]
         for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            a, b = _close_in(fp[s : s + n], label[s : s + n], bits, nearest)
-            x.append(a + s)
-            y.append(b + s)
+            own = np.arange(s, s + n)
+            if per_component:
+                names, counts = np.unique(rows.label[own], return_counts=True)
+                a, b = _best_of(rows, own[rows.label[own] != names[counts.argmax()]], own, True) if len(names) > 1 else (own[:0], own[:0])
+            else:
+                a, b = _to_heads(rows, own)
+            x.append(a)
+            y.append(b)
         x, y = (np.concatenate(x), np.concatenate(y)) if x else (np.zeros(0, int), np.zeros(0, int))
-        pairs = np.unique(np.stack([np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y])]), axis=1)
+        pairs = np.unique(np.stack([np.maximum(rows.doc[x], rows.doc[y]), np.minimum(rows.doc[x], rows.doc[y])]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "fp", "doc_id", "label")
         held: list[np.ndarray] | None = None
         for batch in batches:
-            new = [batch.column(n).to_numpy() for n in names]
+            new = [batch.column(n).to_numpy() for n in ("key", *_NEAR_COLUMNS)]
             held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
             done = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
             if done:
-                yield out(held[0][:done], held[1][:done].view(np.uint64), held[2][:done], held[3][:done])
+                yield out(held[0][:done], [c[:done] for c in held[1:]])
                 held = [c[done:] for c in held]
         if held is not None and len(held[0]):
-            yield out(held[0], held[1].view(np.uint64), held[2], held[3])
+            yield out(held[0], held[1:])
 
     return candidates
 
 
-def _close(prints: DataFrame, segments: int, bits: int, nearest: bool) -> DataFrame:
-    spread = prints.select("fp", "doc_id", "label").mapInArrow(_spread(segments), "key long, fp long, doc_id long, label long")
-    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(bits, nearest), "a long, b long").distinct()
+def _close(rows: list[tuple[DataFrame, range]], width: int, segments: int, bits: int, least: float, per_component: bool) -> DataFrame:
+    """(a, b) of candidates; ``rows`` are tables of rows, each with the parts by which they are to meet."""
+    schema = f"key long, {_NEAR_SCHEMA}"
+    spread = reduce(DataFrame.union, [r.select(*_NEAR_COLUMNS).mapInArrow(_spread(width, segments, parts), schema) for r, parts in rows])
+    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(bits, least, per_component), "a long, b long").distinct()
+
+
+def word_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of a text's runs of ``words`` words."""
+    return np.unique(np.array(_shingle_hashes(text, words), np.uint64))
+
+
+def sketch(own: np.ndarray) -> int:
+    """One bit of the least hash in each of 64 classes of the set; 0 for a class without any."""
+    mixed = own * np.uint64(0x9E3779B97F4A7C15)
+    least = np.full(64, np.uint64(0), np.uint64)
+    order = np.argsort(mixed, kind="stable")[::-1]
+    least[(own[order] & np.uint64(63)).astype(np.int64)] = mixed[order]  # the last written is the least
+    return int.from_bytes(np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).tobytes(), "big")
+
+
+def _near_prints(shingle: int, words: int):
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in utf8(batch.column("text")):
+                own = word_set(text, words)
+                rows.append((fingerprint(text, shingle), sketch(own), len(own)))
+            fp, sketches, sizes = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(sketches, np.uint64).view(np.int64)),
+                    pa.array(np.array(sizes, np.int32)), batch.column("doc_id"),
+                ],
+                names=list(_NEAR_COLUMNS),
+            )
+
+    return prints_of
 
 
 def _sets(words: int):
-    """(doc_id, own) of each row: the distinct hashes of its runs of ``words`` words."""
+    """(doc_id, own) of each row: its set of word runs."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(np.array(_shingle_hashes(t, words), np.uint64)).view(np.int64) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "own"])
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                own = [word_set(t, words).view(np.int64) for t in utf8(some.column("text"))]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "own"])
 
     return sets
 
@@ -362,22 +493,30 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
-def similar_links(docs: DataFrame, words: int = WORDS, least: float = LEAST, segments: int = SEGMENTS, bits: int = NEAR_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b): ids of similar documents; they connect every candidate pair whose similarity is ``least``."""
+def similar_links(docs: DataFrame, words: int = WORDS, least: float = LEAST, bits: int = NEAR_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): ids of similar documents that connect what the candidates connect. Runs jobs while the result is planned."""
     texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    prints = written(fingerprints(texts, shingle).distinct().withColumn("label", F.col("doc_id")), "near-prints")
-    first = written(_close(prints, segments, bits, nearest=True), "near-first")
-    linked = first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct()
-    sets = written(texts.join(linked, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, own array<long>"), "near-sets")
-    found = written(_similar(first, sets, least), "near-found")
-    # a row with a candidate has a nearest one, so the rest of the pairs is among these rows
+    prints = written(texts.mapInArrow(_near_prints(shingle, words), _NEAR_SCHEMA).distinct(), "near-prints")
+    width, segments = planned_segments(prints.count())
+    early, late = range(0, -(-segments // 2)), range(-(-segments // 2), segments)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        return written(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, own array<long>"), "near-sets")
+
+    first = written(_close([(prints, early)], width, segments, bits, least, per_component=False), "near-first")
+    found = written(_similar(first, sets_of(first), least), "near-found")
+    met = first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct().withColumn("met", F.lit(True))
     roots = components(found).withColumnRenamed("node", "doc_id")
-    rest = prints.drop("label").join(linked, "doc_id", "left_semi").join(roots, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id"))
-    second = _close(rest, segments, bits, nearest=False).join(first, ["a", "b"], "left_anti")
-    return found.union(_similar(written(second, "near-second"), sets, least))
+    labelled = prints.drop("label").join(roots, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).join(met, "doc_id", "left")
+    labelled = written(labelled.select(*_NEAR_COLUMNS, F.coalesce("met", F.lit(False)).alias("met")), "near-labelled")
+    # who met nobody by the early parts has nobody there
+    second = _close([(labelled, late), (labelled.where("met"), early)], width, segments, bits, least, per_component=True)
+    second = written(second.join(first, ["a", "b"], "left_anti"), "near-second")
+    return found.union(_similar(second, sets_of(second), least))
 
 
-def drop_similar(docs: DataFrame, words: int = WORDS, least: float = LEAST, segments: int = SEGMENTS, bits: int = NEAR_BITS, shingle: int = SHINGLE) -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = WORDS, least: float = LEAST, bits: int = NEAR_BITS, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of those connected by similarity, columns unchanged; rows without an id stay."""
-    gone = components(similar_links(docs, words, least, segments, bits, shingle)).where("node <> root").select(F.col("node").alias("gone_id"))
+    gone = components(similar_links(docs, words, least, bits, shingle)).where("node <> root").select(F.col("node").alias("gone_id"))
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -31,13 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import in_small_batches, written
+from shelfscan.llm.scratch import in_small_batches, other_columns, rows_again, written
 
 THRESHOLD = 0.3
 #: labelled documents the lexicon is learned from, at most; those with the smallest hash of their id
 SAMPLE = 40_000
-#: entries of the lexicon at most, those of the largest significance
-ENTRIES = 4_000
 #: an entry needs this likelihood ratio statistic (one degree of freedom), and this log-odds
 SIGNIFICANCE = 14.0
 LEAST_WEIGHT = 3.0
@@ -191,8 +189,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return in_small_batches(docs).join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("label_id")).select(F.col("text").cast("string").alias("text"), "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Lexicon:
-    """A lexicon from the labelled documents; the driver gets its ``entries`` and the features of the sample."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
+    """A lexicon from the labelled documents. Runs at once; the driver gets the significant entries and the features of the sample."""
     train = written(training_rows(docs, labels, sample), "toxicity-training")
     counts = train.mapInArrow(_count_terms, "term string, n_toxic long, n_clean long")
     counts = counts.groupBy("term").agg(F.sum("n_toxic").alias("a"), F.sum("n_clean").alias("c"))
@@ -211,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
         part(a, held * toxic / n) + part(c, held * clean / n) + part(F.lit(toxic) - a, (F.lit(n) - held) * toxic / n) + part(F.lit(clean) - c, (F.lit(n) - held) * clean / n)
     )
     best = counts.where(a >= 2).select("term", weight.alias("weight"), ratio.alias("ratio"))
-    best = best.where((F.col("ratio") >= SIGNIFICANCE) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("ratio"), "term").limit(entries)
+    best = best.where((F.col("ratio") >= SIGNIFICANCE) & (F.col("weight") >= LEAST_WEIGHT))
     lexicon = Lexicon(without_loose_stems({r["term"]: r["weight"] for r in best.collect()}))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = train.mapInArrow(_features(shared), "x array<double>, toxic int").collect()  # at most ``sample`` rows of four numbers
@@ -224,7 +222,7 @@ def _score(lexicon, threshold: float):
         automaton = lexicon.value.automaton()
         for batch in batches:
             scores = np.array([score_text(lexicon.value, automaton, t or "") for t in batch.column("text").to_pylist()], float)
-            keep = [n for n in batch.schema.names if n != "text"]
+            keep = batch.schema.names
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in keep), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"]
             )
@@ -233,13 +231,12 @@ def _score(lexicon, threshold: float):
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
-    """(doc_id, score, predicted) per document; with ``carry`` the whole row as ``row`` too."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("boolean")
-    kind = docs.schema.simpleString() if carry else "boolean"
+    """(doc_id, score, predicted) per document; with ``carry`` also ``text``, and the other columns as ``row``."""
+    row, kind = other_columns(docs) if carry else (F.lit(None).cast("boolean"), "boolean")
     rows = in_small_batches(docs).select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    out = rows.mapInArrow(_score(shared, threshold), f"row {kind}, doc_id long, score double, predicted int")
-    return out if carry else out.drop("row")
+    out = rows.mapInArrow(_score(shared, threshold), f"row {kind}, doc_id long, text string, score double, predicted int")
+    return out if carry else out.drop("row", "text")
 
 
 def held_out(doc_id):
@@ -248,4 +245,4 @@ def held_out(doc_id):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` below the threshold, columns unchanged."""
-    return score(docs, learn(docs, labels), threshold, carry=True).where("predicted = 0").select("row.*")
+    return score(docs, learn(docs, labels), threshold, carry=True).where("predicted = 0").transform(rows_again, docs.columns, text=F.col("text"))

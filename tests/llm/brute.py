@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from html import unescape
 from itertools import combinations
 
 import xxhash
@@ -69,6 +71,43 @@ def components(prints, bits=2):
     return {doc: least[find(fp)] for doc, fp in prints}
 
 
+def word_runs(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII_LOWER))
+    return {xxhash.xxh64_intdigest(" ".join(w[i : i + n])) for i in range(max(1, len(w) - n + 1))}
+
+
+def similar_pairs(docs, least=0.8):
+    """Pairs of rows whose sets of word runs have a Jaccard similarity of ``least``, by prefix filtering."""
+    sets = [(doc, word_runs(text)) for doc, text in docs]
+    often = Counter(h for _, own in sets for h in own)
+    first, out = defaultdict(list), []
+    for i, (doc, own) in enumerate(sets):
+        rare = sorted(own, key=lambda h: (often[h], h))[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
+        for j in {j for h in rare for j in first[h]}:
+            other = sets[j][1]
+            if min(len(own), len(other)) >= least * max(len(own), len(other)):
+                both = len(own & other)
+                if both >= least * (len(own) + len(other) - both):
+                    out.append((sets[j][0], doc))
+        for h in rare:
+            first[h].append(i)
+    return out
+
+
+def smallest_reachable(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in root}
+
+
 def exact_groups(docs):
     groups = defaultdict(list)
     for doc, text in docs:
@@ -94,6 +133,20 @@ def kept_lines(docs, least=10):
     return out
 
 
+_BLOCK_TAG = re.compile(r"</?(?:p|h[1-6]|li|ul|ol|article|div|blockquote|section|header|table|tr|td|pre|figure|figcaption)\b[^>]*>")
+
+
+def article_text(page):
+    """Text of the page's article element by regular expressions; None where there is none."""
+    inner = re.search(r"(?s)<article[^>]*>(.*)</article>", page or "")
+    if not inner:
+        return None
+    bare = re.sub(r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "", inner.group(1))
+    parts = _BLOCK_TAG.split(re.sub(r"<br[^>]*>", " ", bare))
+    texts = [" ".join(unescape(re.sub(r"<[^>]+>", "", p)).split()) for p in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
 def pieces(docs, tokenizer, length=4096, end=1):
     """(doc_id, piece) -> (start, length, crc32)."""
     out = {}

@@ -2,35 +2,18 @@
 
 import random
 
-import corpus_pipeline
-from shelfscan.llm import simhash
-
-
-def shingles(text, n=5):
-    w = text.lower().split()
-    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
-
+import pytest
+from pyspark.sql import functions as F
 
-def similar(a, b):
-    x, y = shingles(a), shingles(b)
-    return len(x & y) >= 0.8 * len(x | y)
+import corpus_pipeline
+from shelfscan.llm import graph, simhash
+from tests.llm import brute
 
 
 def kept(texts):
     """Smallest id of each connected group."""
-    root = {i: i for i, _ in texts}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for n, (i, a) in enumerate(texts):
-        for j, b in texts[n + 1 :]:
-            if similar(a, b):
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    return {i for i in root if find(i) == i}
+    least = brute.smallest_reachable([i for i, _ in texts], brute.similar_pairs(texts))
+    return {i for i in least if least[i] == i}
 
 
 def test_the_stage_drops_similar_documents(spark):
@@ -51,3 +34,42 @@ def test_the_stage_drops_similar_documents(spark):
     assert sorted(x for x in got if x is not None) == sorted(want)
     two_bits = simhash.drop_near_copies(table).where("doc_id is not null").count()
     assert two_bits > len(want) + 10  # what the stage was before
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_of_similar_pairs(spark, scale):
+    """Of all pairs of different texts with a 5-word similarity of 0.8, found by exact prefix filtering."""
+    rows = {r["text"]: r["doc_id"] for r in spark.read.parquet(f"/root/testdata/{scale}/documents.parquet").collect() if r["text"]}
+    texts = [(d, t) for t, d in rows.items()]
+    want = brute.similar_pairs(texts)
+    links = simhash.similar_links(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r["b"], r["a"]) for r in links} | {(r["a"], r["b"]) for r in links} <= {p for a, b in want for p in ((a, b), (b, a))}  # no false ones
+    least = brute.smallest_reachable([d for d, _ in texts], [(r["a"], r["b"]) for r in links])
+    found = sum(least[a] == least[b] for a, b in want)
+    assert len(want) >= 5 and found >= 0.95 * len(want), (found, len(want))
+
+
+def test_crowded_buckets_meet_heads(spark, monkeypatch):
+    """A crowd of copies of one text that are similar to it, though hardly to each other."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [(0, " ".join(base))]
+    for i in range(1, 400):
+        own = list(base)
+        for _ in range(6):
+            own[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(own)))
+    monkeypatch.setattr(simhash, "CROWD", 60)  # in the workers too: the function is sent by value where they are forked
+    got = simhash.similar_links(spark.createDataFrame(texts, "doc_id long, text string"))
+    roots = {r["node"]: r["root"] for r in graph.components(got).collect()}
+    assert sum(roots.get(i) == 0 for i, _ in texts) >= 0.97 * len(texts)
+    assert got.count() < 5 * len(texts)
+
+
+def test_odd_rows(spark):
+    rows = [(1, "a b c d e f", 1), (1, "x y z", 2), (2, "a b c d e f", 3), (3, None, 4), (4, "", 5), (5, "w " * 50_000, 6), (6, "w " * 50_000 + "v", 7), (None, "a b c d e f", 8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumns({c: F.lit("clash") for c in ("fp", "key", "sketch", "size", "a", "gone_id")})
+    kept_rows = simhash.drop_similar(table)
+    assert kept_rows.columns == table.columns
+    assert sorted((str(r["doc_id"]), r["label"]) for r in kept_rows.collect()) == [("1", 1), ("1", 2), ("3", 4), ("5", 6), ("6", 7), ("None", 8)]
+    assert simhash.drop_similar(table.where("false")).count() == 0

@@ -99,7 +99,7 @@ def test_pipeline(spark, sf, docs, items):
     left = [(d, t) for d, t in left if d in keep]
     assert sorted(map(tuple, b.select("doc_id", "text").collect())) == sorted(left)
     c = near(spark, b, sf)
-    least = brute.components([(d, brute.fingerprint(t)) for d, t in left])
+    least = brute.smallest_reachable([d for d, _ in left], brute.similar_pairs(left))
     left = [(d, t) for d, t in left if least[d] == d]
     assert sorted(map(tuple, c.select("doc_id", "text").collect())) == sorted(left)
     d = clean(spark, c, sf)
