@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 LOSS_ROLE = "assistant"
 #: rows whose lengths are summed in one step of the running totals
 STEP = 512
+#: code points of the pieces that spans are cut from
+CUT = 4096
 
 HEAD, HEAD_END, NEXT, END = "### ", ":\n", "<next/>", "</turn>\n"
 
@@ -104,7 +106,7 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)
 
     def read(block: Column) -> Column:
-        role = F.regexp_extract(block, r"(?s)^### ((?:[^\\:]|\\.)*):\n", 1)
+        role = F.regexp_extract(block, r"(?s)^### ((?:[^\\:]++|\\.)*+):\n", 1)
         texts = F.split(F.substring(block, F.length(role) + len(HEAD) + len(HEAD_END) + 1, F.length(block)), NEXT)
         return F.struct(_unescaped(role).alias("role"), texts.alias("texts"))
 
@@ -114,6 +116,18 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
     return _held(formatted, turns=F.flatten(F.transform(F.transform(blocks, read), turns)))
 
 
-def masked_text(parsed: DataFrame) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform("loss_mask", lambda m: F.get(F.col("turns"), m["turn"])["text"]), "")
+def with_masked_text(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with ``masked``: all text under the loss mask, cut out by its spans, unescaped, in order.
+
+    The formatted text is first cut into pieces of ``CUT`` code points, so that
+    a span is looked for in its own pieces and not from the beginning.
+    """
+    cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("formatted") / CUT).cast("int") - F.lit(1), F.lit(0)))
+    held = _held(formatted, cut_pieces=F.transform(cuts, lambda k: F.substring(F.col("formatted"), k * CUT + 1, F.lit(CUT))))
+
+    def under(m: Column) -> Column:
+        first, offset = F.floor(m["start"] / CUT).cast("int"), (m["start"] % CUT).cast("int")
+        n = F.floor((offset + m["length"]) / CUT).cast("int") + 1
+        return _unescaped(F.substring(F.array_join(F.slice("cut_pieces", first + 1, n), ""), offset + 1, m["length"].cast("int")))
+
+    return held.withColumn("masked", F.array_join(F.transform("loss_mask", under), "")).drop("cut_pieces")

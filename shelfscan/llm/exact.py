@@ -5,8 +5,9 @@ texts (their first code points, then SHA-256 of the whole), sorted within each
 partition (Spark's sort spills to disk), and equal texts then lie next to each
 other: each row is compared in full with its neighbour. The sort goes on by
 length and id, so the row that stays is the first of its run, and a group that
-fills a third of the table is cut over many partitions. What runs of one group
-in several partitions share is their digest; they meet as one row per run.
+fills a third of the table is cut over many partitions. Groups are these runs;
+those at the ends of a partition, which can be parts of one group, meet by
+their digest.
 
 Defined results: null text is an empty text; all empty texts are one group; a
 null id sorts after every other; of rows equal in text, length and id one
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import in_small_batches, utf8, written
+from shelfscan.llm.scratch import in_small_batches, other_columns, rows_again, utf8, written
 
 #: fixed value: the code points that normalisation deletes
 SPACE = " \t\n\x0b\x0c\r"
@@ -35,8 +36,8 @@ def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mark the first row of each run of equal texts; rows come sorted."""
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each run of equal texts; rows come sorted."""
     last_digest, last_text = None, b""
     for batch in batches:
         first = []
@@ -46,12 +47,54 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last_digest, last_text = digest, text
             else:
                 first.append(last_text.translate(None, _SPACE) != text.translate(None, _SPACE))
-        keep = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(first, pa.bool_())], names=[*keep, "first"])
+        yield batch.filter(pa.array(first, pa.bool_()))
 
 
-def _sorted_runs(docs: DataFrame, row, row_type: str, only_first: bool) -> DataFrame:
-    """(row, doc_id, digest, n_chars, first) of every document, in content order."""
+_RUN_ROWS = "doc_id long, digest string, n_chars long, first boolean, head_id long, head_chars long, size long, edge boolean"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row with what its run says: the run's first row, which stays, and its size; rows come sorted.
+
+    ``edge`` marks the first and the last run of the partition, which may go on
+    in another. Ids and lengths of one run are held until it ends.
+    """
+    names = [f.split()[0] for f in _RUN_ROWS.split(", ")]
+    out: list[list] = [[] for _ in names]
+    ids: list = []
+    chars: list = []
+    digest, text, number = None, b"", -1
+
+    def end_run(last: bool) -> None:
+        n = len(ids)
+        columns = (ids, [digest] * n, chars, [True] + [False] * (n - 1), ids[:1] * n, chars[:1] * n, [n] * n, [last or number == 0] * n)
+        for to, own in zip(out, columns):
+            to.extend(own)
+
+    def batch_of() -> pa.RecordBatch:
+        types = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+
+    for batch in batches:
+        texts = utf8(batch.column("text"))
+        for i, (doc, own, n) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), batch.column("n_chars").to_pylist())):
+            if own != digest or text.translate(None, _SPACE) != texts[i].translate(None, _SPACE):
+                if ids:
+                    end_run(False)
+                ids, chars, digest, text = [], [], own, texts[i]
+                number += 1
+            ids.append(doc)
+            chars.append(n)
+        if len(out[0]) >= 10_000:
+            yield batch_of()
+            out = [[] for _ in names]
+    if ids:
+        end_run(True)
+    yield batch_of()
+
+
+def _ordered(docs: DataFrame, row) -> DataFrame:
+    """(row, doc_id, digest, n_chars, text) in content order: of equal texts the one that stays comes first."""
     norm = normalised(F.col("text"))
     order = ["lead", "digest", F.desc("n_chars"), F.asc_nulls_last("doc_id")]
     rows = in_small_batches(docs).select(
@@ -59,11 +102,12 @@ def _sorted_runs(docs: DataFrame, row, row_type: str, only_first: bool) -> DataF
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.substring(norm, 1, LEAD).alias("lead"),
         F.col("text").cast("string").alias("text"),
     )
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = ordered.select("row", "doc_id", "digest", "n_chars", "text").mapInArrow(
-        _neighbours, f"row {row_type}, doc_id long, digest string, n_chars long, first boolean"
-    )
-    return marked.where("first") if only_first else marked
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "doc_id", "digest", "n_chars", "text")
+
+
+def _sorted_runs(docs: DataFrame, row, row_type: str) -> DataFrame:
+    """(row, doc_id, digest, n_chars, text) of the first row of each run."""
+    return _ordered(docs, row).mapInArrow(_firsts, f"row {row_type}, doc_id long, digest string, n_chars long, text string")
 
 
 def _groups(runs: DataFrame) -> DataFrame:
@@ -77,13 +121,21 @@ def _groups(runs: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per document.
 
-    ``docs`` has ``doc_id`` and ``text``.
+    ``docs`` has ``doc_id`` and ``text``. A group is a run of the sorted rows.
+    Only runs at the ends of a partition can be parts of a larger group; they
+    meet by digest, at most two of them per partition, so that table is
+    broadcast and no other row is looked at again.
     """
-    marked = written(_sorted_runs(docs, F.lit(None).cast("boolean"), "boolean", False).drop("row"), "content-sort")
-    # a written side is a plain exchange for the join, so Spark can split a group that fills a task
-    joined = marked.join(written(_groups(marked), "content-groups"), "digest")
-    kept = F.col("first") & (F.col("n_chars") == F.col("keep_chars")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    marked = written(_ordered(docs, F.lit(None).cast("boolean")).drop("row").mapInArrow(_runs, _RUN_ROWS), "content-sort")
+    edges = _groups(marked.where("edge")).withColumnRenamed("digest", "edge_digest").withColumnRenamed("group_size", "edge_size")
+    joined = marked.join(F.broadcast(edges), F.col("edge") & (F.col("digest") == F.col("edge_digest")), "left")
+    keep_id = F.when(F.col("edge"), F.col("keep_id")).otherwise(F.col("head_id"))
+    keep_chars = F.when(F.col("edge"), F.col("keep_chars")).otherwise(F.col("head_chars"))
+    kept = F.col("first") & (F.col("n_chars") == keep_chars) & F.col("doc_id").eqNullSafe(keep_id)
+    return joined.select(
+        "doc_id", keep_id.alias("keep_id"), F.when(F.col("edge"), F.col("edge_size")).otherwise(F.col("size")).alias("group_size"),
+        kept.alias("kept"), F.col("digest").alias("text_sha256"),
+    )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
@@ -93,8 +145,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     each, of which all but one go. Those are at most one per partition, so the
     list of them is broadcast.
     """
-    kind = docs.schema.simpleString()
-    firsts = written(_sorted_runs(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), kind, True), "content-firsts")
+    row, kind = other_columns(docs)
+    firsts = written(_sorted_runs(docs, row, kind), "content-firsts")
     heads = firsts.select("digest", "n_chars", "doc_id")
     again = heads.groupBy("digest").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1")
     beaten = heads.join(F.broadcast(again), "digest").join(F.broadcast(_groups(heads.join(F.broadcast(again), "digest", "left_semi"))), "digest").where(
@@ -102,4 +154,4 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     )
     beaten = beaten.select(F.col("digest").alias("d"), F.col("n_chars").alias("n"), F.col("doc_id").alias("i"))
     same = (F.col("digest") == F.col("d")) & (F.col("n_chars") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("i"))
-    return firsts.join(F.broadcast(beaten), same, "left_anti").select("row.*")
+    return firsts.join(F.broadcast(beaten), same, "left_anti").transform(rows_again, docs.columns, text=F.col("text"))

@@ -1,17 +1,21 @@
 """Main text of web pages.
 
 The standard library's parser is fed as a stream; its events are turned into
-lines, one per block element, with the characters and tags of each. Elements
-that are boilerplate by their tag, role, class or id give no lines. The ratio
-of text to tags per line is smoothed with a Gaussian and cut at the mean of
-its two clusters (two-means of the smoothed ratios); the lines above vote with
-their characters for the element that holds the main text: an article or main
-element where there is one, else the deepest element that holds most votes.
-All lines of the chosen element are kept, short ones too.
+lines, one per block element, with the characters and tags of each. The ratio
+of text to tags per line is smoothed with a Gaussian. What tags, roles, classes
+and ids say about a line raises or lowers its ratio: article and main elements
+raise it, menus, headers, footers, sidebars, notices, adverts, forms and, most
+of all, comments lower it. A mark on an element that holds most of the page's
+dense text counts for nothing, unless it says comments. The logarithms of the
+weighted ratios form two clusters, and the lines above their threshold are the
+content; a lowered line must be above it by itself, not by its neighbours. With them come the other lines of the region they are in, unless
+lowered: of the article or main element, else of the smallest element that
+covers them all, else the short lines between them and the heading before.
 
 Defined results: null html is empty; a page without text gives the empty
-string; markup that the parser refuses is read as text; repeated pages each
-give their row; other columns are not read.
+string; markup that the parser refuses is read as text, an unclosed comment is
+a comment to the end; repeated pages each give their row; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,8 +33,14 @@ from shelfscan.llm.scratch import in_small_batches
 
 #: lines, for the Gaussian
 SIGMA = 1.5
-#: share of the votes that the chosen element has, where no article or main element marks it
-SHARE = 0.8
+#: what a line's ratio is multiplied by: in an article or main element, in a lowered element, in comments
+RAISED, LOWERED, COMMENT = 3.0, 0.02, 0.0005
+#: share of the page's dense text that takes an element's mark away
+SHARE = 0.5
+#: logarithms closer than this are one cluster: a ratio four times another is no other kind of line
+ALIKE = float(np.log(4))
+#: lines between two regions of content, or a heading and one, that are joined with them
+GAP = 3
 
 #: fixed values: HTML elements by kind
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,18 +49,21 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SKIPPED = frozenset(
-    "script style noscript template head title nav header footer aside form button select textarea option menu dialog iframe object svg "
-    "canvas audio video math applet map datalist".split()
+    "script style noscript template head title button select textarea option iframe object svg canvas audio video math applet map datalist".split()
 )
+LOW = frozenset("nav header footer aside form menu dialog".split())
 SECTIONS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: fixed values: ARIA roles and words of class and id that mark boilerplate
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 MARKS = frozenset(
     "nav navbar navigation menu header footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion "
     "sponsor sponsored cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments disqus respond replies reply share sharing social related recommended recommendations breadcrumb breadcrumbs "
+    "disqus respond share sharing social related recommended recommendations breadcrumb breadcrumbs "
     "pagination pager toolbar widget masthead copyright skip".split()
 )
+COMMENTS = frozenset("comment comments reply replies".split())
+COMMENTS = frozenset("comment comments reply replies".split())
 #: an end tag that was left out ends before these starts
 CLOSED_BY = {
     "p": BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "dd", "dt"} | {"dd", "dt"},
@@ -63,19 +76,20 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "number", "skipped", "parent")
+    """An open element: whether it shows no text, and what it says about its lines (a section, lowered, comments)."""
 
-    def __init__(self, tag, number, skipped, parent):
-        self.tag, self.number, self.skipped, self.parent = tag, number, skipped, parent
+    __slots__ = ("tag", "number", "skipped", "says", "parent")
+
+    def __init__(self, tag, number, skipped, says, parent):
+        self.tag, self.number, self.skipped, self.says, self.parent = tag, number, skipped, says, parent
 
 
 class Events(HTMLParser):
     """Lines (text, tags, element) of a page, from the parser's events."""
 
-    def __init__(self, use_marks: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.use_marks = use_marks
-        self.root = _Element("", 0, False, None)
+        self.root = _Element("", 0, False, "", None)
         self.open = [self.root]
         self.elements = 1
         self.lines: list[tuple[str, int, _Element]] = []
@@ -92,21 +106,31 @@ class Events(HTMLParser):
     def _block(self) -> _Element:
         return next((e for e in reversed(self.open) if e.tag in BLOCK), self.root)
 
-    def _boilerplate(self, tag: str, attrs) -> bool:
-        if tag in SKIPPED:
-            return True
-        if tag in ("html", "body") or not self.use_marks:
+    @staticmethod
+    def _hidden(tag: str, attrs) -> bool:
+        if tag in ("html", "body"):
             return False
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
-            if name == "role" and value and value.strip().lower() in ROLES:
-                return True
-            if name in ("class", "id") and value and tag not in SECTIONS and MARKS.intersection(_WORD.findall(value.lower())):
-                return True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-        return tag in SECTIONS and any(n in ("class", "id") and v and {"comment", "comments", "reply"} & set(_WORD.findall(v.lower())) for n, v in attrs)
+        return False
+
+    def _says(self, tag: str, attrs) -> str:
+        """``section``, ``low``, ``comments`` or nothing."""
+        if tag in ("html", "body"):
+            return ""
+        marks = {w for n, v in attrs if n in ("class", "id") and v for w in _WORD.findall(v.lower())}
+        if marks & COMMENTS:
+            return "comments"
+        if tag in SECTIONS:
+            return "section"
+        if tag in LOW:  # an article may have a header of its own
+            return "" if tag == "header" and any(e.says == "section" for e in self.open) else "low"
+        if marks & MARKS or any(n == "role" and v and v.strip().lower() in ROLES for n, v in attrs):
+            return "low"
+        return ""
 
     def handle_starttag(self, tag, attrs):
         if not self.open[-1].skipped:
@@ -119,7 +143,7 @@ class Events(HTMLParser):
         if tag in VOID:
             return
         parent = self.open[-1]
-        self.open.append(_Element(tag, self.elements, parent.skipped or self._boilerplate(tag, attrs), parent))
+        self.open.append(_Element(tag, self.elements, parent.skipped or tag in SKIPPED or self._hidden(tag, attrs), self._says(tag, attrs), parent))
         self.elements += 1
 
     def _close_implied(self, tag: str) -> None:
@@ -153,17 +177,31 @@ class Events(HTMLParser):
             self._text.append(data)
 
 
-def _lines(html: str, use_marks: bool = True) -> list[tuple[str, int, _Element]]:
-    events = Events(use_marks)
+def _fed(html: str) -> Events:
+    events = Events()
+    events.feed(html)
+    if events.rawdata.startswith("<!--"):  # a comment that is never closed
+        events.rawdata = ""
+    events.close()
+    events._flush()
+    return events
+
+
+def _fed(html: str) -> Events:
+    events = Events()
+    events.feed(html)
+    if events.rawdata.startswith("<!--"):  # a comment that is never closed
+        events.rawdata = ""
+    events.close()
+    events._flush()
+    return events
+
+
+def _lines(html: str) -> list[tuple[str, int, _Element]]:
     try:
-        events.feed(html)
-        events.close()
+        return _fed(html).lines
     except AssertionError:  # a marked section that the parser does not know
-        events = Events(use_marks)
-        events.feed(html.replace("<![", "&lt;!["))
-        events.close()
-    events._flush()
-    return events.lines
+        return _fed(html.replace("<![", "&lt;![")).lines
 
 
 def smoothed_ratios(lines, sigma: float = SIGMA) -> np.ndarray:
@@ -198,40 +236,136 @@ def _path(element: _Element) -> list[_Element]:
     return out
 
 
+def _void_marks(lines, paths, dense: np.ndarray) -> set[int]:
+    """Elements whose mark counts for nothing: they hold most of the dense text, with more than one line, and no section lies outside."""
+    held: dict[int, int] = {}
+    count: dict[int, int] = {}
+    sections: list[set[int]] = []
+    total = 0
+    for (text, _, _), path, good in zip(lines, paths, dense):
+        if any(e.says == "comments" for e in path):
+            continue
+        numbers = {e.number for e in path}
+        if any(e.says == "section" for e in path):
+            sections.append(numbers)
+        if good:
+            total += len(text)
+        for e in path:
+            if e.says == "low":
+                held[e.number] = held.get(e.number, 0) + (len(text) if good else 0)
+                count[e.number] = count.get(e.number, 0) + 1
+    return {n for n, chars in held.items() if chars > SHARE * total and count[n] > 1 and all(n in s for s in sections)}
+
+
+def _weight(path, void: set[int]) -> float:
+    says = {e.says for e in path if e.number not in void}
+    return COMMENT if "comments" in says else LOWERED if "low" in says else RAISED if "section" in says else 1.0
+
+
+def _covering(paths) -> _Element:
+    """The deepest element that is on all paths; paths lead from an element to the root."""
+    common = set.intersection(*({e.number for e in p} for p in paths))
+    return next(e for e in paths[0] if e.number in common)
+
+
+def _joined(lines, content: list[int], fine: np.ndarray) -> set[int]:
+    """Regions of content, with the short lines between them and the heading before each; nothing lowered comes between."""
+    out = set(content)
+    for a, b in zip(content, content[1:]):
+        if b - a <= GAP + 1 and fine[a:b].all():
+            out.update(range(a, b))
+    for a in content:
+        for i in range(a - 1, max(a - 1 - GAP, -1), -1):
+            if i in out or not fine[i]:
+                break
+            if lines[i][2].tag in HEADINGS:
+                out.update(range(i, a))
+                break
+    return out
+
+
+def _void_marks(lines, paths, dense: np.ndarray) -> set[int]:
+    """Elements whose mark counts for nothing: they hold most of the dense text, with more than one line, and no section lies outside."""
+    held: dict[int, int] = {}
+    count: dict[int, int] = {}
+    sections: list[set[int]] = []
+    total = 0
+    for (text, _, _), path, good in zip(lines, paths, dense):
+        if any(e.says == "comments" for e in path):
+            continue
+        numbers = {e.number for e in path}
+        if any(e.says == "section" for e in path):
+            sections.append(numbers)
+        if good:
+            total += len(text)
+        for e in path:
+            if e.says == "low":
+                held[e.number] = held.get(e.number, 0) + (len(text) if good else 0)
+                count[e.number] = count.get(e.number, 0) + 1
+    return {n for n, chars in held.items() if chars > SHARE * total and count[n] > 1 and all(n in s for s in sections)}
+
+
+def _weight(path, void: set[int]) -> float:
+    says = {e.says for e in path if e.number not in void}
+    return COMMENT if "comments" in says else LOWERED if "low" in says else RAISED if "section" in says else 1.0
+
+
+def _covering(paths) -> _Element:
+    """The deepest element that is on all paths; paths lead from an element to the root."""
+    common = set.intersection(*({e.number for e in p} for p in paths))
+    return next(e for e in paths[0] if e.number in common)
+
+
+def _joined(lines, content: list[int], fine: np.ndarray) -> set[int]:
+    """Regions of content, with the short lines between them and the heading before each; nothing lowered comes between."""
+    out = set(content)
+    for a, b in zip(content, content[1:]):
+        if b - a <= GAP + 1 and fine[a:b].all():
+            out.update(range(a, b))
+    for a in content:
+        for i in range(a - 1, max(a - 1 - GAP, -1), -1):
+            if i in out or not fine[i]:
+                break
+            if lines[i][2].tag in HEADINGS:
+                out.update(range(i, a))
+                break
+    return out
+
+
 def main_blocks(html: str) -> list[str]:
     """The blocks of the main text, in page order."""
-    lines = _lines(html) or _lines(html, use_marks=False)  # a mark around the whole page marks nothing
+    lines = _lines(html)
     if not lines:
         return []
+    paths = [_path(element) for _, _, element in lines]
     ratios = smoothed_ratios(lines)
-    content = ratios >= threshold(ratios)
-    votes: dict[int, int] = {}
-    sections: dict[int, int] = {}
-    holders: dict[int, _Element] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for (text, _, element), good in zip(lines, content):
-        path = _path(element)
-        section = next((e for e in path if e.tag in SECTIONS), None)
-        if section is not None:
-            sections[section.number] = sections.get(section.number, 0) + len(text)
-        if good:
-            total += len(text)
-            for k, e in enumerate(path):
-                votes[e.number] = votes.get(e.number, 0) + len(text)
-                holders[e.number], depth[e.number] = e, len(path) - k
-    if sections:
-        chosen = max(sections, key=lambda n: (votes.get(n, 0), sections[n], -n))
-        return [text for text, _, element in lines if any(e.number == chosen for e in _path(element))]
-    inner = [n for n in votes if votes[n] >= SHARE * total]
-    chosen = max(inner, key=lambda n: (depth[n], -n))
-    if holders[chosen].tag in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote") and holders[chosen].parent is not None:
-        chosen = holders[chosen].parent.number
-    inside = [any(e.number == chosen for e in _path(element)) for _, _, element in lines]
-    good = [i for i in range(len(lines)) if inside[i] and content[i]]
-    if holders[chosen].tag in ("", "html", "body") and good:  # no element parts the text from the rest: the region does
-        inside = [x and good[0] - 1 <= i <= good[-1] + 1 for i, x in enumerate(inside)]
-    return [text for (text, _, _), x in zip(lines, inside) if x]
+    void = _void_marks(lines, paths, ratios >= threshold(ratios))
+    weights = np.array([_weight(p, void) for p in paths])
+    scores = np.log(np.maximum(ratios, 1e-9) * weights)
+    cut = threshold(scores) if np.ptp(scores) > ALIKE else scores.min()
+    own = np.log(np.array([len(text) / max(1, tags) for text, tags, _ in lines]) * weights)
+    lifted = (weights < 1) & (own < cut)  # a dense neighbour does not lift what is lowered
+    over = scores >= cut
+    content = np.flatnonzero(over & ~lifted if (over & ~lifted).any() else over).tolist()
+    fine = weights >= min(1.0, weights[content].max())  # where everything is lowered, nothing is
+    chosen: set[int] = set()
+    loose = []
+    for i in content:
+        section = next((e for e in reversed(paths[i]) if e.says == "section" and fine[i]), None)
+        if section is None:
+            loose.append(i)
+        elif i not in chosen:
+            chosen |= {k for k, p in enumerate(paths) if fine[k] and any(e is section for e in p)}
+    loose = [i for i in loose if own[i] >= cut] or loose  # short lines come with their region, not by themselves
+    if loose:
+        around = _covering([paths[i] for i in loose])
+        if around.tag in BLOCK - {"html", "body"} and around is paths[loose[0]][0] and around.parent is not None:
+            around = around.parent  # one line alone: the element that it stands in
+        if not chosen and around.tag not in ("", "html", "body"):
+            chosen |= {k for k, p in enumerate(paths) if fine[k] and any(e is around for e in p)}
+        else:
+            chosen |= _joined(lines, loose, fine)
+    return [lines[i][0] for i in sorted(chosen)]
 
 
 def main_text(html: str | None) -> str:

@@ -39,7 +39,8 @@ PROBES = 3
 #: lines whose equal hashes a map task merges
 DEALT = 500_000
 _SPACE = b" \t\n\x0b\x0c\r"
-_NO_ID = (1 << 63) - 1
+#: a document is its id and whether it has none; those without are one document, after all others
+_DOC = ["lone", "doc_id"]
 
 
 def key_of(line: bytes) -> bytes:
@@ -65,12 +66,12 @@ def _slots(hashes: np.ndarray) -> list[np.ndarray]:
     return [((low + np.uint64(i) * high) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(PROBES)]
 
 
-def _dealt(hashes: np.ndarray, docs: np.ndarray, shards: int) -> pa.RecordBatch:
-    order = np.lexsort((docs, hashes))
-    hashes, docs = hashes[order], docs[order]
+def _dealt(hashes: np.ndarray, lone: np.ndarray, docs: np.ndarray, shards: int) -> pa.RecordBatch:
+    order = np.lexsort((docs, lone, hashes))
+    hashes, lone, docs = hashes[order], lone[order], docs[order]
     starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
     lasts = np.r_[starts[1:], len(hashes)] - 1 if len(starts) else starts
-    several = docs[starts] != docs[lasts]
+    several = (docs[starts] != docs[lasts]) | (lone[starts] != lone[lasts])
     hashes = hashes[starts]
     shard = (hashes >> np.uint64(20)) % np.uint64(shards)
     rows = [(int(s), hashes[shard == s].tobytes(), np.packbits(several[shard == s]).tobytes()) for s in np.unique(shard)]
@@ -84,15 +85,17 @@ def _deal(shards: int, least: int):
     """Hashes by shard, each once per ``DEALT`` lines, marked if several documents hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        none = (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64))
+        held = [[x] for x in none]
         for batch in batches:
             own = [np.fromiter(map(_hash, _keys(t, least)), np.uint64) for t in utf8(batch.column("text"))]
-            hashes.extend(own)
-            docs.append(np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(h) for h in own]).astype(np.int64))
-            if sum(map(len, docs)) >= DEALT:
-                yield _dealt(np.concatenate(hashes), np.concatenate(docs), shards)
-                hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        yield _dealt(np.concatenate(hashes), np.concatenate(docs), shards)
+            held[0].extend(own)
+            for to, c in zip(held[1:], _DOC):
+                to.append(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), [len(h) for h in own]))
+            if sum(map(len, held[2])) >= DEALT:
+                yield _dealt(*map(np.concatenate, held), shards)
+                held = [[x] for x in none]
+        yield _dealt(*map(np.concatenate, held), shards)
 
     return run
 
@@ -127,26 +130,27 @@ def _pairs(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.fromiter(map(_hash, _keys(t, least)), np.uint64) for t in utf8(batch.column("text"))]
-            docs = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(h) for h in own])
+            at = pa.array(np.repeat(np.arange(len(own)), [len(h) for h in own]))
             hashes = np.concatenate([*own, np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hashes.view(np.int64))], names=["doc_id", "hash"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in _DOC), pa.array(hashes.view(np.int64))], names=[*_DOC, "hash"])
 
     return run
 
 
 def _suspected_lines(least: int):
-    """(doc_id, key) of the lines whose hash is suspected."""
+    """(lone, doc_id, key) of the lines whose hash is suspected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys = [], []
-            for doc, text, hashes in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("hashes").to_pylist()):
+            at, keys = [], []
+            for i, text, hashes in zip(range(batch.num_rows), utf8(batch.column("text")), batch.column("hashes").to_pylist()):
                 if hashes:
                     suspected = set(hashes)
                     found = [k for k in _keys(text, least) if np.uint64(_hash(k)).view(np.int64).item() in suspected]
-                    docs.extend([doc] * len(found))
+                    at.extend([i] * len(found))
                     keys.extend(k.decode() for k in found)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.string())], names=["doc_id", "key"])
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in _DOC), pa.array(keys, pa.string())], names=[*_DOC, "key"])
 
     return run
 
@@ -165,31 +169,33 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dropped.append(totals[-1] - len(lines))
             kept.append(text.decode())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())],
-            names=["doc_id", "n_lines", "n_dropped", "kept"],
+            [*(batch.column(c) for c in _DOC), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())],
+            names=[*_DOC, "n_lines", "n_dropped", "kept"],
         )
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST, shard_lines: int = SHARD_LINES) -> DataFrame:
-    """(doc_id, key): lines that a document loses, as keys."""
-    rows = docs.select("doc_id", "text")
+    """(lone, doc_id, key): lines that a document (lone, doc_id) loses, as keys."""
+    rows = docs.select(*_DOC, "text")
     n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     lines = rows.agg(F.sum(n_lines)).first()[0] or 0
     shards = max(1, -(-lines // shard_lines))
     dealt = rows.mapInArrow(_deal(shards, least), "shard int, hashes binary, several binary")
     suspects = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_suspects, "hash long")
-    pairs = rows.mapInArrow(_pairs(least), "doc_id long, hash long")
-    suspected = pairs.join(suspects, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-    texts = rows.join(suspected, "doc_id")
-    found = written(texts.mapInArrow(_suspected_lines(least), "doc_id long, key string"), "suspected-lines")
-    repeated = found.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("last > keeper")
+    pairs = rows.mapInArrow(_pairs(least), "lone boolean, doc_id long, hash long")
+    suspected = pairs.join(suspects, "hash", "left_semi").groupBy(*_DOC).agg(F.collect_set("hash").alias("hashes"))
+    texts = rows.join(suspected, _DOC)
+    found = written(texts.mapInArrow(_suspected_lines(least), "lone boolean, doc_id long, key string"), "suspected-lines")
+    doc = F.struct(*_DOC)
+    repeated = found.groupBy("key").agg(F.min(doc).alias("keeper"), F.max(doc).alias("last")).where("last > keeper")
     # a written side is a plain exchange for the join, so Spark can split a line that fills a task
-    return found.join(written(repeated, "repeated-lines"), "key").where("doc_id > keeper").select("doc_id", "key")
+    return found.join(written(repeated, "repeated-lines"), "key").where(doc > F.col("keeper")).select(*_DOC, "key")
 
 
 def drop_repeated_lines(docs: DataFrame, least: int = LEAST, shard_lines: int = SHARD_LINES) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept), one row per row of ``docs``."""
-    rows = in_small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = repeated_lines(rows, least, shard_lines).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
-    out = rows.join(gone, "doc_id", "left").mapInArrow(_drop, "doc_id long, n_lines long, n_dropped long, kept string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
+    doc = F.col("doc_id").cast("long")
+    rows = in_small_batches(docs).select(doc.isNull().alias("lone"), F.coalesce(doc, F.lit(0)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    gone = repeated_lines(rows, least, shard_lines).groupBy(*_DOC).agg(F.collect_set("key").alias("gone"))
+    out = rows.join(gone, _DOC, "left").mapInArrow(_drop, "lone boolean, doc_id long, n_lines long, n_dropped long, kept string")
+    return out.select(F.when(~F.col("lone"), F.col("doc_id")).alias("doc_id"), "n_lines", "n_dropped", "kept")

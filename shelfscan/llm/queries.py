@@ -76,8 +76,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parsed = chat.parse_conversations(chat.format_conversations(rows.union(extra)))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = chat.masked_text(parsed)
-    return parsed.select(
+    loss = F.col("masked")
+    return chat.with_masked_text(parsed).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )

@@ -40,47 +40,56 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-_TEMPLATES = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.TEMPLATES.items())
+_TEMPLATES = ", ".join(f"({_quoted(k)}, {i}, {_quoted(v)})" for k, texts in licenses.TEMPLATES.items() for i, v in enumerate(texts))
 
 
 def _split_terms(text: str) -> str:
     return f"unnest(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda x: x <> ''))"
 
 
+def _plain_loops(pattern: str) -> str:
+    """A pattern without the marks of loops that give nothing back, which DuckDB's engine neither has nor needs."""
+    return pattern.replace("*+", "*").replace("++", "+").replace("?+", "?")
+
+
 OP2 = rf"""
 WITH rows AS (
-  SELECT doc_id,
+  SELECT doc_id, row_number() OVER () AS row,
     'source/' || CASE WHEN doc_id % 10 > 0 THEN lang || '/' ELSE '' END
       || CASE WHEN doc_id % 10 > 1 THEN CAST(doc_id // 1000 AS VARCHAR) || '/' ELSE '' END || CAST(doc_id AS VARCHAR) || '.txt' AS path_tail,
     source, text,
-    array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.STATEMENT}')), chr(10)) AS statement,
     contains(text, chr(10)) AND regexp_matches(string_split(text, chr(10))[-1], '{licenses.STATEMENT}') AS is_licence_file
   FROM documents
 ),
-files AS (
-  SELECT doc_id, source || substr(path_tail, 7) AS path, statement, is_licence_file,
-    regexp_replace(source || substr(path_tail, 7), '/[^/]*$', '') AS dir
+statements AS (
+  SELECT row, CASE WHEN is_licence_file THEN text ELSE
+    regexp_extract(text || chr(10), '{_plain_loops(licenses.BLOCK_COMMENT)}', 0) || regexp_extract(text || chr(10), '{_plain_loops(licenses.LINE_COMMENTS)}', 0) || chr(10)
+      || array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.STATEMENT}')), chr(10)) END AS statement
   FROM rows
 ),
-statements AS (SELECT statement, count(*) AS files FROM files WHERE statement <> '' GROUP BY statement),
-counts AS (SELECT statement, files, term, count(*) AS tf FROM (SELECT statement, files, {_split_terms("statement")} AS term FROM statements) GROUP BY ALL),
-patterns AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, {_split_terms("notice")} AS term FROM (VALUES {_TEMPLATES}) v(licence, notice)) GROUP BY ALL),
+said AS (SELECT row, part FROM (SELECT row, unnest(list_distinct(list_prepend(statement, string_split(statement, chr(10))))) AS part FROM statements) WHERE regexp_matches(part, '(?i)[a-z0-9]')),
+parts AS (SELECT part, count(*) AS files FROM said GROUP BY part),
+counts AS (SELECT part, files, term, count(*) AS tf FROM (SELECT part, files, {_split_terms("part")} AS term FROM parts) GROUP BY ALL),
+patterns AS (SELECT licence, notice, term, count(*) AS tf FROM (SELECT licence, notice, {_split_terms("body")} AS term FROM (VALUES {_TEMPLATES}) v(licence, notice, body)) GROUP BY ALL),
 seen AS (SELECT term, sum(files) AS df FROM counts GROUP BY term),
 idf AS (
-  SELECT term, ln(((SELECT coalesce(sum(files), 0) FROM statements) + 1) / CAST(coalesce(df, 0) + 1 AS DOUBLE)) + 1 AS idf
+  SELECT term, ln(((SELECT coalesce(sum(files), 0) FROM parts) + 1) / CAST(coalesce(df, 0) + 1 AS DOUBLE)) + 1 AS idf
   FROM (SELECT term FROM seen UNION SELECT term FROM patterns) LEFT JOIN seen USING (term)
 ),
-own AS (SELECT statement, term, tf * idf AS w FROM counts JOIN idf USING (term)),
-other AS (SELECT licence, term, tf * idf AS v FROM patterns JOIN idf USING (term)),
-scored AS (
-  SELECT statement, licence, round(sum(w * v) / ((SELECT sqrt(sum(o.w * o.w)) FROM own o WHERE o.statement = own.statement) * (SELECT sqrt(sum(p.v * p.v)) FROM other p WHERE p.licence = other.licence)), 6) AS score
-  FROM own JOIN other USING (term) GROUP BY statement, licence
-),
+own AS (SELECT part, term, tf * idf AS w FROM counts JOIN idf USING (term)),
+other AS (SELECT licence, notice, term, tf * idf AS v FROM patterns JOIN idf USING (term)),
+own_norm AS (SELECT part, sqrt(sum(w * w)) AS wn FROM own GROUP BY part),
+other_norm AS (SELECT licence, notice, sqrt(sum(v * v)) AS vn FROM other GROUP BY ALL),
+dots AS (SELECT part, licence, notice, sum(w * v) AS dot FROM own JOIN other USING (term) GROUP BY ALL),
+scored AS (SELECT part, licence, round(dot / (wn * vn), 6) AS score FROM dots JOIN own_norm USING (part) JOIN other_norm USING (licence, notice)),
 matched AS (
-  SELECT statement, licence, score FROM scored WHERE score >= {licenses.LEAST_SCORE}
-  QUALIFY row_number() OVER (PARTITION BY statement ORDER BY score DESC, licence) = 1
+  SELECT row, licence, score FROM said JOIN scored USING (part) WHERE score >= {licenses.LEAST_SCORE}
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, licence) = 1
+),
+marked AS (
+  SELECT doc_id, source || substr(path_tail, 7) AS path, is_licence_file, regexp_replace(source || substr(path_tail, 7), '/[^/]*$', '') AS dir, licence, score
+  FROM rows LEFT JOIN matched USING (row)
 ),
-marked AS (SELECT files.*, licence, score FROM files LEFT JOIN matched USING (statement)),
 holders AS (
   SELECT dir AS up, path AS from_path, licence, score FROM marked WHERE is_licence_file AND licence IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1
@@ -146,7 +155,7 @@ def _strength(level: str) -> str:
     m = "(sum(bad) / CAST(sum(n) AS DOUBLE))"
     between = f"(sum(bad * bad / CAST(n AS DOUBLE)) / sum(n) - {m} * {m} - {m} * (1 - {m}) * (count(*) - 1) / sum(n))"
     low, high = urls.STRENGTH
-    return f"(SELECT greatest({low}, least({high}, CASE WHEN {between} > 0 THEN {m} * (1 - {m}) / {between} - 1 ELSE {high} END)) FROM {level})"
+    return f"(SELECT greatest({low}, least({high}, CASE WHEN {between} > 0 THEN {m} * (1 - {m}) / {between} - 1 ELSE {high} END)) FROM {level} WHERE n > 0)"
 
 
 OP7 = rf"""
@@ -157,7 +166,7 @@ WITH split AS (
 outcomes AS (SELECT doc_id AS page_id, max(CAST(toxic = 1 OR quality = 0 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
 hosts AS (
   SELECT host, CASE WHEN {_TWO} THEN {_suffix(3)} ELSE {_suffix(2)} END AS domain, CASE WHEN {_TWO} THEN {_suffix(2)} ELSE {_suffix(1)} END AS suffix, n, bad
-  FROM (SELECT host, count(*) AS n, sum(bad) AS bad FROM split JOIN outcomes USING (page_id) WHERE host <> '' GROUP BY host)
+  FROM (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM split LEFT JOIN outcomes USING (page_id) WHERE host <> '' GROUP BY host)
 ),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),

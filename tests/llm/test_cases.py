@@ -51,7 +51,7 @@ def test_exact_group_over_many_partitions(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         table = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.repeat(F.lit("same "), 20)).otherwise(F.col("id").cast("string")).alias("text"))
-        assert exact._sorted_runs(table, F.lit(None).cast("boolean"), "boolean", True).where("n_chars = 100").count() > 1
+        assert exact._sorted_runs(table, F.lit(None).cast("boolean"), "boolean").where("n_chars = 100").count() > 1
         assert exact.drop_exact_copies(table).count() == 1334 + 1
         assert {(r["keep_id"], r["group_size"]) for r in exact.exact_groups(table).where("doc_id % 3 > 0").collect()} == {(1, 2666)}
         assert exact.exact_groups(table).where("kept").count() == 1335
@@ -130,6 +130,16 @@ def test_decontaminate_cases(spark, docs):
     assert decontaminate.contamination(none_of(docs), items).count() == 0
 
 
+def test_decontaminate_carries_any_column(spark):
+    columns = ("llm_clean", "llm_cut", "row", "cut", "dropped", "text2", "spans", "n_words", "items")
+    text = " ".join([*(f"a{i}" for i in range(40)), *(f"t{i}" for i in range(10))])
+    table = spark.createDataFrame([(1, text), (2, "clean"), (3, None)], "doc_id long, text string").withColumns({c: F.lit(c) for c in columns})
+    out = decontaminate.decontaminate(table, spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(10)))], "item_id long, text string"))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == table.columns and got[1]["text"].strip() == " ".join(f"a{i}" for i in range(40)) and got[2]["text"] == "clean" and got[3]["text"] is None
+    assert all(r[c] == c for r in got.values() for c in columns)
+
+
 def test_cut_words_that_meet_anew(spark):
     words = [f"t{i}" for i in range(10)]
     inner = " ".join(words)
@@ -180,6 +190,13 @@ def test_lines(docs):
     assert lines.drop_repeated_lines(none_of(docs)).count() == 0
 
 
+def test_the_largest_id_is_an_id(spark):
+    line = "a line of both of them"
+    table = spark.createDataFrame([((1 << 63) - 1, line), (None, line), (None, line), (-(1 << 63), "own words here")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_dropped"]) for r in lines.drop_repeated_lines(table).collect())
+    assert got == [("-9223372036854775808", 0), ("9223372036854775807", 0), ("None", 1), ("None", 1)]
+
+
 def test_lines_over_many_shards(spark):
     rng = random.Random(2)
     docs = [(i, "\n".join(f"Line number {rng.randint(0, 400)} of it" for _ in range(rng.randint(0, 9)))) for i in range(200)]
@@ -220,7 +237,7 @@ def test_chat_round_trip(spark):
     ]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("pieces", F.lit(1))
     parsed = chat.parse_conversations(chat.format_conversations(table))
-    for r in parsed.withColumn("masked", chat.masked_text(parsed)).collect():
+    for r in chat.with_masked_text(parsed).collect():
         own = sorted(((-1 if t is None else t), role or "", text or "") for c, t, role, text in rows if c == r["conv_id"])
         assert [(x["role"], x["text"]) for x in r["turns"]] == [(role, text) for _, role, text in own]
         assert r["masked"] == "".join(text for _, role, text in own if role == "assistant")
@@ -229,6 +246,23 @@ def test_chat_round_trip(spark):
     assert chat.parse_conversations(chat.format_conversations(none_of(table))).count() == 0
 
 
+def test_chat_long_roles(spark):
+    """Roles of a hundred thousand characters, with everything that is escaped in them."""
+    roles = ["r" * 100_000, ":\\#" * 30_000, "assistant"]
+    rows = [(1, i, role, f"text {i}") for i, role in enumerate(roles)] + [(2, 0, "assistant", "long \\ # " * 20_000), (2, 1, "assistant", "b"), (2, 2, "user", "c" * 9_000), (2, 3, "assistant", "</turn>")]
+    parsed = chat.with_masked_text(chat.parse_conversations(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    got = {r["conv_id"]: r for r in parsed.collect()}
+    assert [t["role"] for t in got[1]["turns"]] == roles and got[1]["masked"] == "text 2"
+    assert got[2]["masked"] == "long \\ # " * 20_000 + "b</turn>"
+
+
+def test_the_mask_decides_what_is_read(spark):
+    rows = [(1, 0, "assistant", "abc"), (1, 1, "user", "def")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    moved = formatted.withColumn("loss_mask", F.transform("loss_mask", lambda m: F.struct(m["turn"], (m["start"] + 1).alias("start"), m["length"])))
+    assert chat.with_masked_text(moved).first()["masked"] != "abc" == chat.with_masked_text(formatted).first()["masked"]
+
+
 def test_urls(spark):
     rows = [
         (1, None), (2, "no scheme"), (3, "HTTP://A.Example.ORG/es/x?y"), (4, "http://example.org/en/12#f"), (5, "x://org"), (6, "x://org/"), (7, "x://bad.host.net/p?q"),
@@ -262,6 +296,37 @@ def test_main_text(wrapped):
     assert got[: len(BLOCKS)] == BLOCKS and len(got) <= len(BLOCKS) + 1 and not any("comment" in b or "teaser" in b for b in got)
 
 
+LONG_PARAGRAPH = "A long paragraph of the article with plenty of words in it, so that it is dense. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="content has-sidebar"><h1>Head</h1><p>%s<p>%s</div><p>&copy; 2020 foo', ["Head", "@", "@"]),
+        ("<p>%s</p><p>%s</p><p>%s</p><article><p>teaser</p></article>", ["@", "@", "@"]),
+        ("<article><p>one %s</p></article><article><p>two %s</p></article>", ["one @", "two @"]),
+        ("<main><h1>Head</h1><p>Lead.</p><article><p>%s</p></article></main>", ["Head", "Lead.", "@"]),
+        ("<article><header><h1>Title</h1></header><p>%s</p></article>", ["Title", "@"]),
+        ("<p>%s</p><!-- x <p>tail", ["@"]),
+        ('<form action="/"><div><h2>Head</h2><p>%s</p><p>%s</p><p>Short.</p></div></form>', ["Head", "@", "@", "Short."]),
+        ('<article><p>%s</p><div class="comments"><p>%s</p><p>%s</p></div></article>', ["@"]),
+        ("<article><p>%s</p></article><footer><p>A footer that has quite some words in it, too.</p></footer>", ["@"]),
+    ],
+)
+def test_what_decides_is_density(page, want):
+    text = LONG_PARAGRAPH.strip()
+    got = html_text.main_blocks(page.replace("%s", text))
+    assert got == [w.replace("@", text) for w in want] or (want == ["@", "@", "@"] and got[:3] == [text] * 3)
+
+
+def test_pages_against_regular_expressions(spark, sf):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = queries.op3_html_text(spark, sf).collect()
+    assert len(got) == len(pages)
+    compared = [(r["text"], brute.article_text(pages[r["page_id"]])) for r in got]
+    assert all(a == b for a, b in compared if b is not None) and sum(b is not None for _, b in compared) > 10
+
+
 def test_html_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "just text &amp; more"), (4, "u", "<![foo[<p>x</p>"), (5, "u", "<p>" * 2000 + "deep"), (5, "u", "<p>" * 2000 + "deep"), (6, "u", "<p>long " + "word " * 50_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
@@ -281,3 +346,20 @@ def test_licences(spark):
     assert licenses.scan(files).count() == len(rows) and licenses.scan(none_of(files)).count() == 0
     assert got[1] == got[8] == ("Apache-2.0", "inherited", "a/b/LICENSE") and got[4] == ("MIT", "inherited", "a/LICENSE")
     assert got[5] == got[6] == (None, "none", None) and got[7] == ("CC-BY-NC-4.0", "own", "a/b/own.py")
+
+
+def test_whole_licence_texts(spark):
+    """A licence file is read whole, wrapped as it comes; other files by their leading comment."""
+    wrap = lambda text: "\n".join(text[i : i + 70] for i in range(0, len(text), 70))
+    mit, bsd, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["BSD-3-Clause"], licenses.TEMPLATES["Apache-2.0"]
+    rows = [
+        (1, "a/LICENSE", "Copyright (c) 2020 Someone\n\n" + wrap(mit[2]), True), (2, "b/LICENSE", wrap(bsd[2]), True), (3, "c/LICENSE", mit[1], True), (4, "d/LICENSE", bsd[1], True),
+        (5, "e/x.c", "/*\n * " + apache[1].replace(". ", ".\n * ") + "\n */\nint main;", False), (6, "f/y.py", "# " + mit[1] + "\n#\ncode", None),
+        (7, "g/z.py", "code\n# " + mit[1] + "\n", False), (8, "h/LICENSE", "All rights are ours. " * 20_000, True), (9, "i/w.py", "#" * 300_000 + "\n" + "# x\n" * 50_000, False),
+        (10, "j/v.c", "/* never closed " + "* " * 100_000, False), (11, "k/LICENSE", mit[0], True), (12, "k/COPYING", licenses.TEMPLATES["GPL-3.0"][0], True), (13, "k/f.py", "code", False),
+    ]
+    files = spark.createDataFrame(rows, "id long, path string, text string, is_licence_file boolean").withColumn("parts", F.lit(0)).withColumn("row", F.lit(0))
+    got = {r["id"]: r["licence"] for r in licenses.scan(files).collect()}
+    assert [got[i] for i in range(1, 7)] == ["MIT", "BSD-3-Clause", "MIT", "BSD-3-Clause", "Apache-2.0", "MIT"]
+    assert [got[i] for i in range(7, 11)] == [None] * 4
+    assert got[13] == "GPL-3.0"  # both files are as close as can be; the smaller path counts
