@@ -210,9 +210,13 @@ def failure_alerts(log: DataFrame, width: str = "1 hour", warning: int = 2, crit
 def event_sessions(events: DataFrame, key: str, gap_minutes: int = 30, bucket: str = "day") -> DataFrame:
     """Runs of events of one key with no pause longer than the gap.
 
-    Runs are first found per key and day and only their ends are compared
-    across days, so one key's whole history is never sorted in one task.
+    Events are first counted per key and minute in the map tasks; the gap is at
+    least a minute, so a minute never parts. Runs are then found over these
+    summaries per key and day, at most 1,440 rows, and only their ends are
+    compared across days: no task sorts the events of one key.
     """
+    if gap_minutes < 1:
+        raise ValueError("the gap is at least one minute")
     gap = F.expr(f"INTERVAL {int(gap_minutes)} MINUTES")
 
     def runs(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -221,8 +225,13 @@ def event_sessions(events: DataFrame, key: str, gap_minutes: int = 30, bucket: s
         marked = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         return marked.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_run")
 
-    points = events.select(key, F.col("ts").alias("start"), F.col("ts").alias("end"), F.lit(1).cast("long").alias("n"), F.date_trunc(bucket, "ts").alias("_b"))
-    return runs(runs(points, [key, "_b"]).drop("_b"), [key])
+    return runs(runs(minute_summaries(events, key).withColumn("_b", F.date_trunc(bucket, "start")), [key, "_b"]).drop("_b"), [key])
+
+
+def minute_summaries(events: DataFrame, key: str) -> DataFrame:
+    """(key, start, end, n) per key and minute, combined in the map tasks."""
+    minute = F.date_trunc("minute", "ts").alias("_minute")
+    return events.groupBy(key, minute).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n")).drop("_minute")
 
 
 def sliding_counts(events: DataFrame, width: str = "1 hour", slide: str = "30 minutes") -> DataFrame:

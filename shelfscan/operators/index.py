@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from shelfscan.functions.text import tokens
+from shelfscan.sources.bucketed import BUCKETS, BucketedTable
+
+Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -45,31 +52,21 @@ def postings(docs: DataFrame, text: str = "searchable_text") -> DataFrame:
     return _counted(token_rows(docs, text))
 
 
-def query_postings(docs: DataFrame, terms: DataFrame, text: str = "searchable_text") -> DataFrame:
-    """Postings of the listed terms, plus one row per document, distributed by document.
+def term_counts(docs: DataFrame, terms: DataFrame, text: str = "searchable_text") -> DataFrame:
+    """(term, df, length) of the listed terms: documents that hold each; the row of ``DOCUMENT`` counts all, with their tokens.
 
-    Only the tokens that a query asks for are shuffled, once, on the (unique)
-    document id; grouping by document and query later needs no other shuffle.
-    The document rows give the corpus statistics from the same shuffle as the
-    postings, so the texts are tokenised once. A term is never filtered out
-    afterwards: that would be pushed below the shuffle and undo its reuse.
+    Counted in the map tasks; the texts are not shuffled.
     """
     doc_row = terms.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))
     wanted = terms.select("term").distinct().union(doc_row)
-    rows = token_rows(docs, text, document_rows=True).join(wanted, "term", "left_semi")
-    return _counted(rows.repartition(F.col("product_id")))
+    rows = token_rows(docs.where(F.col(text).isNotNull()), text, distinct=True, document_rows=True).join(wanted, "term", "left_semi")
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length"))
 
 
 def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("product_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def posting_stats(index: DataFrame) -> DataFrame:
-    """:func:`corpus_stats` from the document rows of :func:`query_postings`."""
-    is_doc = F.col("term") == DOCUMENT
-    return index.agg(F.count_if(is_doc).alias("n"), F.avg(F.when(is_doc, F.col("dl"))).alias("avgdl"))
-
-
 def document_stats(docs: DataFrame, text: str = "searchable_text") -> DataFrame:
     """(product_id, dl): what length normalisation needs."""
     return tokenized(docs, text).select("product_id", "dl")
@@ -130,6 +127,36 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     )
 
 
+_STORED = "product_id string, dl int, term string, tf long"
+
+
+class StoredIndex:
+    """Postings kept as a table in buckets of the document ids; a refresh rewrites the buckets it touches.
+
+    Raw counts and lengths are stored, never idf, so an index that was
+    refreshed equals one that was built anew.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.table = BucketedTable(spark, folder, _STORED, "product_id", buckets)
+
+    def build(self, docs: DataFrame, text: str = "searchable_text") -> None:
+        """The first version, from all documents."""
+        self.table.replace(postings(docs, text).select("product_id", "dl", "term", "tf"), list(range(self.table.buckets)), self.table.latest() + 1)
+
+    def refresh(self, new_docs: DataFrame, changes: DataFrame, text: str = "searchable_text") -> list[int]:
+        """The next version after ``changes`` (product_id, change_type); returns the buckets that were written."""
+        touched = self.table.touched(changes)
+        if touched:
+            version = self.table.latest()
+            rows = refresh_postings(self.table.read(version, touched), new_docs, changes, text)
+            self.table.replace(rows.select("product_id", "dl", "term", "tf"), touched, version + 1)
+        return touched
+
+    def postings(self) -> DataFrame:
+        return self.table.read()
+
+
 def refresh_postings(old_index: DataFrame, new_docs: DataFrame, changes: DataFrame, text: str = "searchable_text") -> DataFrame:
     """Index after a change set: touched documents are tokenised again, the rest kept.
 
@@ -142,20 +169,38 @@ def refresh_postings(old_index: DataFrame, new_docs: DataFrame, changes: DataFra
     return kept.unionByName(rebuilt)
 
 
-def embed(docs: DataFrame, text: str = "searchable_text", dim: int = 256, encoder=None) -> DataFrame:
-    """(product_id, embedding): unit-length vectors of whole texts.
-
-    Default: hashed term counts weighted by idf. ``encoder`` is a function for
+@F.pandas_udf(ArrayType(FloatType()))
+def _hashed(terms: pd.Series, dim: pd.Series) -> pd.Series:
+    """Unit vectors of signed counts: MD5 gives each term its place (first four bytes) and its sign (the fifth)."""
+    places: dict[str, tuple[int, int]] = {}
+    out = []
+    for own, n in zip(terms, dim):
+        counts = np.zeros(n)
+        for term in own if own is not None else ():
+            place = places.get(term)
+            if place is None:
+                digest = hashlib.md5(term.encode()).digest()
+                place = places[term] = int.from_bytes(digest[:4], "big"), -1 if digest[4] & 1 else 1
+            counts[place[0] % n] += place[1]
+        out.append((counts / (np.sqrt(counts @ counts) or 1.0)).astype(np.float32))
+    return pd.Series(out)
+
+
+def embed(
+    docs: DataFrame, text: str = "searchable_text", id_col: str = "product_id", dim: int = 256, encoder: Encoder | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(id, embedding) and the columns to ``keep``: unit-length vectors of whole texts.
+
+    Default: signed feature hashing of a text's distinct terms. Nothing is
+    fitted, so queries and documents can be encoded apart, in any batch. A text
+    without terms has the zero vector. ``encoder`` is a function for
     ``mapInPandas`` from (product_id, text) batches to (product_id, embedding).
     """
     if encoder is not None:
-        rows = docs.select("product_id", F.col(text).alias("text"))
-        return rows.mapInPandas(encoder, "product_id string, embedding array<float>")
-    toks = tokenized(docs, text)
-    tf = HashingTF(inputCol="toks", outputCol="tf", numFeatures=dim).transform(toks)
-    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf)
-    unit = Normalizer(inputCol="tfidf", outputCol="unit", p=2.0).transform(weighted)
-    return unit.select("product_id", vector_to_array("unit", dtype="float32").alias("embedding"))
+        rows = docs.select(F.col(id_col).alias("product_id"), F.col(text).alias("text"))
+        encoded = rows.mapInPandas(encoder, "product_id string, embedding array<float>").withColumnRenamed("product_id", id_col)
+        return encoded.join(docs.select(id_col, *keep), id_col) if keep else encoded
+    return docs.select(id_col, _hashed(F.array_distinct(tokens(F.col(text))), F.lit(dim)).alias("embedding"), *keep)
 
 
 def l2_norm(vec: Column) -> Column:

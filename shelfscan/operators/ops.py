@@ -126,15 +126,17 @@ def ingest_tables(
     """
     rows, failed = [], []
     for spec in specs:
+        doing = "read"
         try:
             df = read(spec.source)
             n = _require_sound(df, spec)
+            doing = "write"
             written = Observation()
             df.observe(written, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(os.path.join(folder, spec.target))
             rows.append((spec.source, spec.target, "SUCCESS", n, int(written.get["n"]), ""))
-        except (PySparkException, ValueError) as error:
+        except (PySparkException, Py4JJavaError, ValueError) as error:  # some failed writes come as they are from the JVM
             failed.append(spec.source)
-            text = str(error) if isinstance(error, ValueError) else f"cannot read {spec.source}"
+            text = str(error) if isinstance(error, ValueError) else f"cannot {doing} {spec.source if doing == 'read' else spec.target}"
             rows.append((spec.source, spec.target, "FAILED", 0, 0, text))
     audit = spark.createDataFrame(
         rows, "source_table string, table_name string, status string, rows_read long, rows_written long, message string"

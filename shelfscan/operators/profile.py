@@ -7,29 +7,63 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfscan.functions.ranking import top_k
 from shelfscan.functions.text import is_blank
 
+# Size of the distinct-value sketches: 2¹² registers, an error of about 1.6 %.
+SKETCH_BITS = 12
+
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Non-blank count, blank count, blank percentage and distinct values per column.
 
-    The rows are turned into (column, value) pairs and counted per pair in the
-    map tasks, so exact distinct counts need one shuffle and no wide expand.
-    ``exact=False`` uses HyperLogLog sketches and shuffles no values at all.
+    The rows are turned into (column, value) pairs, long values into their
+    digests, and counted per pair in the map tasks, so exact distinct counts
+    need one shuffle, no wide expand and no whole texts. ``exact=False`` uses
+    sketches and shuffles no values at all.
     """
+    pairs = _cells(df, columns)
+    if not exact:
+        return merged_profile(profile_sketches(df, columns))
+    per_value = pairs.groupBy("column", _short(F.col("value")).alias("value"), is_blank(F.col("value")).alias("blank")).agg(F.count(F.lit(1)).alias("n"))
+    blank = F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0))
+    stats = per_value.groupBy("column").agg(F.sum("n").alias("total"), blank.alias("blank_count"), F.count(F.lit(1)).alias("distinct_values"))
+    return _profiled(stats)
+
+
+def _cells(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     columns = list(columns or df.columns)
-    pairs = df.select(
+    return df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")
     ).select("p.column", "p.value")
-    if exact:
-        per_value = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        blank = F.sum(F.when(is_blank(F.col("value")), F.col("n")).otherwise(0))
-        total, distinct = F.sum("n"), F.count(F.lit(1))
-    else:
-        per_value = pairs
-        blank = F.count_if(is_blank(F.col("value")))
-        total, distinct = F.count(F.lit(1)), F.approx_count_distinct("value")
-    stats = per_value.groupBy("column").agg(total.alias("total"), blank.alias("blank_count"), distinct.alias("distinct_values"))
+
+
+def _short(value: Column) -> Column:
+    """The value, or its digest where that is shorter; the mark keeps digests apart from values."""
+    return F.when(F.octet_length(value) > 33, F.concat(F.lit("#"), F.md5(value))).otherwise(value)
+
+
+def profile_sketches(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, total, blank_count, sketch): what a part of a table leaves behind, to be stored and merged with other parts'.
+
+    ``sketch`` is a HyperLogLog sketch of the values; a NULL is a value of its
+    own, as in the exact profile.
+    """
+    value = F.coalesce(_short(F.col("value")), F.lit("#"))
+    return _cells(df, columns).groupBy("column").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(is_blank(F.col("value"))).alias("blank_count"), F.hll_sketch_agg(value, F.lit(SKETCH_BITS)).alias("sketch")
+    )
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """The profile of all parts together, from their sketches; counts are exact, distinct values within the sketch's error."""
+    stats = sketches.groupBy("column").agg(
+        F.sum("total").alias("total"), F.sum("blank_count").alias("blank_count"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values")
+    )
+    return _profiled(stats)
+
+
+def _profiled(stats: DataFrame) -> DataFrame:
     return stats.select(
         "column", (F.col("total") - F.col("blank_count")).alias("non_blank"), "blank_count",
         F.round(100.0 * F.col("blank_count") / F.greatest("total", F.lit(1)), 2).alias("blank_pct"), "distinct_values",
@@ -77,6 +111,13 @@ def facet(df: DataFrame, col: str, limit: int, where: Column | None = None) -> D
     )
 
 
+def facet_within(df: DataFrame, col: str, group: str, limit: int) -> DataFrame:
+    """:func:`facet` for every group: (category, name, product_count, rank)."""
+    rows = df.filter((F.col(col) != "") & (F.col(group) != ""))
+    counts = rows.groupBy(F.col(group).alias("category"), F.col(col).alias("name")).agg(F.count(F.lit(1)).alias("product_count"))
+    return top_k(counts, ["category"], [F.col("product_count").desc(), F.col("name")], limit)
+
+
 def longest_documents(df: DataFrame, id_col: str, text: str, n: int = 5) -> DataFrame:
     return df.select(id_col, F.length(text).alias("n_chars")).orderBy(F.col("n_chars").desc(), id_col).limit(n)
 

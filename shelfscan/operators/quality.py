@@ -313,6 +313,13 @@ def fk_repair(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFram
     return child.join(parent.select(F.col(pk).alias(fk)).distinct(), fk, "left_semi").select(*child.columns)
 
 
+def fk_outcomes(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
+    """Rows with a foreign key, and ``outcome``: kept where the parent is there, else orphan; one join for both."""
+    keys = parent.select(F.col(pk).alias(fk)).distinct().withColumn("_there", F.lit(True))
+    found = child.filter(F.col(fk).isNotNull()).join(keys, fk, "left")
+    return found.select(*child.columns, F.when(F.col("_there"), "kept").otherwise("orphan").alias("outcome"))
+
+
 def parent_repair(categories: DataFrame, key: str = "category_id", parent: str = "parent_category_id") -> DataFrame:
     """Drop a link to a missing parent, keep the row, and say so."""
     known = categories.select(F.col(key).alias(parent)).distinct().withColumn("_known", F.lit(True))
@@ -329,6 +336,11 @@ def text_readiness(df: DataFrame, col: str) -> DataFrame:
     return facts.select("*", ((F.col("total") > 0) & (F.col("empty") == 0)).alias("ready"))
 
 
+def blank_samples(df: DataFrame, col: str, *shown: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows without a text, by the shown columns; they go with the readiness verdict."""
+    return df.filter(is_blank(F.col(col))).select(*shown).orderBy(*[F.col(c).asc_nulls_first() for c in shown]).limit(n)
+
+
 def require_text(df: DataFrame, col: str = "searchable_text") -> DataFrame:
     """The same rows; the job fails on the first blank text."""
     message = F.lit(f"{col} is blank in the search catalog")

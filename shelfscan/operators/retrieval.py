@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,13 +14,75 @@ from pyspark.sql import functions as F
 
 from shelfscan.functions.ranking import top_hits
 from shelfscan.functions.text import tokens
-from shelfscan.operators.index import document_frequency, posting_stats, query_postings
+from shelfscan.operators.cells import fit_centres, nearest_cells, probe_count
+from shelfscan.operators.index import DOCUMENT, term_counts
+from shelfscan.session import cut_lineage
 
 # Similarities held at once: a block of documents times this many queries.
 QUERY_SLICE = 256
 # Rows of one side that meet in one task of the grid.
 BLOCK_DOCS = 8192
 BLOCK_QUERIES = 2048
+# Most queries that are sent to the documents instead of meeting them cell by cell.
+CHUNK_QUERIES = 4096
+# Sums of gains or similarities that are held at once, and (query, term) rows of one lexical pass.
+BLOCK_SUMS = 1_000_000
+CHUNK_TERMS = 2_000_000
+# Cells that the approximate search looks into, as a share of a power of all cells.
+PROBE_SHARE = 1.6
+# Substring search: characters of a needle's anchor, and of the needles of one pass.
+ANCHOR_CHARS = 24
+CHUNK_CHARS = 4_000_000
+
+
+_HIT_SCHEMA = "query_id string, product_id string, score double"
+
+# Which of a block's documents a query may retrieve, from the query's wishes and the documents' facts.
+Allow = Callable[[tuple, pd.DataFrame], np.ndarray]
+
+
+def _allowed(allow: Allow | None, wants: Sequence[str], asked: Sequence[tuple], facts: pd.DataFrame) -> list | None:
+    """Per query, which of a block's documents it may retrieve; equal wishes are looked at once."""
+    if allow is None:
+        return None
+    known: dict[str, np.ndarray] = {}
+    return [known[a] if (a := repr(w)) in known else known.setdefault(a, allow(w, facts)) for w in asked]
+
+
+class _TopK:
+    """Best ``k`` of what one task has seen, per query; equal scores by smaller id. ``floor`` is what a newcomer must reach."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self._parts: list[pd.DataFrame] = []
+        self._held, self._limit = 0, 4 * k * max(queries, 1) + 50_000
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, ok: np.ndarray) -> None:
+        """``scores`` and ``ok`` have a row per document of ``ids`` and a column per query."""
+        ok = ok & (scores >= self.floor)
+        if len(ids) > self.k:  # more than k of one block can only come in through ties
+            ranked = np.where(ok, scores, -np.inf)
+            ok &= scores >= np.partition(ranked, len(ids) - self.k, axis=0)[len(ids) - self.k]
+        at, query = np.nonzero(ok)
+        if len(at):
+            self._parts.append(pd.DataFrame({"q": query, "product_id": ids[at], "score": scores[at, query]}))
+            self._held += len(at)
+            if self._held > self._limit:
+                self._cut()
+
+    def _cut(self) -> None:
+        rows = pd.concat(self._parts, ignore_index=True).sort_values(["q", "score", "product_id"], ascending=[True, False, True])
+        rows = rows[rows.groupby("q", sort=False).cumcount() < self.k]
+        least = rows.groupby("q")["score"].agg(["min", "size"])
+        full = least[least["size"] == self.k]
+        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
+        self._parts, self._held = [rows], len(rows)
+
+    def hits(self, query_ids: np.ndarray) -> Iterator[pd.DataFrame]:
+        if self._parts:
+            self._cut()
+            rows = self._parts[0]
+            yield pd.DataFrame({"query_id": query_ids[rows["q"].to_numpy()], "product_id": rows["product_id"].to_numpy(), "score": rows["score"].to_numpy()})
 
 
 # ── lexical ──────────────────────────────────────────────────────────────
@@ -29,41 +93,105 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
-def bm25_scores(q_terms: DataFrame, index: DataFrame, stats: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 of every document that shares a term with a query.
+class _Batch:
+    """What a task needs to score documents for a batch of queries: which queries hold a term, and the term's weight."""
+
+    def __init__(self, rows: list, counts: dict[str, int], n: int, total: int, wants: Sequence[str], k1: float, b: float):
+        self.ids = np.array([r["query_id"] for r in rows], dtype=object)
+        self.asked = [tuple(r[w] for w in wants) for r in rows]
+        places: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for term in r["terms"] or ():
+                if term in counts:
+                    places.setdefault(term, []).append(i)
+        self.term = {t: i for i, t in enumerate(places)}
+        df = np.array([counts[t] for t in places], float)
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.holders = np.array([q for own in places.values() for q in own], np.int64)
+        self.first = np.cumsum([0, *map(len, places.values())])
+        self.mean, self.k1, self.b = (total / n if n else 1.0), k1, b
+
+    def entries(self, texts: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, gain) of the batch's terms in tokenised texts."""
+        doc, term, tf, length = [], [], [], []
+        for i, words in enumerate(texts):
+            own = [t for w in words if (t := self.term.get(w)) is not None]
+            if own:
+                found, n = np.unique(own, return_counts=True)
+                doc.append(np.full(len(found), i))
+                term.append(found)
+                tf.append(n)
+                length.append(np.full(len(found), len(words)))
+        if not doc:
+            return (np.zeros(0, np.int64),) * 3
+        doc, term, tf, length = map(np.concatenate, (doc, term, tf, length))
+        gain = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.mean))
+        return doc, term, gain
+
+    def blocks(self, n_docs: int, doc: np.ndarray, term: np.ndarray, gain: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first document, scores) of blocks of documents, a column per query; the size follows from the sums to be made."""
+        held = self.first[term + 1] - self.first[term]
+        per_doc = np.bincount(doc, held, minlength=n_docs) + len(self.ids)
+        block = (np.cumsum(per_doc) // BLOCK_SUMS).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if n_docs else np.zeros(0, np.int64)
+        for first, last in zip(starts.tolist(), [*starts[1:].tolist(), n_docs]):
+            a, z = np.searchsorted(doc, first), np.searchsorted(doc, last)
+            n = held[a:z]
+            at = np.repeat(self.first[term[a:z]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if z > a else np.zeros(0, np.int64)
+            cell = np.repeat(doc[a:z] - first, n) * len(self.ids) + self.holders[at]
+            yield first, np.bincount(cell, np.repeat(gain[a:z], n), minlength=(last - first) * len(self.ids)).reshape(last - first, len(self.ids))
+
+
+def _lexical_scan(shared, k: int, wants: Sequence[str], allow: Allow | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch = shared.value
+        best = _TopK(len(batch.ids), k)
+        for pdf in batches:
+            ids = pdf["product_id"].to_numpy(dtype=object)
+            allowed = _allowed(allow, wants, batch.asked, pdf)
+            for first, scores in batch.blocks(len(pdf), *batch.entries(pdf["toks"])):
+                last = first + len(scores)
+                ok = scores > 0
+                if allowed is not None:
+                    ok &= np.array([a[first:last] for a in allowed], bool).T
+                best.add(np.round(scores, 6), ids[first:last], ok)
+        yield from best.hits(batch.ids)
 
-    ``stats`` holds the corpus size and mean length (one row). ``index`` is
-    distributed by document, so when the query terms fit a broadcast (Spark
-    decides by their size) the per-document sums need no further shuffle. A
-    larger batch is joined by term, where a hot term is split by the adaptive
-    skew join.
-    """
-    stats = stats.select(F.struct("n", "avgdl")).scalar()
-    n, avgdl = stats["n"], stats["avgdl"]
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = q_terms.join(document_frequency(index), "term").select("query_id", "term", idf.alias("idf"))
-    tf = F.col("tf")
-    gain = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return (
-        index.join(weighted, "term")
-        .groupBy("product_id", "query_id")
-        .agg(F.round(F.sum(gain), 6).alias("score"))
-        .select("query_id", "product_id", "score")
-    )
+    return run
 
 
 def bm25_topk(
-    queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "query", text: str = "searchable_text",
-    keep: Callable[[DataFrame], DataFrame] | None = None,
+    queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "query", text: str = "searchable_text", k1: float = 1.2, b: float = 0.75,
+    wants: Sequence[str] = (), facts: Sequence[str] = (), allow: Allow | None = None, chunk_terms: int = CHUNK_TERMS,
 ) -> DataFrame:
-    """Top ``k`` documents per query, straight from the documents.
-
-    ``keep`` filters the scored pairs before the cut at ``k``.
+    """Okapi BM25 top ``k`` per query, straight from the documents: (query_id, product_id, rank, score).
+
+    The documents stay where they are. One pass counts the queries' terms in
+    them; a second sums each document's gains for all queries at once and lets
+    go on only what reaches the query's floor, the ``k``-th score of the task
+    so far. So a term that every document and every query holds makes no row of
+    its own, and a task emits at most ``k`` rows per query. Queries come in
+    chunks of bounded size; ``allow`` says before the cut which documents a
+    query may retrieve, as in :func:`dense_topk`. Looks at the queries and
+    counts terms while the result is planned.
     """
-    q_terms = query_terms(queries, query)
-    index = query_postings(docs, q_terms, text)
-    scores = bm25_scores(q_terms, index, posting_stats(index))
-    return top_hits(keep(scores) if keep else scores, k)
+    rows = queries.select("query_id", F.array_distinct(tokens(F.col(query))).alias("terms"), *wants).where(F.size("terms") > 0)
+    total = rows.agg(F.sum(F.size("terms"))).first()[0] or 0
+    n_chunks = max(1, -(-total // chunk_terms))
+    dealt = rows.withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)))
+    toks = docs.where(F.col(text).isNotNull()).select("product_id", tokens(F.col(text)).alias("toks"), *facts)
+    parts = []
+    for chunk in range(n_chunks):
+        own = dealt.where(F.col("_chunk") == chunk).drop("_chunk")
+        asked = own.collect()
+        counts = {r["term"]: r for r in term_counts(docs, own.select(F.explode("terms").alias("term")), text).collect()}
+        corpus = counts.pop(DOCUMENT, None)
+        if asked and corpus:
+            batch = _Batch(asked, {t: r["df"] for t, r in counts.items()}, corpus["df"], corpus["length"] or 0, wants, k1, b)
+            shared = docs.sparkSession.sparkContext.broadcast(batch)
+            parts.append(toks.mapInPandas(_lexical_scan(shared, k, wants, allow), _HIT_SCHEMA))
+    scores = reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], _HIT_SCHEMA)
+    return top_hits(scores, k)
 
 
 # ── dense ────────────────────────────────────────────────────────────────
@@ -115,12 +243,6 @@ def _block_hits(q_ids, q_mat, d_ids, d_mat, k, skip_self, allowed=None):
     )
 
 
-_HIT_SCHEMA = "query_id string, product_id string, score double"
-
-
-Allow = Callable[[tuple, pd.DataFrame], np.ndarray]
-
-
 def _grid(
     queries: DataFrame, docs: DataFrame, cell: str, k: int, skip_self: bool,
     wants: Sequence[str] = (), facts: Sequence[str] = (), allow: Allow | None = None,
@@ -154,11 +276,7 @@ def _grid(
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "product_id": [], "score": []})
-        allowed = None
-        if allow:
-            known: dict[str, np.ndarray] = {}
-            asked = list(left[list(wants)].itertuples(index=False, name=None))
-            allowed = [known[a] if (a := repr(w)) in known else known.setdefault(a, allow(w, right)) for w in asked]
+        allowed = _allowed(allow, wants, list(left[list(wants)].itertuples(index=False, name=None)) if allow else (), right)
         return _block_hits(
             left["query_id"].to_numpy(dtype=object), _matrix(left["embedding"]),
             right["product_id"].to_numpy(dtype=object), _matrix(right["embedding"]), k, skip_self, allowed,
@@ -168,88 +286,158 @@ def _grid(
     return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(meet, _HIT_SCHEMA)
 
 
+def _scan(queries: list, docs: DataFrame, k: int, skip_self: bool, wants: Sequence[str], facts: Sequence[str], allow: Allow | None) -> DataFrame:
+    """Best ``k`` of every task's documents per query; the documents stay where they are, the queries go to them."""
+    asked = [tuple(q[w] for w in wants) for q in queries]
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (np.array([q["query_id"] for q in queries], dtype=object), _matrix([q["embedding"] for q in queries]), asked)
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q_mat, wishes = shared.value
+        best = _TopK(len(q_ids), k)
+        column = {q: i for i, q in enumerate(q_ids)} if skip_self else {}
+        step = max(1, BLOCK_SUMS // max(1, len(q_ids)))
+        for pdf in batches:
+            ids, mat = pdf["product_id"].to_numpy(dtype=object), _matrix(pdf["embedding"])
+            allowed = _allowed(allow, wants, wishes, pdf)
+            for first in range(0, len(pdf), step):
+                last = min(first + step, len(pdf))
+                ok = np.ones((last - first, len(q_ids)), bool) if allowed is None else np.array([a[first:last] for a in allowed], bool).T.copy()
+                for at in range(first, last) if column else ():
+                    if ids[at] in column:
+                        ok[at - first, column[ids[at]]] = False
+                best.add(np.round(mat[first:last] @ q_mat.T, 6), ids[first:last], ok)
+        yield from best.hits(q_ids)
+
+    rows = docs.where(F.col("embedding").isNotNull()).select("product_id", "embedding", *facts)
+    return rows.mapInPandas(run, _HIT_SCHEMA)
+
+
+def visits(queries: DataFrame, docs: DataFrame, floors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(query_id, cell): cells that can hold a document as good as the query's floor.
+
+    No member of a cell is nearer to a query than the angle to the centre less
+    the widest angle of a member. Scores are compared after rounding, so the
+    bound has a margin of two digits of it.
+    """
+    reach = docs.groupBy("cell").agg(F.acos(F.min("cosine")).alias("reach"))
+    angles = nearest_cells(queries.select("query_id", "embedding"), centres, len(centres)).select("query_id", "cell", F.acos("cosine").alias("angle"))
+    bound = F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("reach"))) + 2e-6
+    return (
+        angles.join(reach, "cell").join(floors, "query_id", "left").where(F.col("floor").isNull() | (bound >= F.col("floor"))).select("query_id", "cell")
+    )
+
+
 def dense_topk(
     queries: DataFrame, docs: DataFrame, k: int = 20, skip_self: bool = False,
-    wants: Sequence[str] = (), facts: Sequence[str] = (), allow: Allow | None = None,
+    wants: Sequence[str] = (), facts: Sequence[str] = (), allow: Allow | None = None, chunk: int = CHUNK_QUERIES,
 ) -> DataFrame:
     """Exact cosine top ``k`` per query: (query_id, product_id, rank, score).
 
-    One plan for all sizes: bounded blocks of queries meet bounded blocks of
-    documents, so a document is sent once per block of queries. ``allow`` says
-    before the cut which of a block's documents a query may retrieve, from the
-    query's columns ``wants`` and the documents' columns ``facts``.
+    ``allow`` says before the cut which of a block's documents a query may
+    retrieve, from the query's columns ``wants`` and the documents' columns
+    ``facts``. A batch of at most ``chunk`` queries is sent to the documents.
+    A larger one meets them cell by cell: each query first looks into its
+    nearest cell, which gives a floor for its list, and then only into the cells
+    that can still hold something as good. Looks at the queries while the
+    result is planned.
     """
-    one = F.lit(0).alias("cell")
-    q, d = queries.select("query_id", "embedding", *wants, one), docs.select("product_id", "embedding", *facts, one)
-    return top_hits(_grid(q, d, "cell", k, skip_self, wants, facts, allow), k)
-
-
-def lsh_cells(df: DataFrame, id_col: str, bands: int, bits: int, seed: int) -> DataFrame:
-    """One row per band: the cell is the sign pattern against fixed random planes."""
-
-    def sign_codes(batches):
-        planes = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            mat = _matrix(pdf["embedding"])
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((mat.shape[1], bands * bits))
-            signs = (mat @ planes > 0).reshape(len(pdf), bands, bits)
-            codes = (signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(bands) << bits)
-            yield pd.DataFrame({id_col: pdf[id_col], "embedding": pdf["embedding"], "cells": list(codes.astype(np.int64))})
-
-    schema = f"{id_col} string, embedding array<float>, cells array<long>"
-    coded = df.select(id_col, "embedding").mapInPandas(sign_codes, schema)
-    return coded.select(id_col, "embedding", F.explode("cells").alias("cell"))
+    rows = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", *wants)
+    few = rows.limit(chunk + 1).collect()
+    if not few:
+        return docs.sparkSession.createDataFrame([], "query_id string, product_id string, rank int, score double")
+    if len(few) <= chunk:
+        return top_hits(_scan(few, docs, k, skip_self, wants, facts, allow), k)
+    centres = fit_centres(docs, "product_id")
+    placed = cut_lineage(nearest_cells(docs.select("product_id", "embedding", *facts), centres))
+    asked = cut_lineage(nearest_cells(rows, centres))
+    first = cut_lineage(_grid(asked, placed, "cell", k, skip_self, wants, facts, allow))
+    floors = top_hits(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    more = visits(rows, placed, floors, centres).join(asked.select("query_id", "cell"), ["query_id", "cell"], "left_anti")
+    second = _grid(rows.join(more, "query_id"), placed, "cell", k, skip_self, wants, facts, allow)
+    return top_hits(first.unionByName(second), k)
+
+
+def ann_plan(queries: DataFrame, docs: DataFrame, share: float = PROBE_SHARE, **fit) -> tuple[DataFrame, DataFrame]:
+    """(probes, assigned): the cells each query looks into, and every document's cell."""
+    centres = fit_centres(docs, "product_id", **fit)
+    assigned = nearest_cells(docs.select("product_id", "embedding"), centres)
+    return nearest_cells(queries.select("query_id", "embedding"), centres, probe_count(len(centres), share)), assigned
+
+
+def dense_ann(queries: DataFrame, docs: DataFrame, k: int = 20, skip_self: bool = False, share: float = PROBE_SHARE, **fit) -> DataFrame:
+    """Approximate cosine top ``k`` by an inverted file: a query is compared with the documents of its nearest cells.
+
+    There are about as many cells as a cell has documents, and the part of them
+    that is looked into falls as they become more. Scores are exact and no
+    cell is cut short; crowded cells are split by the grid. ``fit`` goes to
+    ``fit_centres``.
+    """
+    probes, assigned = ann_plan(queries, docs, share, **fit)
+    return top_hits(_grid(probes, assigned, "cell", k, skip_self), k)
 
 
-def dense_ann(queries: DataFrame, docs: DataFrame, k: int = 20, bands: int = 16, bits: int = 4, seed: int = 7, skip_self: bool = False) -> DataFrame:
-    """Approximate cosine top ``k``: only documents sharing an LSH cell are scored.
+# ── substring ────────────────────────────────────────────────────────────
 
-    Scores are exact and no cell is cut short; hot cells are split by the grid.
-    """
-    q = lsh_cells(queries, "query_id", bands, bits, seed)
-    d = lsh_cells(docs, "product_id", bands, bits, seed)
-    d = d.join(q.select("cell").distinct(), "cell", "left_semi")
-    hits = _grid(q, d, "cell", k, skip_self).dropDuplicates(["query_id", "product_id"])
-    return top_hits(hits, k)
 
+def _anchor(needle: str) -> str:
+    """A gram of the needle that is looked for: all of it, or its middle. A long gram is rarer than any part of it."""
+    if len(needle) <= ANCHOR_CHARS:
+        return needle
+    first = (len(needle) - ANCHOR_CHARS) // 2
+    return needle[first : first + ANCHOR_CHARS]
+
+
+def _needle_chunks(queries: DataFrame, query: str, chunk_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """(query_id, needle) in chunks of about ``chunk_chars`` characters, by a hash of the id."""
+    rows = queries.filter(F.trim(F.col(query)) != "").select("query_id", F.col(query).alias("needle"))
+    total = rows.agg(F.sum(F.length("needle"))).first()[0] or 0
+    n = -(-total // chunk_chars)
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(max(n, 1))))
+    for k in range(n):
+        yield [(r["query_id"], r["needle"]) for r in dealt.where(F.col("chunk") == k).select("query_id", "needle").collect()]
+
+
+def _find(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        needles = shared.value
+        by_anchor: dict[str, list[int]] = {}
+        for i, (_, needle) in enumerate(needles):
+            by_anchor.setdefault(_anchor(needle), []).append(i)
+        automaton = ahocorasick.Automaton()
+        for anchor, own in by_anchor.items():
+            automaton.add_word(anchor, own)
+        automaton.make_automaton()
+        for pdf in batches:
+            out_q, out_d = [], []
+            for product, body in zip(pdf["product_id"], pdf["body"]):
+                candidates = {i for _, own in automaton.iter(body) for i in own}
+                found = [needles[i][0] for i in candidates if needles[i][1] in body]
+                out_q += found
+                out_d += [product] * len(found)
+            yield pd.DataFrame({"query_id": out_q, "product_id": out_d}, dtype=object)
 
-# ── substring ────────────────────────────────────────────────────────────
+    return run
 
 
-def keyword_contains(queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "query", text: str = "searchable_text") -> DataFrame:
+def keyword_contains(
+    queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "query", text: str = "searchable_text", chunk_chars: int = CHUNK_CHARS
+) -> DataFrame:
     """Documents holding the query text as a case-sensitive substring, by id.
 
-    Candidates come from an equi-join and are then verified on whole texts.
-    A query of three or more space-separated words must contain its inner
-    words whole, so its longest inner word is the anchor; a shorter query is
-    anchored on a gram of up to three characters of its longest word.
-    Blank queries match nothing (the query policy rejects them).
+    The texts stay where they are. One Aho-Corasick pass over a text finds all
+    needles' anchors, grams of up to ``ANCHOR_CHARS`` characters, and a needle whose
+    anchor is there is looked for in the same text. Needles come in chunks of
+    bounded size, each one pass over the texts. Blank queries match nothing
+    (the query policy rejects them). Looks at the queries while the result is
+    planned.
     """
-    parts = F.split(F.col(query), " ")
-    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
-    longest = lambda arr: F.array_max(F.transform(arr, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    q = queries.filter(F.trim(F.col(query)) != "").select("query_id", F.col(query).alias("needle"), longest(inner).alias("anchor"), longest(parts).alias("long_word"))
-    whole_word = F.coalesce(F.length("anchor") > 0, F.lit(False))
-
-    vocabulary = docs.select("product_id", F.explode_outer(F.array_distinct(F.split(text, " "))).alias("word"))
-    by_word = q.filter(whole_word).select("query_id", F.col("anchor").alias("word"))
-    by_gram = q.filter(~whole_word).select("query_id", F.substring("long_word", 1, 3).alias("gram"))
-    starts = F.sequence(F.lit(1), F.length("word"))
-    grams = F.flatten(F.array(*[F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(n))) for n in (1, 2, 3)]))
-    word_grams = vocabulary.filter(F.length("word") > 0).select("product_id", F.explode(F.array_distinct(grams)).alias("gram"))
-
-    candidates = (
-        vocabulary.join(by_word, "word").select("query_id", "product_id")
-        .union(word_grams.join(by_gram, "gram").select("query_id", "product_id"))
-        .distinct()
-    )
-    found = (
-        candidates.join(docs.select("product_id", F.col(text).alias("body")), "product_id")
-        .join(q.select("query_id", "needle"), "query_id")
-        .filter(F.contains("body", "needle"))
-        .select("query_id", "product_id")
-    )
+    bodies = docs.where(F.col(text).isNotNull()).select("product_id", F.col(text).alias("body"))
+    context = docs.sparkSession.sparkContext
+    parts = [
+        bodies.mapInPandas(_find(context.broadcast(chunk)), "query_id string, product_id string")
+        for chunk in _needle_chunks(queries, query, chunk_chars) if chunk
+    ]
+    found = reduce(DataFrame.union, parts) if parts else bodies.sparkSession.createDataFrame([], "query_id string, product_id string")
     return top_hits(found.withColumn("score", F.lit(1.0)), k)

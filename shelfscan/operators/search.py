@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfscan.functions.ranking import top_hits, top_k
 from shelfscan.functions.text import collapse_spaces, display, tokens, words
-from shelfscan.operators.index import document_frequency, posting_stats, query_postings
+from shelfscan.operators.index import DOCUMENT, Encoder, embed, term_counts
 from shelfscan.operators.retrieval import bm25_topk, dense_topk, query_terms
+from shelfscan.session import cut_lineage
 
 # Words ignored when matching a query against titles.
 MATCH_STOPWORDS = ["with", "for", "the", "and", "under", "in", "of", "to", "a", "an"]
@@ -18,6 +19,8 @@ MATCH_STOPWORDS = ["with", "for", "the", "and", "under", "in", "of", "to", "a",
 INTENT_STOPWORDS = ["with", "for", "the", "and", "under"]
 
 SIMILARITY_THRESHOLD = 0.58
+# First characters by which completions of equal use are put in order, before their keys.
+ORDER_CHARS = 64
 
 
 # ── fusion, thresholds, ranks ────────────────────────────────────────────
@@ -178,9 +181,9 @@ def request_filter(rows: DataFrame, requests: DataFrame, intents: DataFrame | No
 def term_weights(queries: DataFrame, docs: DataFrame, query: str = "query", text: str = "searchable_text") -> DataFrame:
     """(query_id, weights array<struct<term, idf>>); an unseen term has the largest idf."""
     q_terms = query_terms(queries, query)
-    index = query_postings(docs, q_terms, text)  # shared with the lexical retrieval of the same batch
-    df = document_frequency(index)
-    n = posting_stats(index).select(F.struct("n", "avgdl")).scalar()["n"]
+    counts = cut_lineage(term_counts(docs, q_terms, text))
+    df = counts.where(F.col("term") != DOCUMENT)
+    n = counts.where(F.col("term") == DOCUMENT).select(F.coalesce(F.max("df"), F.lit(0)).alias("n")).select("n").scalar()
     freq = F.coalesce("df", F.lit(0))
     idf = F.log(1 + (n - freq + 0.5) / (freq + 0.5))
     return (
@@ -313,12 +316,55 @@ def benchmark_sweep(queries: DataFrame, rows: DataFrame, threshold: float) -> Da
 # ── query understanding ──────────────────────────────────────────────────
 
 
+def phrase_dictionary(products: DataFrame) -> DataFrame:
+    """(kind, phrase, value) of a catalog: its categories, brands and attribute values; phrases in lower case."""
+
+    def of(kind: Column, value: Column, rows: DataFrame) -> DataFrame:
+        named = rows.select(kind.alias("kind"), F.lower(collapse_spaces(value)).alias("phrase"), value.alias("value"))
+        return named.where("phrase <> ''").distinct()
+
+    attributes = products.select(F.explode(F.split("attribute_summary", ", ")).alias("a")).where(F.contains("a", F.lit(": ")))
+    name, value = F.lower(F.substring_index("a", ": ", 1)), F.substring(F.col("a"), F.length(F.substring_index("a", ": ", 1)) + 3, F.length("a"))
+    return (
+        of(F.lit("category"), F.col("category_path"), products).unionByName(of(F.lit("brand"), F.col("brand_name"), products)).unionByName(of(name, value, attributes))
+    )
+
+
+def _opening(phrase_words: Column) -> Column:
+    """What a phrase begins with: its first two words, or its only one."""
+    return F.array_join(F.slice(phrase_words, 1, 2), " ")
+
+
+def phrase_matches(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(query_id, start, n, kind, value) of every dictionary phrase in ``_words``.
+
+    A query looks up the openings at each of its places, and is cut only to
+    lengths that phrases of that opening have. So a phrase of a thousand words
+    costs nothing where its first two are absent, and texts are put together
+    only where a phrase of that length may stand.
+    """
+    entries = dictionary.select("kind", "value", "phrase", F.split("phrase", " ").alias("_parts"))
+    entries = entries.select("kind", "value", "phrase", F.size("_parts").alias("n"), _opening(F.col("_parts")).alias("opening"))
+    lengths = entries.groupBy("opening").agg(F.collect_set("n").alias("lengths"))  # as many as phrases of one opening differ in length
+
+    def openings(word: Column, i: Column) -> Column:
+        after = F.get("_words", i + 1)
+        return F.array_compact(F.array(word, F.when(after.isNotNull(), F.concat(word, F.lit(" "), after))))
+
+    places = queries.select("query_id", F.posexplode(F.transform("_words", openings)).alias("start", "openings"))
+    found = places.select("query_id", "start", F.explode("openings").alias("opening")).join(lengths, "opening")
+    found = found.select("query_id", "start", "opening", F.explode("lengths").alias("n"))
+    # the words come back only for places where a phrase may stand
+    found = found.join(queries.select("query_id", "_words"), "query_id").where("start + n <= size(_words)")
+    spans = found.select("query_id", "start", "n", "opening", F.array_join(F.slice("_words", F.col("start") + 1, F.col("n")), " ").alias("phrase"))
+    return spans.join(entries, ["opening", "n", "phrase"]).select("query_id", "start", "n", "kind", "value")
+
+
 def query_intent(queries: DataFrame, dictionary: DataFrame, query: str = "query") -> DataFrame:
     """Rule-based intent: price limit by pattern, other fields by dictionary.
 
     ``dictionary``: (kind, phrase, value), phrase in lower case. Per kind the
-    longest matching phrase wins, then the earliest; spans are as long as the
-    dictionary's longest phrase. ``category`` and
+    longest matching phrase wins, then the earliest. ``category`` and
     ``brand`` have their own columns, other kinds go to ``filters``. The
     rewritten query is the query without the matched spans.
     """
@@ -329,22 +375,9 @@ def query_intent(queries: DataFrame, dictionary: DataFrame, query: str = "query"
         F.regexp_extract(low, limit_pattern, 1).alias("_limit"),
         words(F.regexp_replace(low, limit_pattern, " ")).alias("_words"),
     )
-    longest = dictionary.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(1)).alias("_longest"), F.lit(1).alias("_one"))
-    q = q.withColumn("_one", F.lit(1)).join(F.broadcast(longest), "_one").drop("_one")  # one row
-    starts = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(F.array().cast("array<int>"))
-    spans = F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least("_longest", F.size("_words") - s)),
-                lambda n: F.struct(s.alias("start"), n.alias("n"), F.array_join(F.slice("_words", s + 1, n), " ").alias("phrase")),
-            ),
-        )
-    )
-    grams = q.select("query_id", F.explode(spans).alias("g")).select("query_id", "g.*")
     # a hot phrase is reduced per query and kind in the map tasks
     best = (
-        grams.join(dictionary.select("kind", "phrase", "value"), "phrase")
+        phrase_matches(q, dictionary)
         .groupBy("query_id", "kind")
         .agg(F.min(F.struct((-F.col("n")).alias("n"), "start", "value")).alias("m"))
     )
@@ -391,18 +424,60 @@ def intent_tokens(query: Column) -> Column:
     return F.slice(F.filter(words(F.lower(query)), lambda w: (F.length(w) > 3) & ~w.isin(INTENT_STOPWORDS)), 1, 6)
 
 
+def _uses(rows: DataFrame, query: str, name: str) -> DataFrame:
+    """(name, uses): distinct lower-case texts and how often each occurs."""
+    return rows.select(F.lower(collapse_spaces(F.col(query))).alias(name)).where(f"{name} <> ''").groupBy(name).agg(F.count(F.lit(1)).alias("uses"))
+
+
 def suggest_prefixes(log: DataFrame, query: str = "query", n: int = 5, min_length: int = 2) -> DataFrame:
-    """(prefix, rank, completion, uses): the most used logged queries per prefix.
+    """(prefix_key, n_chars, rank, completion_key, uses): the most used logged queries per prefix.
 
-    The log is reduced to distinct queries before prefixes are made, so a
-    query asked by everyone still makes one row per prefix.
+    Keys are MD5s: a text of length L makes L rows of a few numbers, never L
+    prefixes, so long queries cost no more than their length. The log is
+    reduced to distinct queries first, so a query asked by everyone still makes
+    one row per prefix. Equal uses go by the completion's first characters, then
+    by its key.
     """
-    uses = log.select(F.lower(collapse_spaces(F.col(query))).alias("completion")).groupBy("completion").agg(F.count(F.lit(1)).alias("uses"))
-    prefixes = uses.filter(F.length("completion") >= min_length).select(
-        "completion", "uses",
-        F.explode(F.transform(F.sequence(F.lit(min_length), F.length("completion")), lambda i: F.substring(F.col("completion"), F.lit(1), i))).alias("prefix"),
+    uses = _uses(log, query, "completion")
+    keyed = uses.select(F.md5("completion").alias("completion_key"), "uses", "completion")
+    rows = keyed.filter(F.length("completion") >= min_length).select(
+        "completion_key", "uses", F.substring("completion", 1, ORDER_CHARS).alias("opening"),
+        F.posexplode(F.transform(F.sequence(F.lit(min_length), F.length("completion")), lambda i: F.md5(F.substring(F.col("completion"), F.lit(1), i)))).alias("at", "prefix_key"),
     )
-    return top_k(prefixes, ["prefix"], [F.col("uses").desc(), F.col("completion")], n)
+    best = top_k(rows, ["prefix_key"], [F.col("uses").desc(), F.col("opening"), F.col("completion_key")], n)
+    return best.select("prefix_key", (F.col("at") + min_length).alias("n_chars"), "rank", "completion_key", "uses")
+
+
+def suggest(typed: DataFrame, log: DataFrame, products: DataFrame, n: int = 5) -> DataFrame:
+    """(typed, part, rank, suggestion, uses): what to offer for each typed text, in three parts.
+
+    ``completions``: logged queries that begin with it; ``categories``: product
+    categories that begin with it; ``related``: queries asked most often in the same sessions as
+    its completions. ``log``: (session_id, query); ``products``: (category).
+    """
+    texts = _uses(log, "query", "text")
+    asked = typed.select(F.lower(collapse_spaces(F.col("typed"))).alias("typed")).where("typed <> ''").distinct()
+    # as many numbers as typed texts differ in length
+    lengths = sorted(r["n"] for r in asked.select(F.length("typed").alias("n")).distinct().collect())
+
+    def beginning(rows: DataFrame) -> DataFrame:
+        """(typed, text, uses) by the key of the typed text; only prefixes of lengths that were typed are made."""
+        fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("text"))
+        cut = rows.select("text", "uses", F.explode(F.transform(fitting, lambda n: F.substring(F.col("text"), F.lit(1), n))).alias("typed"))
+        return cut.join(asked, "typed")
+
+    def part(rows: DataFrame, name: str) -> DataFrame:
+        best = top_k(rows, ["typed"], [F.col("uses").desc(), F.col("text")], n)
+        return best.select("typed", F.lit(name).alias("part"), "rank", F.col("text").alias("suggestion"), "uses")
+
+    completions = beginning(texts)
+    offered = top_k(completions, ["typed"], [F.col("uses").desc(), F.col("text")], n).select("typed", "text")
+    categories = beginning(_uses(products, "category", "text"))
+    told = log.select("session_id", F.lower(collapse_spaces(F.col("query"))).alias("text")).where("text <> ''").distinct()
+    sessions = told.join(offered, "text").select("typed", "session_id").distinct()
+    together = sessions.join(told, "session_id").join(offered, ["typed", "text"], "left_anti")
+    related = together.groupBy("typed", "text").agg(F.count(F.lit(1)).alias("uses"))
+    return part(completions, "completions").unionByName(part(categories, "categories")).unionByName(part(related, "related"))
 
 
 def _intent_mask(wants: tuple, facts: pd.DataFrame) -> np.ndarray:
@@ -421,32 +496,42 @@ def _intent_mask(wants: tuple, facts: pd.DataFrame) -> np.ndarray:
 
 
 def search_batch(
-    queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, intents: DataFrame, top_k_hits: int = 20, top_n: int = 10
+    queries: DataFrame, docs: DataFrame, top_k_hits: int = 20, top_n: int = 10, intents: DataFrame | None = None,
+    dictionary: DataFrame | None = None, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None,
+    encoder: Encoder | None = None, score: Column | None = None,
 ) -> DataFrame:
-    """Retrieve by words and by vectors, fuse, enrich, rerank: the answer to every query in one job.
-
-    A query retrieves only products that satisfy its intent, so a list is
-    short only where no more products qualify.
+    """Understand, rewrite, retrieve by words and by vectors, fuse, enrich, rerank: the answer to every query in one job.
+
+    Each stage feeds the next: intents come from ``query_intent`` with the
+    catalog's own phrases, the rewritten text is what is searched, encoded and
+    reranked by, and both sides are encoded by the same encoder. What a caller
+    has already (intents, vectors) can be passed in. A query retrieves only
+    products that satisfy its intent, so a list is short only where no more
+    products qualify.
     """
-    low = lambda c, name: F.lower(F.coalesce(F.col(c), F.lit(""))).alias(name)
-    facts = docs.select(
-        "product_id", low("category_path", "_path"), low("brand_name", "_brand_name"), low("attribute_summary", "_attributes"),
-        F.col("selling_price").cast("double").alias("_price"),
+    if intents is None:
+        intents = query_intent(queries, dictionary if dictionary is not None else phrase_dictionary(docs))
+        intents = cut_lineage(intents)  # small, and read by every later stage
+    asked = intents.select("query_id", F.coalesce(F.nullif("rewritten_query", F.lit("")), "original_query").alias("query"))
+    query_vectors = embed(asked, text="query", id_col="query_id", encoder=encoder) if query_vectors is None else query_vectors
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    docs = docs.withColumns(
+        {
+            "_path": low("category_path"), "_brand_name": low("brand_name"), "_attributes": low("attribute_summary"),
+            "_price": F.col("selling_price").cast("double"),
+        }
     )
-    no_text = {c: "" for c in ("_path", "_brand_name", "_attributes")}
+    facts = ["_path", "_brand_name", "_attributes", "_price"]
+    vectors = embed(docs, encoder=encoder, keep=facts) if vectors is None else vectors.join(docs.select("product_id", *facts), "product_id")
     no_values = F.array().cast("array<string>")
-    values = F.transform(F.coalesce(F.map_values("filters"), no_values), F.lower)
-    wants = intents.select(
-        "query_id", F.lower("category").alias("_category"), F.lower("brand").alias("_brand"),
-        F.col("price_max").cast("double").alias("_most"), values.alias("_values"),
-    )
-    details = docs.select("product_id", "category_path", "brand_name", "attribute_summary", "selling_price")
-    lexical = bm25_topk(queries, docs, top_k_hits, keep=lambda scored: intent_filter(scored.join(details, "product_id"), intents))
-    dense = dense_topk(
-        query_vectors.join(wants, "query_id", "left").withColumn("_values", F.coalesce("_values", no_values)),
-        vectors.join(facts, "product_id", "left").fillna(no_text), top_k_hits,
-        wants=["_category", "_brand", "_most", "_values"], facts=["_path", "_brand_name", "_attributes", "_price"], allow=_intent_mask,
+    wishes = intents.select(
+        "query_id", F.lower("category").alias("_category"), F.lower("brand").alias("_brand"), F.col("price_max").cast("double").alias("_most"),
+        F.transform(F.coalesce(F.map_values("filters"), no_values), F.lower).alias("_values"),
     )
-    fused = fuse_ranks(dense, lexical, top_k_hits)
+    narrowed = {"wants": ["_category", "_brand", "_most", "_values"], "facts": facts, "allow": _intent_mask}
+    wishing = lambda rows: rows.join(wishes, "query_id", "left").withColumn("_values", F.coalesce("_values", no_values))
+    lexical = bm25_topk(wishing(asked), docs, top_k_hits, **narrowed)
+    dense = dense_topk(wishing(query_vectors), vectors, top_k_hits, **narrowed)
+    fused = cut_lineage(fuse_ranks(dense, lexical, top_k_hits))
     found = enrich_hits(fused, docs.join(fused.select("product_id").distinct(), "product_id", "left_semi"))
-    return rerank(found, term_weights(queries, docs), top_n)
+    return rerank(found, term_weights(asked, docs), top_n, score)

@@ -108,12 +108,24 @@ def showcase_catalog(t: Tables):
     """SELECT query_id, product_id, rank, score, coalesce(nullif(product_name, ''), 'Product ' || product_id) AS product_name,
       coalesce(nullif(searchable_text, ''), attribute_summary, '') AS description, coalesce(brand_name, '') AS brand_name, coalesce(category_path, '') AS category_path,
       coalesce(attribute_summary, '') AS attribute_summary, selling_price, average_rating, coalesce(review_count, 0) AS review_count
-    FROM v_bm25_hits LEFT JOIN (SELECT * FROM v_catalog WHERE CAST(product_id AS INT) % 10 <> 3) USING (product_id)""",
+    FROM v_bm25_hits LEFT JOIN v_catalog USING (product_id)""",
 )
 def enrich_hits(t: Tables):
-    """J7; every tenth product has no details, to show the fallbacks."""
-    details = t["v_catalog"].filter(F.col("product_id").cast("int") % 10 != 3)
-    return search.enrich_hits(bm25_hits(t), details)
+    """J7."""
+    return search.enrich_hits(bm25_hits(t), t["v_catalog"])
+
+
+@register(
+    "category_paths",
+    """WITH RECURSIVE up AS (SELECT category_id, parent_category_id AS next, category_name AS path, false AS cyclic, [category_id] AS seen FROM v_category
+      UNION ALL SELECT u.category_id, CASE WHEN list_contains(u.seen, u.next) THEN NULL ELSE c.parent_category_id END,
+        CASE WHEN list_contains(u.seen, u.next) OR c.category_id IS NULL THEN u.path ELSE concat_ws(' > ', c.category_name, u.path) END, list_contains(u.seen, u.next), list_append(u.seen, u.next)
+      FROM up u LEFT JOIN v_category c ON c.category_id = u.next WHERE u.next IS NOT NULL AND NOT u.cyclic)
+    SELECT category_id, path, cyclic FROM up QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY len(seen) DESC) = 1""",
+)
+def category_paths(t: Tables):
+    """Every category's path, by joins with its parents."""
+    return catalog.category_paths(t["v_category"])
 
 
 @register(

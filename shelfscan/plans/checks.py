@@ -229,9 +229,10 @@ def dq_gate(t: Tables):
 
 @register(
     "dq_score",
-    """SELECT 'product' AS table_name, count(*) AS row_count, count(*) FILTER (product_id IS NULL) AS null_product_id,
+    """WITH f AS (SELECT 'product' AS table_name, count(*) AS row_count, count(*) FILTER (product_id IS NULL) AS null_product_id,
       count(*) FILTER (product_name IS NULL) AS null_product_name, count(*) FILTER (product_class IS NULL) AS null_product_class,
-      count(*) - (SELECT count(*) FROM (SELECT DISTINCT product_id FROM v_product)) AS duplicate_keys, count(*) = 0 AS is_empty, 0.8 * 0.9 * 0.9::DOUBLE AS quality_score FROM v_product""",
+      count(*) - (SELECT count(*) FROM (SELECT DISTINCT product_id FROM v_product)) AS duplicate_keys, count(*) = 0 AS is_empty FROM v_product)
+    SELECT *, round((CASE WHEN duplicate_keys > 0 THEN 0.8::DOUBLE ELSE 1 END) * pow(0.9::DOUBLE, (null_product_id > 0)::INT + (null_product_name > 0)::INT + (null_product_class > 0)::INT), 6) AS quality_score FROM f""",
 )
 def dq_score(t: Tables):
     """F10."""
@@ -293,8 +294,7 @@ def fk_repair(t: Tables):
     out = []
     for link, child, key, fk, parent, pk in links:
         rows = child.select(F.col(key).alias("record_key"), F.col(fk).alias("fk"))
-        for outcome, part in (("kept", q.fk_repair(rows, "fk", parent, pk)), ("orphan", q.orphans(rows, "fk", parent, pk))):
-            out.append(part.select(F.lit(link).alias("link"), "record_key", "fk", F.lit(outcome).alias("outcome")))
+        out.append(q.fk_outcomes(rows, "fk", parent, pk).select(F.lit(link).alias("link"), "record_key", "fk", "outcome"))
     return union(out)
 
 
@@ -320,6 +320,15 @@ def text_readiness(t: Tables):
     return a.unionByName(q.text_readiness(t["v_product_raw"], "title").select(F.lit("titles").alias("source"), "*"))
 
 
+@register(
+    "readiness_samples",
+    """SELECT asin, categories, title FROM v_product_raw WHERE title IS NULL OR trim(title) = '' ORDER BY asin NULLS FIRST, categories NULLS FIRST, title NULLS FIRST LIMIT 5""",
+)
+def readiness_samples(t: Tables):
+    """the rows that go with a failed readiness check."""
+    return q.blank_samples(t["v_product_raw"], "title", "asin", "categories", "title")
+
+
 @register(
     "query_policy",
     r"""WITH r AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS query_id, CASE WHEN turn % 5 = 3 THEN '  ' ELSE text END AS query FROM conversations),

@@ -89,11 +89,21 @@ def facet_categories(t: Tables):
 
 @register(
     "facet_brands",
-    """SELECT brand_name AS name, count(*) AS product_count FROM v_catalog WHERE brand_name <> '' AND category_path = 'src1' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
+    """SELECT brand_name AS name, count(*) AS product_count FROM v_catalog WHERE brand_name <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
 )
 def facet_brands(t: Tables):
-    """G6 within one category."""
-    return profile.facet(t["v_catalog"], "brand_name", 50, where=F.col("category_path") == "src1")
+    """G6."""
+    return profile.facet(t["v_catalog"], "brand_name", 50)
+
+
+@register(
+    "facet_brands_by_category",
+    """SELECT category_path AS category, brand_name AS name, count(*) AS product_count, CAST(row_number() OVER w AS INT) AS rank FROM v_catalog WHERE brand_name <> '' AND category_path <> '' GROUP BY 1, 2
+    WINDOW w AS (PARTITION BY category_path ORDER BY count(*) DESC, brand_name) QUALIFY row_number() OVER w <= 50""",
+)
+def facet_brands_by_category(t: Tables):
+    """G6 within every category."""
+    return profile.facet_within(t["v_catalog"], "brand_name", "category_path", 50)
 
 
 @register(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfscan.operators import index, retrieval, search
+from shelfscan.operators import cells, index, retrieval, search
 from shelfscan.plans.registry import register
 from shelfscan.plans.relevance import bm25_hits, dense_hits
+from shelfscan.session import scratch_path
 from shelfscan.sources.fixtures import Tables
 
 
@@ -22,9 +23,33 @@ def dense_topk(t: Tables):
     return dense_hits(t)
 
 
-@register("dense_ann")
+def fitted_cells(rounds: int = cells.ROUNDS) -> str:
+    """Checking side of the inverted file: centres as whole-number vectors, fitted in rounds of exact sums."""
+    near = "list_dot_product(q, centre) / greatest(sqrt(list_dot_product(centre, centre)), 1)"
+    out = f"""v AS (SELECT product_id AS id, embedding, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * {cells.GRID})) AS q FROM v_vec_products WHERE embedding IS NOT NULL),
+    size AS (SELECT CAST(greatest(1, ceil(sqrt(count(*)))) AS INT) AS c FROM v),
+    sample AS (SELECT id, q, row_number() OVER (ORDER BY md5(id), id) AS r FROM v QUALIFY r <= greatest({cells.SAMPLE}, (SELECT c FROM size))),
+    c0 AS (SELECT CAST(r - 1 AS INT) AS cell, q AS centre FROM sample WHERE r <= (SELECT c FROM size)),"""
+    for i in range(rounds):
+        out += f"""
+    a{i} AS (SELECT id, q, cell FROM sample, c{i} QUALIFY row_number() OVER (PARTITION BY id ORDER BY {near} DESC, cell) = 1),
+    s{i} AS (SELECT cell, d, sum(q[d]) AS s FROM (SELECT cell, q, unnest(range(1, len(q) + 1)) AS d FROM a{i}) GROUP BY ALL),
+    c{i + 1} AS (SELECT cell, list(s ORDER BY d) AS centre FROM s{i} GROUP BY cell UNION ALL SELECT cell, centre FROM c{i} WHERE cell NOT IN (SELECT cell FROM s{i})),"""
+    return out + f"""
+    placed AS (SELECT id, embedding, cell FROM v, c{rounds} QUALIFY row_number() OVER (PARTITION BY id ORDER BY {near} DESC, cell) = 1),
+    probes AS (SELECT query_id, embedding, cell FROM (SELECT query_id, embedding, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * {cells.GRID})) AS q FROM v_query_vectors), c{rounds}
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {near} DESC, cell) <= (SELECT least(c, greatest(1, ceil({retrieval.PROBE_SHARE}::DOUBLE * pow(c, 0.75)))) FROM size))"""
+
+
+@register(
+    "dense_ann",
+    f"""WITH {fitted_cells()}
+    SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INT) AS rank, score
+    FROM (SELECT query_id, id AS product_id, round(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score FROM probes p JOIN placed d USING (cell))
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) <= 10""",
+)
 def dense_ann(t: Tables):
-    """R2: checked by recall against the exact list, not by SQL."""
+    """R2: inverted file over all product vectors."""
     return retrieval.dense_ann(t["v_query_vectors"], t["v_vec_products"], 10)
 
 
@@ -89,10 +114,21 @@ def vector_stats(t: Tables):
     return index.vector_stats(t["v_vec_products"])
 
 
-@register("embed_corpus")
+def hashed_vectors(rows: str, dim: int = 256) -> str:
+    """Checking side of the encoder over rows of (id, body): (id, dim, weight) of every place that is not zero."""
+    return rf"""SELECT id, dim, CAST(s / sqrt(sum(s * s) OVER (PARTITION BY id)) AS FLOAT) AS weight FROM (
+      SELECT id, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % {dim} AS INT) AS dim, sum(CASE WHEN substr(h, 10, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) AS s
+      FROM (SELECT id, md5(unnest(list_distinct(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+')))) AS h FROM {rows}) GROUP BY ALL) WHERE s <> 0"""
+
+
+@register(
+    "embed_corpus",
+    f"""SELECT id AS product_id, dim, round(CAST(weight AS DOUBLE), 6) AS weight FROM ({hashed_vectors("(SELECT product_id AS id, searchable_text AS body FROM v_catalog)")})""",
+)
 def embed_corpus(t: Tables):
-    """Unit vectors of all documents."""
-    return index.embed(t["v_catalog"])
+    """Unit vectors of all documents, one row per place that is not zero."""
+    places = index.embed(t["v_catalog"]).select("product_id", F.posexplode("embedding").alias("dim", "weight"))
+    return places.where("weight <> 0").select("product_id", "dim", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
 @register(
@@ -104,11 +140,13 @@ def embed_corpus(t: Tables):
       FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS toks FROM new_docs)) GROUP BY ALL""".replace("\\\\", "\\"),
 )
 def index_refresh(t: Tables):
-    """The refreshed index equals a rebuild from the new documents."""
+    """A stored index, refreshed by the changes, equals a rebuild from the new documents."""
     old = t["documents"].select(F.col("doc_id").cast("string").alias("product_id"), F.col("text").alias("searchable_text"), "doc_id")
     text = F.when(F.col("doc_id") % 11 == 0, F.concat("searchable_text", F.lit(" refreshed edition"))).otherwise(F.col("searchable_text"))
     kept = old.filter(F.col("doc_id") % 13 != 0).withColumn("searchable_text", text)
     added = old.filter(F.col("doc_id") % 13 == 0).withColumn("product_id", (F.col("doc_id") + 1000000).cast("string"))
     old, new = old.drop("doc_id"), kept.unionByName(added).drop("doc_id")
-    changes = index.snapshot_diff(old, new, "product_id")
-    return index.refresh_postings(index.postings(old), new, changes)
+    stored = index.StoredIndex(t.spark, scratch_path(t.spark, "index"))
+    stored.build(old)
+    stored.refresh(new, index.snapshot_diff(old, new, "product_id"))
+    return stored.postings()

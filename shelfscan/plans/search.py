@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfscan.operators import search
+from shelfscan.plans.ranking import hashed_vectors
 from shelfscan.plans.registry import register
 from shelfscan.plans.relevance import bm25_hits
 from shelfscan.sources.fixtures import Tables
@@ -212,21 +213,35 @@ RAW_QUERY = """CAST(p_partkey AS STRING) AS query_id, CASE WHEN p_partkey % 4 =
       CASE WHEN p_partkey % 6 = 0 THEN ' under 500' WHEN p_partkey % 6 = 1 THEN ' less than $99.5 today' ELSE '' END AS query"""
 
 
-@register(
-    "query_intent",
-    rf"""WITH r AS (SELECT {RAW_QUERY} FROM part), l AS (SELECT query_id, query, lower(trim(regexp_replace(query, '\s+', ' ', 'g'))) AS low FROM r),
-    s AS (SELECT query_id, query, regexp_extract(low, '\b(?:under|below|less than)\s+[$₹]?([0-9]+(?:\.[0-9]+)?)', 1) AS lim,
-      list_filter(regexp_split_to_array(regexp_replace(low, '\b(?:under|below|less than)\s+[$₹]?([0-9]+(?:\.[0-9]+)?)', ' ', 'g'), '\s+'), lambda x: x <> '') AS words FROM l),
-    g AS (SELECT query_id, i AS start, n, array_to_string(words[i:i + n - 1], ' ') AS phrase FROM (SELECT query_id, words, unnest(range(1, len(words) + 1)) AS i FROM s), (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(words)),
-    d AS (SELECT DISTINCT 'category' AS kind, lower(source) AS phrase, source AS value FROM documents UNION ALL SELECT DISTINCT 'brand', lower(lang), lang FROM documents
-      UNION ALL SELECT DISTINCT 'material', w, w FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)),
+def intent_sql(rows: str, entries: str, most: int = 3) -> str:
+    """Checking side of query understanding over rows of (query_id, query) and entries of (kind, phrase, value) of up to ``most`` words.
+
+    Leaves ``understood``: (query_id, original_query, rewritten_query, price_max) and ``m``, the best phrase of each kind.
+    """
+    limit = r"\b(?:under|below|less than)\s+[$₹]?([0-9]+(?:\.[0-9]+)?)"
+    return rf"""r AS ({rows}), l AS (SELECT query_id, query, lower(trim(regexp_replace(query, '\s+', ' ', 'g'))) AS low FROM r),
+    s AS (SELECT query_id, query, regexp_extract(low, '{limit}', 1) AS lim,
+      list_filter(regexp_split_to_array(regexp_replace(low, '{limit}', ' ', 'g'), '\s+'), lambda x: x <> '') AS words FROM l),
+    g AS (SELECT query_id, i AS start, n, array_to_string(words[i:i + n - 1], ' ') AS phrase FROM (SELECT query_id, words, unnest(range(1, len(words) + 1)) AS i FROM s), (SELECT unnest(range(1, {most} + 1)) AS n) WHERE i + n - 1 <= len(words)),
+    d AS ({entries}),
     m AS (SELECT * FROM g JOIN d USING (phrase) QUALIFY row_number() OVER (PARTITION BY query_id, kind ORDER BY n DESC, start, value) = 1),
     k AS (SELECT s.query_id, array_to_string(list_filter(words, lambda x, i: len(list_filter(coalesce(ms, []), lambda y: i >= y.start AND i < y.start + y.n)) = 0), ' ') AS rest
-      FROM s LEFT JOIN (SELECT query_id, list({{'start': start, 'n': n}}) AS ms FROM m GROUP BY 1) x USING (query_id))
-    SELECT query_id, query AS original_query, CASE WHEN rest = '' THEN query ELSE rest END AS rewritten_query,
-      (SELECT value FROM m WHERE m.query_id = s.query_id AND kind = 'category') AS category, (SELECT value FROM m WHERE m.query_id = s.query_id AND kind = 'brand') AS brand,
-      try_cast(nullif(lim, '') AS DOUBLE) AS price_max, (SELECT value FROM m WHERE m.query_id = s.query_id AND kind = 'material') AS material
-    FROM s JOIN k USING (query_id)""",
+      FROM s LEFT JOIN (SELECT query_id, list({{'start': start, 'n': n}}) AS ms FROM m GROUP BY 1) x USING (query_id)),
+    understood AS (SELECT query_id, query AS original_query, CASE WHEN rest = '' THEN query ELSE rest END AS rewritten_query, try_cast(nullif(lim, '') AS DOUBLE) AS price_max FROM s JOIN k USING (query_id))"""
+
+
+def intent_value(kind: str) -> str:
+    return f"(SELECT value FROM m WHERE m.query_id = u.query_id AND kind = '{kind}') AS {kind}"
+
+
+PART_PHRASES = """SELECT DISTINCT 'category' AS kind, lower(source) AS phrase, source AS value FROM documents UNION ALL SELECT DISTINCT 'brand', lower(lang), lang FROM documents
+      UNION ALL SELECT DISTINCT 'material', w, w FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)"""
+
+
+@register(
+    "query_intent",
+    f"""WITH {intent_sql(f"SELECT {RAW_QUERY} FROM part", PART_PHRASES)}
+    SELECT query_id, original_query, rewritten_query, {intent_value("category")}, {intent_value("brand")}, price_max, {intent_value("material")} FROM understood u""",
 )
 def query_intent(t: Tables):
     """R12 over one query per part."""
@@ -278,28 +293,68 @@ def intent_tokens(t: Tables):
 
 @register(
     "suggest_prefix",
-    """WITH u AS (SELECT completion, count(*) AS uses FROM (SELECT query AS completion FROM v_search_log UNION ALL SELECT lower(source) FROM documents) GROUP BY 1),
-    p AS (SELECT completion, uses, substring(completion, 1, i) AS prefix FROM (SELECT completion, uses, unnest(range(2, length(completion) + 1)) AS i FROM u WHERE length(completion) >= 2))
-    SELECT prefix, CAST(row_number() OVER (PARTITION BY prefix ORDER BY uses DESC, completion) AS INT) AS rank, completion, uses FROM p
-    QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY uses DESC, completion) <= 5""",
+    f"""WITH u AS (SELECT completion, count(*) AS uses FROM (SELECT query AS completion FROM v_search_log UNION ALL SELECT lower(source) FROM documents) GROUP BY 1),
+    p AS (SELECT completion, uses, i AS n_chars, md5(substring(completion, 1, i)) AS prefix_key FROM (SELECT completion, uses, unnest(range(2, length(completion) + 1)) AS i FROM u WHERE length(completion) >= 2))
+    SELECT prefix_key, CAST(n_chars AS INT) AS n_chars, CAST(row_number() OVER w AS INT) AS rank, md5(completion) AS completion_key, uses FROM p
+    WINDOW w AS (PARTITION BY prefix_key ORDER BY uses DESC, substring(completion, 1, {search.ORDER_CHARS}), md5(completion)) QUALIFY row_number() OVER w <= 5""",
 )
 def suggest_prefix(t: Tables):
-    """Logged queries and category names."""
+    """The index of prefixes of logged queries and category names."""
     log = t["v_search_log"].select("query").unionByName(t["documents"].select(F.col("source").alias("query")))
-    return search.suggest_prefixes(log).select("prefix", "rank", "completion", "uses")
+    return search.suggest_prefixes(log)
+
+
+@register(
+    "suggest_parts",
+    """WITH log AS (SELECT CAST(user_id AS VARCHAR) AS session_id, 'q' || regexp_extract(props, '[0-9]+', 0) AS text FROM events),
+    t AS (SELECT DISTINCT substring(text, 1, 2) AS typed FROM log UNION SELECT DISTINCT lower(substring(source, 1, 4)) FROM documents),
+    c AS (SELECT typed, text, count(*) AS uses FROM t JOIN log ON starts_with(text, typed) GROUP BY ALL),
+    o AS (SELECT typed, text FROM c QUALIFY row_number() OVER (PARTITION BY typed ORDER BY uses DESC, text) <= 5),
+    k AS (SELECT typed, lower(source) AS text, count(*) AS uses FROM t JOIN documents ON starts_with(lower(source), typed) GROUP BY ALL),
+    d AS (SELECT DISTINCT session_id, text FROM log),
+    r AS (SELECT typed, text, count(*) AS uses FROM (SELECT DISTINCT typed, session_id FROM o JOIN d USING (text)) JOIN d USING (session_id)
+      WHERE (typed, text) NOT IN (SELECT typed, text FROM o) GROUP BY ALL),
+    a AS (SELECT 'completions' AS part, * FROM c UNION ALL SELECT 'categories', * FROM k UNION ALL SELECT 'related', * FROM r)
+    SELECT typed, part, CAST(row_number() OVER w AS INT) AS rank, text AS suggestion, uses FROM a WINDOW w AS (PARTITION BY typed, part ORDER BY uses DESC, text) QUALIFY row_number() OVER w <= 5""",
+)
+def suggest_parts(t: Tables):
+    """Completions, categories and related queries for beginnings of everything that was asked or is sold."""
+    log = t["events"].select(F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("q"), F.regexp_extract("props", "[0-9]+", 0)).alias("query"))
+    categories = t["documents"].select(F.col("source").alias("category"))
+    typed = log.select(F.substring("query", 1, 2).alias("typed")).union(categories.select(F.substring("category", 1, 4)))
+    return search.suggest(typed, log, categories)
+
+
+CATALOG_PHRASES = """SELECT DISTINCT kind, lower(trim(value)) AS phrase, value FROM (
+      SELECT 'category' AS kind, category_path AS value FROM v_catalog UNION ALL SELECT 'brand', brand_name FROM v_catalog
+      UNION ALL SELECT lower(split_part(a, ': ', 1)), split_part(a, ': ', 2) FROM (SELECT unnest(string_split(attribute_summary, ', ')) AS a FROM v_catalog)) WHERE trim(value) <> ''"""
 
 
 def within_intent(scores: str) -> str:
     """A query's best 20 of the scored products that its intent allows."""
     return f"""SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank
-      FROM {scores} LEFT JOIN v_catalog USING (product_id) LEFT JOIN v_intents USING (query_id) WHERE {intent_where()}
+      FROM {scores} LEFT JOIN v_catalog USING (product_id) LEFT JOIN wishes USING (query_id) WHERE {intent_where()}
       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) <= 20"""
 
 
+def vector_lists(sparse: str) -> str:
+    return f"""SELECT i.id, list(coalesce(CAST(e.weight AS DOUBLE), 0.0) ORDER BY i.dim) AS v FROM (SELECT id, unnest(range(256)) AS dim FROM (SELECT DISTINCT id FROM {sparse})) i
+      LEFT JOIN {sparse} e ON e.id = i.id AND e.dim = i.dim GROUP BY i.id"""
+
+
 @register(
     "search_batch",
-    f"""WITH {WEIGHTS},
-    words AS ({within_intent('v_bm25_scores')}), vectors AS ({within_intent('v_dense_scores')}),
+    rf"""WITH {intent_sql("SELECT query_id, query FROM v_queries", CATALOG_PHRASES, 2)},
+    wishes AS (SELECT query_id, price_max, {", ".join(map(intent_value, ("category", "brand", "color", "material")))} FROM understood u),
+    qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(rewritten_query), '[\p{{L}}\p{{N}}_]+')) AS term FROM understood),
+    freq AS (SELECT term, count(*) AS df FROM v_postings GROUP BY term), corpus AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM v_doc_tokens),
+    w AS (SELECT query_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM qt LEFT JOIN freq USING (term), corpus),
+    by_words AS (SELECT query_id, product_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM w JOIN v_postings USING (term), corpus GROUP BY ALL),
+    qe AS ({hashed_vectors("(SELECT query_id AS id, rewritten_query AS body FROM understood)")}), de AS ({hashed_vectors("(SELECT product_id AS id, searchable_text AS body FROM v_catalog)")}),
+    ql AS ({vector_lists("qe")}), dl AS ({vector_lists("de")}),
+    by_vectors AS (SELECT q.query_id, p.product_id, coalesce(round(list_cosine_similarity(ql.v, dl.v), 6), 0.0) AS score
+      FROM v_queries q CROSS JOIN v_catalog p LEFT JOIN ql ON ql.id = q.query_id LEFT JOIN dl ON dl.id = p.product_id),
+    words AS ({within_intent('by_words')}), vectors AS ({within_intent('by_vectors')}),
     fused AS (SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS INT) AS rank, score
       FROM (SELECT query_id, product_id, round(sum(s), 6) AS score FROM (
         SELECT query_id, product_id, (1 - (rank - 1) / (count(*) OVER (PARTITION BY query_id))) * 0.7::DOUBLE AS s FROM vectors
@@ -309,6 +364,6 @@ def within_intent(scores: str) -> str:
     SELECT query_id, product_id, score, retrieval_rank, rerank_score, rank FROM ({rerank_sql('f', 10)})""",
 )
 def search_batch(t: Tables):
-    """R16, flagship: every query answered in one job."""
-    out = search.search_batch(t["v_queries"], t["v_catalog"], t["v_query_vectors"], t["v_vec_products"], intents(t))
+    """R16, flagship: every query understood, rewritten, searched and reranked in one job."""
+    out = search.search_batch(t["v_queries"], t["v_catalog"])
     return out.select("query_id", "product_id", "score", "retrieval_rank", "rerank_score", "rank")

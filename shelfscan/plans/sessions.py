@@ -80,12 +80,15 @@ def latency_windows(t: Tables):
 )
 def threshold_alerts(t: Tables):
     """T5."""
-    log = t["v_search_log"]
-    metric = lambda name, v: log.select("event_id", F.lit(name).alias("metric_name"), v.alias("metric_value"))
-    metrics = (
-        metric("search_latency_ms", F.col("latency_ms") * 10)
-        .unionByName(metric("vector_index_sync_minutes", F.col("results").cast("double") * 4))
-        .unionByName(metric("unknown", F.lit(1e6)))
+    metric = lambda name, v: F.struct(F.lit(name).alias("metric_name"), v.alias("metric_value"))
+    metrics = t["v_search_log"].select(
+        "event_id",
+        F.inline(
+            F.array(
+                metric("search_latency_ms", F.col("latency_ms") * 10), metric("vector_index_sync_minutes", F.col("results").cast("double") * 4),
+                metric("unknown", F.lit(1e6)),
+            )
+        ),
     )
     limits = t.spark.createDataFrame(
         [("search_latency_ms", 1500.0, 3000.0, True), ("vector_index_sync_minutes", 30.0, 60.0, True), ("unknown", 1.0, 2.0, False)],

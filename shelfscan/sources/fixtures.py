@@ -134,7 +134,7 @@ VIEWS = {
     """,
     "v_catalog": """
         SELECT CAST(doc_id AS STRING) AS product_id,
-               regexp_extract(text, '^([^ ]+ +){0,7}[^ ]+', 0) AS product_name,
+               text AS product_name,
                source AS category_path, lang AS brand_name, text AS searchable_text,
                CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST(n_chars AS DOUBLE) / 4 END AS selling_price,
                CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(doc_id % 51 AS DOUBLE) / 10 END AS average_rating,

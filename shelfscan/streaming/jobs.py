@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from shelfscan.operators import events as ev
 from shelfscan.operators import quality
 from shelfscan.session import scratch_path
+from shelfscan.sources.bucketed import BUCKETS, BucketedTable
 
 
 def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -75,36 +76,35 @@ def append_to_folder(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 class SessionState:
-    """What sessions remember, as a table per micro-batch.
+    """What sessions remember, as a table in buckets of their ids.
 
     A batch's new state is the batch operator over (old state as events) and
-    the new events; both are DataFrames, so a busy session is handled as in
-    the batch form. Batch n reads state n-1 and writes state n: replaying a
-    batch after a failure gives the same table. Old state tables stay until
-    the owner of the folder removes them.
+    the new events, for the buckets the batch touches; the others stay as they
+    lie, so what is written follows the sessions that did something. Batch n
+    reads the newest version before n and writes version n: replaying a batch
+    after a failure gives the same table, and a restarted job finds its state
+    on disk. Replaced files stay until the owner of the folder removes them.
     """
 
     SCHEMA = "event_id long, ts timestamp_ntz, session_id string, kind string, action string, item string"
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
-        self.folder = folder
-        self.latest = -1
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.table = BucketedTable(spark, folder, self.SCHEMA, "session_id", buckets)
 
-    def path(self, batch_id: int) -> str:
-        return os.path.join(self.folder, f"batch={batch_id}")
+    @property
+    def latest(self) -> int:
+        return self.table.latest()
 
     def events(self, batch_id: int | None = None) -> DataFrame:
         """The remembered state in the shape of events."""
-        batch_id = self.latest if batch_id is None else batch_id
-        if batch_id < 0:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path(batch_id))
+        return self.table.read(batch_id)
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         columns = [f.split()[0] for f in self.SCHEMA.split(", ")]
+        new = batch.select(*columns).persist()
+        touched = self.table.touched(new)
         # four lists are derived from the same rows
-        everything = self.events(batch_id - 1).unionByName(batch.select(*columns)).persist()
+        everything = self.table.read(self.table.latest(before=batch_id), touched).unionByName(new).persist()
         searches = ev.recent_searches(everything)
         views = ev.recent_views(everything).withColumn("kind", F.lit("view")).withColumn("action", F.lit(None).cast("string"))
         # a cart item re-enters as an add before all later events, in cart order
@@ -118,9 +118,9 @@ class SessionState:
         out = carts.select(*columns)
         for part in (searches, views, told):
             out = out.unionByName(part.select(*columns))
-        out.write.mode("overwrite").parquet(self.path(batch_id))
+        self.table.replace(out, touched, batch_id)
         everything.unpersist()
-        self.latest = batch_id
+        new.unpersist()
 
 
 # ── ingest ───────────────────────────────────────────────────────────────

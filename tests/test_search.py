@@ -49,21 +49,11 @@ def test_intent_narrows_the_candidates_not_the_answer(spark):
     intents = spark.createDataFrame(
         [("q", "src1", None, 20.0, {"color": "red"})], "query_id string, category string, brand string, price_max double, filters map<string,string>"
     )
-    out = search.search_batch(queries, docs, q_vectors, vectors, intents, 20, 10).collect()
+    same = {c: F.lit("oak table") for c in ("original_query", "rewritten_query")}
+    out = search.search_batch(queries, docs, 20, 10, intents.withColumns(same), query_vectors=q_vectors, vectors=vectors).collect()
     assert len(out) == 10 and all(int(r["product_id"]) >= 30 for r in out)
     none = intents.withColumn("filters", F.create_map(F.lit("color"), F.lit("blue")))
-    assert search.search_batch(queries, docs, q_vectors, vectors, none, 20, 10).count() == 0
-
-
-def test_ann_recall(spark, sf):
-    t = Tables(spark, sf)
-    exact = {tuple(r) for r in retrieval.dense_topk(t["v_query_vectors"], t["v_vec_products"], 10).select("query_id", "product_id").collect()}
-    near = retrieval.dense_ann(t["v_query_vectors"], t["v_vec_products"], 10)
-    got = {tuple(r) for r in near.select("query_id", "product_id").collect()}
-    assert len(exact & got) / len(exact) > 0.8
-    scores = {(r["query_id"], r["product_id"]): r["score"] for r in near.collect()}
-    full = retrieval.dense_topk(t["v_query_vectors"], t["v_vec_products"], 500)
-    assert all(scores[k] == r["score"] for r in full.collect() if (k := (r["query_id"], r["product_id"])) in scores)
+    assert search.search_batch(queries, docs, 20, 10, none.withColumns(same), query_vectors=q_vectors, vectors=vectors).count() == 0
 
 
 def test_substring_search_equals_brute_force(spark):
