@@ -16,13 +16,12 @@ row; other columns are carried unread.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import in_small_batches, other_columns, rows_again, utf8, written
+from shelfscan.llm.scratch import in_small_batches, other_columns, rows_again, tidied, utf8, written
 
 WINDOW = 10
 #: UTF-8 bytes of item texts in one automaton
@@ -160,16 +159,10 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_built: dict[str, Automaton] = {}
-
-
 def _automaton(block) -> Automaton:
-    """The block's automaton, built once per worker."""
-    key, window, items = block.value
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(items, window)
-    return _built[key]
+    """The block's automaton, built once per task and gone with it."""
+    window, items = block.value
+    return Automaton(items, window)
 
 
 def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[tuple]:
@@ -180,7 +173,7 @@ def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[tuple]:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
     for k in range(n):
         own = [(r["item"], r["text"].encode()) for r in dealt.where(F.col("block") == k).select("item", "text").distinct().collect()]
-        yield uuid4().hex, window, own
+        yield window, own
 
 
 _HITS = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
@@ -233,7 +226,7 @@ def contamination(
     for k, block in enumerate(_blocks(items, window, block_bytes)):
         if k:
             marked = written(marked, "decontaminated-block")
-        marked = marked.mapInArrow(_mark(context.broadcast(block)), f"row {kind}, doc_id long, text string, {_HITS}")
+        marked = marked.mapInArrow(tidied(_mark(context.broadcast(block))), f"row {kind}, doc_id long, text string, {_HITS}")
     return marked if carry else marked.drop("row", "text")
 
 
@@ -287,7 +280,7 @@ def decontaminate(
     def cut(rows: DataFrame) -> DataFrame:
         """(row, text, cut) of the documents that stay; the helpers lie beside the packed row, so no column clashes with them."""
         found = contamination(rows, items, window, block_bytes, carry=True)
-        cleaned = found.select("row", "text", "n_words", "spans").mapInArrow(_clean(max_coverage), f"row {kind}, text string, cut boolean, dropped boolean")
+        cleaned = found.select("row", "text", "n_words", "spans").mapInArrow(tidied(_clean(max_coverage)), f"row {kind}, text string, cut boolean, dropped boolean")
         return written(cleaned.where("not dropped").drop("dropped"), "decontaminated")
 
     def whole(rows: DataFrame, was_cut: bool) -> DataFrame:

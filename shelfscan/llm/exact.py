@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import in_small_batches, other_columns, rows_again, utf8, written
+from shelfscan.llm.scratch import in_small_batches, other_columns, rows_again, tidied, utf8, written
 
 #: fixed value: the code points that normalisation deletes
 SPACE = " \t\n\x0b\x0c\r"
@@ -107,7 +107,7 @@ def _ordered(docs: DataFrame, row) -> DataFrame:
 
 def _sorted_runs(docs: DataFrame, row, row_type: str) -> DataFrame:
     """(row, doc_id, digest, n_chars, text) of the first row of each run."""
-    return _ordered(docs, row).mapInArrow(_firsts, f"row {row_type}, doc_id long, digest string, n_chars long, text string")
+    return _ordered(docs, row).mapInArrow(tidied(_firsts), f"row {row_type}, doc_id long, digest string, n_chars long, text string")
 
 
 def _groups(runs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     meet by digest, at most two of them per partition, so that table is
     broadcast and no other row is looked at again.
     """
-    marked = written(_ordered(docs, F.lit(None).cast("boolean")).drop("row").mapInArrow(_runs, _RUN_ROWS), "content-sort")
+    marked = written(_ordered(docs, F.lit(None).cast("boolean")).drop("row").mapInArrow(tidied(_runs), _RUN_ROWS), "content-sort")
     edges = _groups(marked.where("edge")).withColumnRenamed("digest", "edge_digest").withColumnRenamed("group_size", "edge_size")
     joined = marked.join(F.broadcast(edges), F.col("edge") & (F.col("digest") == F.col("edge_digest")), "left")
     keep_id = F.when(F.col("edge"), F.col("keep_id")).otherwise(F.col("head_id"))

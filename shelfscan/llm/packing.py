@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import in_small_batches, written
+from shelfscan.llm.scratch import in_small_batches, tidied, written
 
 LENGTH = 4096
 END_ID = 1
@@ -207,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, bins_per_task: i
     ``tokenizer`` is the path of a tokenizer file that every executor has.
     """
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bins = written(rows.mapInArrow(_pack_documents(tokenizer, end_id), _BIN_SCHEMA), "packed")
+    bins = written(rows.mapInArrow(tidied(_pack_documents(tokenizer, end_id)), _BIN_SCHEMA), "packed")
     finished, level, tasks = [], 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         full = F.col("fill") >= LENGTH - SLACK
@@ -219,7 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, bins_per_task: i
         level += 1
         least = -(-left // bins_per_task)
         tasks = max(least, -(-tasks // FAN_IN))
-        bins = written(open_bins.repartition(tasks).mapInArrow(_pack_bins(level), _BIN_SCHEMA), f"packed-{level}")
+        bins = written(open_bins.repartition(tasks).mapInArrow(tidied(_pack_bins(level)), _BIN_SCHEMA), f"packed-{level}")
         after = bins.count()
         if tasks == 1 or (tasks == least and after > 0.99 * left):
             finished.append(bins)

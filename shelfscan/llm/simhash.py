@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscan.llm.graph import components
-from shelfscan.llm.scratch import in_small_batches, utf8, written
+from shelfscan.llm.scratch import in_small_batches, tidied, utf8, written
 
 SEED = 42
 SHINGLE = 3
@@ -315,8 +315,8 @@ class _Rows:
         return np.where(ok, far, np.uint8(255))
 
 
-def _best_of(rows: _Rows, own: np.ndarray, all_rows: np.ndarray, per_component: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ``own`` its most central neighbour among ``all_rows``; with ``per_component`` that and the nearest of each other component.
+def _best_of(rows: _Rows, own: np.ndarray, all_rows: np.ndarray, per_component: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour, the neighbour's mean distance to its own): for each row of ``own`` its most central neighbour among ``all_rows``; with ``per_component`` that and the nearest of each other component.
 
     The most central is the one that is nearest to its own neighbours on the
     whole: the text that copies were made from is similar to all of them, when
@@ -335,23 +335,26 @@ def _best_of(rows: _Rows, own: np.ndarray, all_rows: np.ndarray, per_component:
         far = rows.apart(some[:, None], all_rows[None, :])
         sums += np.where(far < 255, far, 0).sum(axis=0)
         counts += (far < 255).sum(axis=0)
-    central = np.argsort(np.argsort(sums / np.maximum(counts, 1), kind="stable"), kind="stable")
+    mean = sums / np.maximum(counts, 1)
+    central = np.argsort(np.argsort(mean, kind="stable"), kind="stable")
     place = np.arange(len(all_rows), dtype=np.int64)
     none = np.int64(1) << 62
-    left, right = [own[:0]], [own[:0]]
+    left, right, means = [own[:0]], [own[:0]], [mean[:0]]
     for some in parts:
         far = rows.apart(some[:, None], all_rows[None, :]).astype(np.int64)
         for order in (far, np.broadcast_to(central[None, :], far.shape))[0 if per_component else 1 :]:
             least = np.minimum.reduceat(np.where(far < 255, order << 32 | place[None, :], none), starts, axis=1)
             x, k = np.nonzero(least < none)
+            at = least[x, k] & 0xFFFFFFFF
             left.append(some[x])
-            right.append(all_rows[least[x, k] & 0xFFFFFFFF])
-    return np.concatenate(left), np.concatenate(right)
+            right.append(all_rows[at])
+            means.append(mean[at])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(means)
 
 
-def _to_heads(rows: _Rows, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, head) of a crowded bucket: the row in the middle of a crowd heads all that can be similar to it, then the rest goes on."""
-    left, right = [], []
+def _to_heads(rows: _Rows, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, head, mean distance to it) of a crowded bucket: the row in the middle of a crowd heads all that can be similar to it, then the rest goes on."""
+    left, right, means = [own[:0]], [own[:0]], [np.zeros(0)]
     while len(own) > CROWD:
         near = own[rows.apart(own[:1], own) < 255]
         if not len(near):
@@ -363,18 +366,22 @@ def _to_heads(rows: _Rows, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         members = own[rows.apart(np.array([head]), own) < 255]
         left.append(members)
         right.append(np.full(len(members), head))
+        means.append(np.full(len(members), rows.apart(np.array([head]), members).mean() if len(members) else 0.0))
         gone = np.isin(own, members) | (own == head)
         gone[0] = True
         own = own[~gone]
     if len(own):
-        x, y = _best_of(rows, own, own, False)
-        left.append(x)
-        right.append(y)
-    return (np.concatenate(left), np.concatenate(right)) if left else (own, own)
+        for to, found in zip((left, right, means), _best_of(rows, own, own, False)):
+            to.append(found)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(means)
 
 
 def _candidates(bits: int, least: float, per_component: bool):
-    """(a, b), a > b: candidates inside whole buckets; rows come sorted by key, a bucket may span batches."""
+    """(a, b, other, far, mean): candidates of row a inside whole buckets; rows come sorted by key, a bucket may span batches.
+
+    ``other`` is b's component, ``far`` the distance, ``mean`` b's own mean
+    distance in the bucket: the less, the more central it is.
+    """
 
     def out(key, columns):
         rows = _Rows(columns, bits, least)
@@ -382,7 +389,7 @@ def _candidates(bits: int, least: float, per_component: bool):
         sizes = np.diff(np.r_[starts, len(key)])
         size_of = np.repeat(sizes, sizes)
         small = size_of <= SMALL
-        x, y, far = [], [], []
+        x, y, far, means = [], [], [], []
         for step in range(1, SMALL):
             i = np.flatnonzero(small[:-step] & (size_of[:-step] > step) & (key[:-step] == key[step:]))
             if not len(i):
@@ -404,19 +411,22 @@ def _candidates(bits: int, least: float, per_component: bool):
                 first = np.r_[True, ~np.logical_and.reduce(same)] if len(x) else np.zeros(0, bool)
                 picked.append(order[first])
             picked = np.concatenate(picked)
-            x, y = [x[picked]], [y[picked]]
+            x, y, means = [x[picked]], [y[picked]], [mean[picked]]
         for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
             own = np.arange(s, s + n)
             if per_component:
                 names, counts = np.unique(rows.label[own], return_counts=True)
-                a, b = _best_of(rows, own[rows.label[own] != names[counts.argmax()]], own, True) if len(names) > 1 else (own[:0], own[:0])
+                found = _best_of(rows, own[rows.label[own] != names[counts.argmax()]], own, True) if len(names) > 1 else (own[:0], own[:0], np.zeros(0))
             else:
-                a, b = _to_heads(rows, own)
-            x.append(a)
-            y.append(b)
-        x, y = (np.concatenate(x), np.concatenate(y)) if x else (np.zeros(0, int), np.zeros(0, int))
-        pairs = np.unique(np.stack([np.maximum(rows.doc[x], rows.doc[y]), np.minimum(rows.doc[x], rows.doc[y])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                found = _to_heads(rows, own)
+            for to, part in zip((x, y, means), found):
+                to.append(part)
+        none = np.zeros(0, np.int64)
+        x, y, means = (np.concatenate(c) if c else none for c in (x, y, means))
+        far = rows.apart(x, y).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows.doc[x]), pa.array(rows.doc[y]), pa.array(rows.label[y]), pa.array(far), pa.array(means.astype(np.float64))], names=["a", "b", "other", "far", "mean"]
+        )
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -436,8 +446,13 @@ def _candidates(bits: int, least: float, per_component: bool):
 def _close(rows: list[tuple[DataFrame, range]], width: int, segments: int, bits: int, least: float, per_component: bool) -> DataFrame:
     """(a, b) of candidates; ``rows`` are tables of rows, each with the parts by which they are to meet."""
     schema = f"key long, {_NEAR_SCHEMA}"
-    spread = reduce(DataFrame.union, [r.select(*_NEAR_COLUMNS).mapInArrow(_spread(width, segments, parts), schema) for r, parts in rows])
-    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(bits, least, per_component), "a long, b long").distinct()
+    spread = reduce(DataFrame.union, [r.select(*_NEAR_COLUMNS).mapInArrow(tidied(_spread(width, segments, parts)), schema) for r, parts in rows])
+    met = spread.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(_candidates(bits, least, per_component)), "a long, b long, other long, far int, mean double")
+    # over all its buckets a row goes on with one central neighbour, in the second round with a nearest one too, of each other component
+    central = F.min_by("b", F.struct("mean", "far", "b")).alias("central")
+    kept = met.groupBy("a", "other").agg(central, F.min_by("b", F.struct("far", "mean", "b")).alias("near")) if per_component else met.groupBy("a").agg(central)
+    pairs = kept.select("a", F.explode(F.array("central", "near") if per_component else F.array("central")).alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def word_set(text: bytes, words: int) -> np.ndarray:
@@ -496,13 +511,14 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_links(docs: DataFrame, words: int = WORDS, least: float = LEAST, bits: int = NEAR_BITS, shingle: int = SHINGLE) -> DataFrame:
     """(a, b): ids of similar documents that connect what the candidates connect. Runs jobs while the result is planned."""
     texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    prints = written(texts.mapInArrow(_near_prints(shingle, words), _NEAR_SCHEMA).distinct(), "near-prints")
+    prints = written(texts.mapInArrow(tidied(_near_prints(shingle, words)), _NEAR_SCHEMA).distinct(), "near-prints")
     width, segments = planned_segments(prints.count())
     early, late = range(0, -(-segments // 2)), range(-(-segments // 2), segments)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        return written(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, own array<long>"), "near-sets")
+        # written, so that Spark knows its size and shuffles no texts for a short list
+        ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
+        return written(texts.join(ids, "doc_id", "left_semi").mapInArrow(tidied(_sets(words)), "doc_id long, own array<long>"), "near-sets")
 
     first = written(_close([(prints, early)], width, segments, bits, least, per_component=False), "near-first")
     found = written(_similar(first, sets_of(first), least), "near-found")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import in_small_batches, other_columns, rows_again, written
+from shelfscan.llm.scratch import in_small_batches, other_columns, rows_again, tidied, written
 
 THRESHOLD = 0.3
 #: labelled documents the lexicon is learned from, at most; those with the smallest hash of their id
@@ -192,7 +192,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """A lexicon from the labelled documents. Runs at once; the driver gets the significant entries and the features of the sample."""
     train = written(training_rows(docs, labels, sample), "toxicity-training")
-    counts = train.mapInArrow(_count_terms, "term string, n_toxic long, n_clean long")
+    counts = train.mapInArrow(tidied(_count_terms), "term string, n_toxic long, n_clean long")
     counts = counts.groupBy("term").agg(F.sum("n_toxic").alias("a"), F.sum("n_clean").alias("c"))
     totals = train.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = totals["t"] or 0, totals["n"] - (totals["t"] or 0)
@@ -212,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     best = best.where((F.col("ratio") >= SIGNIFICANCE) & (F.col("weight") >= LEAST_WEIGHT))
     lexicon = Lexicon(without_loose_stems({r["term"]: r["weight"] for r in best.collect()}))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    rows = train.mapInArrow(_features(shared), "x array<double>, toxic int").collect()  # at most ``sample`` rows of four numbers
+    rows = train.mapInArrow(tidied(_features(shared)), "x array<double>, toxic int").collect()  # at most ``sample`` rows of four numbers
     lexicon = Lexicon(lexicon.weights, tuple(fit_logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)).tolist()))
     return lexicon
 
@@ -235,7 +235,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, carry
     row, kind = other_columns(docs) if carry else (F.lit(None).cast("boolean"), "boolean")
     rows = in_small_batches(docs).select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    out = rows.mapInArrow(_score(shared, threshold), f"row {kind}, doc_id long, text string, score double, predicted int")
+    out = rows.mapInArrow(tidied(_score(shared, threshold)), f"row {kind}, doc_id long, text string, score double, predicted int")
     return out if carry else out.drop("row", "text")
 
 
