@@ -3,7 +3,8 @@
 What a file says of its licence is the whole text of a licence file, and of any
 other its leading comment and the lines that name a licence. It is scored as a
 whole and line by line, against every notice of every licence, and the best
-score counts. Equal parts are scored once, by their digest: their terms meet
+score counts. Parts that share no telling word with any notice are left out
+(they cannot be close to one). Equal parts are scored once, by their digest: their terms meet
 the notices' by an equality join on the term, and dot products and norms are
 sums. Document frequencies count every part of every file. A file with a licence
 of its own has that; any other has the one of the nearest directory above it
@@ -19,6 +20,7 @@ jobs run while the result is planned.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +70,10 @@ STATEMENT = r"(?i)licen[cs]e|copyright|spdx"
 #: a text's leading comment, in one pair of marks or line by line; the loops give nothing back, so a long comment needs no stack
 BLOCK_COMMENT = r"^[ \t\n]*+/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
 LINE_COMMENTS = r"^(?:[ \t]*+(?:(?:#|//|--|;|%)[^\n]*+)?+\n)++"
+#: words that say nothing of a licence: a part that shares only these with the notices is not scored
+FUNCTION_WORDS = frozenset(
+    "a all an and any are as at be by can do for from has have in into is it its may must no not of on or other so such that the their this to was which with you".split()
+)
 LEAST_SCORE = 0.5
 _NOT_TERM = "[^a-z0-9]+"
 
@@ -81,10 +87,15 @@ def statement_of(text: Column, is_licence_file: Column) -> Column:
     return F.when(is_licence_file, text).otherwise(F.concat(comment, F.lit("\n"), naming))
 
 
-def parts_of(statement: Column) -> Column:
-    """The statement as a whole and its lines, each once, those with a term."""
-    lines = F.split(statement, "\n")
-    return F.filter(F.array_distinct(F.concat(F.array(statement), lines)), lambda x: x.rlike("(?i)[a-z0-9]"))
+def telling_terms(templates: Mapping[str, Sequence[str]]) -> list[str]:
+    """Terms of the notices that are no function words."""
+    return sorted({t for texts in templates.values() for text in texts for t in re.split(_NOT_TERM, text.lower()) if t} - FUNCTION_WORDS)
+
+
+def parts_of(statement: Column, templates: Mapping[str, Sequence[str]] = TEMPLATES) -> Column:
+    """The statement as a whole and its lines, each once, those that share a telling term with a notice."""
+    telling = F.array(*map(F.lit, telling_terms(templates)))
+    return F.filter(F.array_distinct(F.concat(F.array(statement), F.split(statement, "\n"))), lambda x: F.arrays_overlap(_terms(x), telling))
 
 
 def _terms(text: Column) -> Column:
@@ -99,23 +110,23 @@ def _template_terms(spark: SparkSession, templates: Mapping[str, Sequence[str]])
 
 
 def match_parts(parts: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, least: float = LEAST_SCORE) -> DataFrame:
-    """(digest, licence, score) of each part close enough to a notice. ``parts``: (digest, part, files), a digest once."""
-    terms = parts.select("digest", "files", F.explode(_terms(F.col("part"))).alias("term"))
-    counts = terms.groupBy("digest", "files", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(digest, licence, score) of each part close enough to a notice. ``parts``: (digest, number, part, files), a digest once."""
+    terms = parts.select("number", "files", F.explode(_terms(F.col("part"))).alias("term"))
+    counts = written(terms.groupBy("number", "files", "term").agg(F.count(F.lit(1)).alias("tf")), "licence-terms")
     total = parts.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("total"), F.lit(1).alias("one"))
     seen = counts.groupBy("term").agg(F.sum("files").alias("df"))
     patterns = _template_terms(parts.sparkSession, templates)
     known = seen.select("term").union(patterns.select("term")).distinct().join(seen, "term", "left").withColumn("one", F.lit(1))
     idf = known.join(F.broadcast(total), "one").select("term", (F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))  # one row
-    own = counts.join(idf, "term").select("digest", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    own = counts.join(idf, "term").select("number", "term", (F.col("tf") * F.col("idf")).alias("w"))
     other = patterns.join(idf, "term").select("licence", "notice", "term", (F.col("tf") * F.col("idf")).alias("v"))
     other_norm = other.groupBy("licence", "notice").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v_norm"))
-    own_norm = own.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
-    dots = own.join(other, "term").groupBy("digest", "licence", "notice").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    own_norm = own.groupBy("number").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
+    dots = own.join(other, "term").groupBy("number", "licence", "notice").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("w_norm") * F.col("v_norm")), 6)
-    scored = dots.join(own_norm, "digest").join(other_norm, ["licence", "notice"]).select("digest", "licence", cosine.alias("score"))
-    best = scored.where(F.col("score") >= least).groupBy("digest").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
-    return best.select("digest", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
+    scored = dots.join(own_norm, "number").join(other_norm, ["licence", "notice"]).select("number", "licence", cosine.alias("score"))
+    best = scored.where(F.col("score") >= least).groupBy("number").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
+    return best.join(parts.select("number", "digest"), "number").select("digest", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
 
 
 def _directory(path: Column) -> Column:
@@ -132,10 +143,11 @@ def scan(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, l
     licence_file = F.coalesce("is_licence_file", F.lit(False))
     rows = written(files.select(
         "id", F.col("path").cast("string").alias("path"), F.monotonically_increasing_id().alias("row"),
-        parts_of(statement_of(F.col("text"), licence_file)).alias("parts"), licence_file.alias("is_licence_file"),
+        parts_of(statement_of(F.col("text"), licence_file), templates).alias("parts"), licence_file.alias("is_licence_file"),
     ), "licence-rows")
     said = rows.select("row", F.explode("parts").alias("part")).select("row", F.md5("part").alias("digest"), "part")
-    distinct = written(said.groupBy("digest").agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("files")), "licence-parts")
+    distinct = said.groupBy("digest").agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("files"))
+    distinct = written(distinct.withColumn("number", F.monotonically_increasing_id()), "licence-parts")
     matched = written(match_parts(distinct, templates, least), "licence-matches")
     best = said.select("row", "digest").join(matched, "digest").groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
     own = rows.drop("parts").join(best, "row", "left").select("id", "path", "is_licence_file", "best.licence", (-F.col("best.s")).alias("score"))

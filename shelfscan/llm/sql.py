@@ -47,6 +47,9 @@ def _split_terms(text: str) -> str:
     return f"unnest(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda x: x <> ''))"
 
 
+_TELLING = ", ".join(map(_quoted, licenses.telling_terms(licenses.TEMPLATES)))
+
+
 def _plain_loops(pattern: str) -> str:
     """A pattern without the marks of loops that give nothing back, which DuckDB's engine neither has nor needs."""
     return pattern.replace("*+", "*").replace("++", "+").replace("?+", "?")
@@ -67,7 +70,8 @@ statements AS (
       || array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.STATEMENT}')), chr(10)) END AS statement
   FROM rows
 ),
-said AS (SELECT row, part FROM (SELECT row, unnest(list_distinct(list_prepend(statement, string_split(statement, chr(10))))) AS part FROM statements) WHERE regexp_matches(part, '(?i)[a-z0-9]')),
+said AS (SELECT row, part FROM (SELECT row, unnest(list_distinct(list_prepend(statement, string_split(statement, chr(10))))) AS part FROM statements)
+  WHERE list_has_any(regexp_split_to_array(lower(part), '[^a-z0-9]+'), [{_TELLING}])),
 parts AS (SELECT part, count(*) AS files FROM said GROUP BY part),
 counts AS (SELECT part, files, term, count(*) AS tf FROM (SELECT part, files, {_split_terms("part")} AS term FROM parts) GROUP BY ALL),
 patterns AS (SELECT licence, notice, term, count(*) AS tf FROM (SELECT licence, notice, {_split_terms("body")} AS term FROM (VALUES {_TEMPLATES}) v(licence, notice, body)) GROUP BY ALL),
