@@ -77,13 +77,13 @@ def _strength(level: DataFrame) -> DataFrame:
     return sums.select(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), k)).alias("k"))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(host, n, bad, bound) per host of ``pages``; none without any labelled page. ``outcomes``: (page_id, bad)."""
     seen = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     host, _ = split_url(F.col("url"))
     labelled = pages.select("page_id", host.alias("host")).where("host <> ''").join(seen, "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
+    hosts = hosts.select("host", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"), "n", "bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("n > 0").select(((F.col("bad") + 1) / (F.col("n") + 2)).alias("rate"))
@@ -109,11 +109,13 @@ def _with_row(level: DataFrame, row: DataFrame) -> DataFrame:
     return level.withColumn("one", F.lit(1)).join(F.broadcast(keyed), "one").drop("one")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
-    """(page_id, host, path, rule, verdict) per page."""
+def judge(
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, z: float = Z, suffixes: Sequence[str] = SUFFIXES
+) -> DataFrame:
+    """(page_id, host, path, rule, verdict) per page; ``suffixes`` are the public suffixes of two labels that count as one."""
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    bad = host_reputation(pages, outcomes, z).where(F.col("bound") > limit).select("host", F.lit("block").alias("reputation"))
+    bad = host_reputation(pages, outcomes, z, suffixes).where(F.col("bound") > limit).select("host", F.lit("block").alias("reputation"))
     joined = split.join(bad, "host", "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return joined.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "reputation", F.lit("allow")).alias("verdict"))

@@ -17,3 +17,12 @@ def test_hosts_without_labels_fall_back(spark):
     bounds = {r["host"]: (r["n"], r["bad"]) for r in urls.host_reputation(pages, seen).collect()}
     assert len(bounds) == 45 and bounds["new.unseen.xyz"] == (0, 0)
     assert urls.host_reputation(pages, seen.where(F.lit(False))).count() == 0
+
+
+def test_suffixes_are_a_parameter(spark):
+    pages = spark.range(300).selectExpr("id AS page_id", "concat('x://', if(id % 2 = 0, 'a', 'b'), '.shop.zz/p') AS url").union(
+        spark.sql("SELECT 1000L AS page_id, 'x://new.a.shop.zz/p' AS url UNION ALL SELECT 1001L, 'x://new.b.shop.zz/p'")
+    )
+    seen = pages.where("page_id < 1000").selectExpr("page_id", "page_id % 2 = 0 AS bad")
+    own = {r["page_id"]: r["verdict"] for r in urls.judge(pages, seen, suffixes=["shop.zz"]).where("page_id >= 1000").collect()}
+    assert own == {1000: "block", 1001: "allow"}  # a.shop.zz and b.shop.zz are domains of their own
