@@ -190,7 +190,6 @@ VIEWS = {
         UNION ALL
         SELECT p_partkey + 1000000 AS product_id, p_name, p_brand, p_type, p_retailprice FROM {part} WHERE p_partkey % 13 = 0
     """,
-    "v_vec_queries": "SELECT CAST(vec_id AS STRING) AS query_id, embedding FROM {embeddings} WHERE vec_id % 25 = 0",
     "v_vec_products": "SELECT CAST(vec_id AS STRING) AS product_id, embedding FROM {embeddings}",
     "v_query_vectors": """
         SELECT CAST(item_id AS STRING) AS query_id, embedding FROM {benchmark} JOIN {embeddings} ON vec_id = item_id

@@ -31,11 +31,6 @@ def read_evolving(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def union_evolving(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The same for two frames."""
-    return a.unionByName(b, allowMissingColumns=True)
-
-
 def normalize_types(df: DataFrame) -> DataFrame:
     """Decimals as double, char and varchar as string; the frame itself when nothing differs."""
 

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfscan.operators import events as ev
-from shelfscan.operators import index, ops, profile, quality, search
-from shelfscan.sources.bucketed import BucketedTable
+from shelfscan.operators import clean, index, ops, profile, quality, search
 from shelfscan.sources import sinks
+from shelfscan.sources.bucketed import BucketedTable
 from shelfscan.streaming import jobs
 from tests.test_sessions import EVENT, T0, context, made_events
 
@@ -136,3 +136,24 @@ def test_a_failed_write_is_told_as_one(spark, tmp_path):
     spec = ops.TableSpec("src", "t/x", key="id")
     audit = ops.ingest_tables(spark, [spec], lambda n: spark.range(3), str(tmp_path / "out"), strict=False).first()
     assert audit["status"] == "FAILED" and audit["message"] == "cannot write t/x"
+
+
+def test_statistics_are_kept_with_the_table(spark, tmp_path):
+    spark.range(50).selectExpr("id", "id % 7 AS k").write.parquet(str(tmp_path / "t"))
+    spark.sql(f"CREATE TABLE counted_rows USING parquet LOCATION '{tmp_path}/t'")
+    try:
+        sinks.compute_statistics(spark, "counted_rows")
+        told = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE EXTENDED counted_rows").collect()}
+        assert "50 rows" in told["Statistics"]
+        column = {r["info_name"]: r["info_value"] for r in spark.sql("DESCRIBE EXTENDED counted_rows k").collect()}
+        assert column["distinct_count"] == "7"
+    finally:
+        spark.sql("DROP TABLE counted_rows")
+
+
+def test_the_latest_update_wins(spark):
+    rows = spark.createDataFrame([("a", 1.0, 1), ("a", 5.0, 0), ("b", 2.0, 0)], "id string, rating double, run int")
+    first = clean.stamped(rows.where("run = 0"))
+    later = clean.stamped(rows.where("run = 1")).withColumns({c: F.col(c) + F.expr("INTERVAL 1 HOUR") for c in ("processed_at", "updated_at")})
+    best = {r["id"]: r["rating"] for r in quality.best_record(first.unionByName(later), "id").collect()}
+    assert best == {"a": 1.0, "b": 2.0}
