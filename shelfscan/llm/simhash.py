@@ -423,6 +423,9 @@ def _candidates(bits: int, least: float, per_component: bool):
                 to.append(part)
         none = np.zeros(0, np.int64)
         x, y, means = (np.concatenate(c) if c else none for c in (x, y, means))
+        if not per_component:  # a pair once, whichever row went on with the other
+            once = np.unique(np.stack([np.maximum(rows.doc[x], rows.doc[y]), np.minimum(rows.doc[x], rows.doc[y])]), axis=1, return_index=True)[1]
+            x, y, means = x[once], y[once], means[once]
         far = rows.apart(x, y).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [pa.array(rows.doc[x]), pa.array(rows.doc[y]), pa.array(rows.label[y]), pa.array(far), pa.array(means.astype(np.float64))], names=["a", "b", "other", "far", "mean"]
@@ -448,10 +451,10 @@ def _close(rows: list[tuple[DataFrame, range]], width: int, segments: int, bits:
     schema = f"key long, {_NEAR_SCHEMA}"
     spread = reduce(DataFrame.union, [r.select(*_NEAR_COLUMNS).mapInArrow(tidied(_spread(width, segments, parts)), schema) for r, parts in rows])
     met = spread.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(_candidates(bits, least, per_component)), "a long, b long, other long, far int, mean double")
-    # over all its buckets a row goes on with one central neighbour, in the second round with a nearest one too, of each other component
-    central = F.min_by("b", F.struct("mean", "far", "b")).alias("central")
-    kept = met.groupBy("a", "other").agg(central, F.min_by("b", F.struct("far", "mean", "b")).alias("near")) if per_component else met.groupBy("a").agg(central)
-    pairs = kept.select("a", F.explode(F.array("central", "near") if per_component else F.array("central")).alias("b"))
+    pairs = met
+    if per_component:  # over all its buckets a row goes on with the most central and the nearest of each other component
+        central, near = F.min_by("b", F.struct("mean", "far", "b")), F.min_by("b", F.struct("far", "mean", "b"))
+        pairs = met.groupBy("a", "other").agg(F.array(central, near).alias("both")).select("a", F.explode("both").alias("b"))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
