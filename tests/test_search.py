@@ -131,6 +131,17 @@ def test_longest_phrase_wins(spark):
     assert out["2"]["brand"] == "Acme" and out["3"]["category"] is None
 
 
+def test_understanding_broadcasts_no_queries(spark, tmp_path):
+    # repeated texts make a small file of many queries, which Spark takes for a small table
+    spark.range(20_000).selectExpr("cast(id as string) query_id", "'Acme coffee table in the old hall' query").write.parquet(str(tmp_path / "q"))
+    spark.range(5_000).selectExpr("'brand' kind", "if(id = 0, 'acme', md5(cast(id as string))) phrase", "phrase value").write.parquet(str(tmp_path / "d"))
+    queries, words = spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "d"))
+    found = search.query_intent(queries, words)
+    joins = [j for j in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in j]
+    assert joins and not any("Broadcast" in j and ("query_id" in j or "BuildLeft" in j) for j in joins)
+    assert found.where("brand = 'acme' and rewritten_query = 'coffee table in the old hall'").count() == 20_000
+
+
 def hits_of(spark, ids):
     return spark.createDataFrame([("q", p, i + 1, 1.0 - i / 10) for i, p in enumerate(ids)], HIT)
 
