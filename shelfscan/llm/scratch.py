@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfscan.session import scratch_path
-
-
-#: bytes of one Arrow batch, where the session does not say: a worker holds a batch several times over
-BATCH_BYTES = "8m"
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+from shelfscan.session import in_small_batches, scratch_path, tidied
 
-
-def in_small_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, whose session hands rows to Python tasks in batches of ``BATCH_BYTES``, unless it sets a size itself."""
-    conf = docs.sparkSession.conf
-    if _BATCH_BYTES not in conf.getAll:
-        conf.set(_BATCH_BYTES, BATCH_BYTES)
-    return docs
+__all__ = ["in_small_batches", "other_columns", "rows_again", "tidied", "utf8", "written"]
 
 
 def other_columns(docs: DataFrame) -> tuple[Column, str]:
@@ -50,31 +35,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _give_back() -> None:
-    """Return freed memory to the system, where the allocator has a call for it."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError, TypeError):
-        pass
-
-
-def tidied(run):
-    """``run``, a function for ``mapInArrow``, after which the reused worker holds no more than it needs.
-
-    An executor's workers go from stage to stage; without this each would keep
-    what its largest task has needed.
-    """
-
-    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            _give_back()
-
-    return tidy
-
-
 def utf8(column) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8; null is empty."""
     return [x or b"" for x in column.cast("binary").to_pylist()]
