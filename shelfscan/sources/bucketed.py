@@ -23,7 +23,12 @@ class BucketedTable:
         self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder, schema, key, buckets
 
     def bucket_of(self, key: Column | None = None) -> Column:
-        return F.pmod(F.xxhash64(F.col(self.key) if key is None else key), F.lit(self.buckets)).cast("int")
+        """The hash by which Spark deals rows out, so rows that ``dealt`` has dealt by the key lie with their bucket's."""
+        return F.pmod(F.hash(F.col(self.key) if key is None else key), F.lit(self.buckets)).cast("int")
+
+    def dealt(self, rows: DataFrame, shares: int = 1) -> DataFrame:
+        """``rows`` by the key in ``shares`` partitions a bucket, none of which holds rows of two buckets."""
+        return rows.repartition(self.buckets * shares, self.key)
 
     def data_path(self, version: int) -> str:
         return os.path.join(self.folder, "data", f"version={version}")
@@ -60,13 +65,16 @@ class BucketedTable:
         paths = [os.path.join(self.data_path(v), f"bucket={b}") for b, v in self.live(version).items() if only is None or b in only]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def replace(self, rows: DataFrame, touched: list[int], version: int) -> None:
-        """Version ``version``: ``rows`` in place of the touched buckets' rows, everything else as it lies."""
+    def replace(self, rows: DataFrame, touched: list[int], version: int, in_place: bool = False) -> None:
+        """Version ``version``: ``rows`` in place of the touched buckets' rows, everything else as it lies.
+
+        ``in_place`` says that the rows lie as ``dealt`` has dealt them; they are written without another shuffle.
+        """
         live = {b: v for b, v in self.live(self.latest(before=version)).items() if b not in touched}
         path = self.data_path(version)
         own = rows.withColumn("bucket", self.bucket_of())
-        # a bucket's rows meet in one task, so it is one file
-        own.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+        # else a bucket's rows meet in one task, so it is one file
+        (own if in_place else own.repartition("bucket")).write.partitionBy("bucket").mode("overwrite").parquet(path)
         written = self.spark.read.schema(f"{self.schema}, bucket int").parquet(path).select("bucket").distinct().collect()
         live |= {r["bucket"]: version for r in written}
         # a row of bucket -1 keeps the version of a table that has become empty
