@@ -21,6 +21,7 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscan.llm.scratch import written
+from shelfscan.llm.scratch import in_small_batches, tidied, utf8, written
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: documents of a language that hold a kept term
@@ -44,25 +45,67 @@ BLOCK = 1 << BLOCK_BITS
 #: sources of a language whose counts lead the order of its vocabulary
 HEADS = 6
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: bytes of a text that are split at once, and terms that a task counts before it hands them on
+PIECE = 1 << 20
+HELD = 300_000
+
+#: a text's bytes as ``TERM`` sees them: A-Z lower-cased, what no term holds as a space
+_FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
 def _named(docs: DataFrame, *more) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", *more)])
 
 
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in pieces of its order, so that no list grows with a long text."""
+    folded = text.translate(_FOLD)
+    at = 0
+    while at < len(folded):
+        end = folded.find(b" ", at + PIECE)
+        end = len(folded) if end < 0 else end
+        yield folded[at:end].split()
+        at = end
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) of the task's rows; a term comes again each time ``HELD`` terms were counted."""
+    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in groups.items():
+            if n:
+                terms = pa.array(n.keys(), pa.binary()).cast(pa.string())
+                rows = np.fromiter(map(docs.__getitem__, n), np.int64, len(n))
+                columns = [pa.repeat(lang, len(n)), pa.repeat(source, len(n)), terms, pa.array(np.fromiter(n.values(), np.int64, len(n))), pa.array(rows)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+        groups.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), utf8(batch.column("text"))):
+            n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+            before, seen = len(n), set()
+            for words in _words(text.decode("utf-8", "replace").encode()):  # broken UTF-8 reads as Spark reads it
+                n.update(words)
+                seen.update(words)
+            docs.update(seen)
+            held += 1 + len(n) - before
+            if held > HELD:
+                yield from out()
+                held = 0
+    yield from out()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and rows that hold the term.
 
-    A row's words are sorted, so a word counts its row where it differs from
-    the one before; counts are summed in the map tasks before any shuffle.
+    Words are counted where they are read, so a task hands Spark a row per term
+    of a group and not one per word.
     """
-    folded = F.translate("text", _UPPER, _LOWER)
-    words = _named(docs, "text").select("lang", "source", F.sort_array(F.regexp_extract_all(folded, F.lit(TERM), F.lit(0))).alias("words"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.col("words"))
-    pairs = words.select("lang", "source", F.inline(F.arrays_zip(F.col("words").alias("term"), before.alias("before")))).where("term is not null")
-    new = F.when(F.col("term").eqNullSafe(F.col("before")), 0).otherwise(1)
-    return pairs.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum(new).alias("docs"))
+    rows = in_small_batches(_named(docs, "text"))
+    counted = rows.mapInArrow(tidied(_counted), "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def ordered_vocabulary(counts: DataFrame, least_docs: int = LEAST_DOCS, heads: int = HEADS) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -142,6 +143,34 @@ def test_divergence_cases(spark):
     assert divergence.audit(docs.where("false")).count() == 0
 
 
+def test_words_are_counted_before_spark_sees_them(spark, monkeypatch):
+    """A task gives a row per term of a group, whatever the number of words; pieces and hand-overs change no count."""
+    rows = [("Ab aB\x00c\x7fé日 É[z]9`ab@" * 50 + "tail", "en", "s"), ("ab", "en", "s"), (None, "en", "s"), ("ab", "de", "s")]
+    rows += [(" ".join(letters(i % 40) for i in range(j, j + 30)), "en", "s") for j in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["text", "lang", "source"])
+    want = Counter()
+    for text, lang, source in rows:
+        words = re.findall(divergence.TERM, (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        for term, n in Counter(words).items():
+            want[lang, source, term, "n"] += n
+            want[lang, source, term, "docs"] += 1
+
+    def totals(counted):
+        got = Counter()
+        for r in counted:
+            got[r["lang"], r["source"], r["term"], "n"] += r["n"]
+            got[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+        return got
+
+    whole = [r for b in divergence._counted(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert totals(whole) == want and len(whole) == len(want) // 2
+    monkeypatch.setattr(divergence, "PIECE", 7)
+    monkeypatch.setattr(divergence, "HELD", 20)
+    parts = [r for b in divergence._counted(iter([batch])) for r in b.to_pylist()]
+    assert totals(parts) == want and len(parts) > len(whole)
+    assert totals(divergence.term_counts(spark.createDataFrame(rows, "text string, lang string, source string")).collect()) == want
+
+
 def test_divergence_over_many_blocks(spark):
     """More terms than a block holds, counts far past a double's whole numbers."""
     rows = [(f"{letters(i // 30)} " * (1 + (i // 30) % 3), "en", f"s{i % 4}") for i in range(60 * 30)]
