@@ -23,11 +23,15 @@ as wide as the counted rows need for buckets of a constant size, and wider
 segments are more of them, so that the recall stays. Inside a bucket a row meets
 another only if the sizes of their word sets, their fingerprints and their
 sketches (one bit of the least hash in each of 64 classes) allow the
-similarity. First, by half of the segments, each row goes on with the most
-central it meets (in a crowded bucket with the head of its crowd), and the pair
-is verified on the whole sets. What this connects needs no more comparing: in a
-second round, by all segments, a row goes on with the most central and the
-nearest of each other component it meets.
+similarity, and if the parities of 256 classes of the sets do: these differ in
+no more bits than the sets in members, so they never part similar rows. A pair
+that meets in several buckets counts in the first of them. First, by half of the
+segments, each row goes on with the one that most rows of a bucket meet (in a
+crowded bucket with the head of its crowd), over all its buckets with the
+greatest of these and the nearest, and the pair is verified on the whole sets.
+What this connects needs no more comparing: a second round does the same by all
+segments with rows of other components only. In the last round whatever still
+meets across components is verified, every pair: no candidate is left out.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -262,8 +266,11 @@ RECALL = 0.985
 #: rows of a bucket beyond which rows meet heads instead of each other
 CROWD = 2048
 
-_NEAR_COLUMNS = ("doc_id", "fp", "sketch", "size", "label")
-_NEAR_SCHEMA = "doc_id long, fp long, sketch long, size int, label long"
+#: parity words of 64 classes each
+ODDS = ("odd0", "odd1", "odd2", "odd3")
+
+_NEAR_COLUMNS = ("doc_id", "fp", "sketch", "size", "label", *ODDS)
+_NEAR_SCHEMA = "doc_id long, fp long, sketch long, size int, label long, " + ", ".join(f"{c} long" for c in ODDS)
 
 
 def planned_segments(rows: int) -> tuple[int, int]:
@@ -299,12 +306,13 @@ def _spread(width: int, segments: int, parts: range):
 
 
 class _Rows:
-    """Columns of a bucket's rows, and how far rows are from each other."""
+    """Columns of whole buckets' rows, and how far rows are from each other."""
 
-    def __init__(self, columns: list[np.ndarray], bits: int, least: float):
-        self.doc, fp, sketch, self.size, self.label = columns
-        self.fp, self.sketch = fp.view(np.uint64), sketch.view(np.uint64)
-        self.bits, self.least = bits, least
+    def __init__(self, key: np.ndarray, columns: list[np.ndarray], width: int, segments: int, bits: int, least: float):
+        self.doc, fp, sketch, self.size, self.label, *odds = columns
+        self.fp, self.sketch, self.odds = fp.view(np.uint64), sketch.view(np.uint64), [o.view(np.uint64) for o in odds]
+        self.part, self.bit = key >> 54, key >> 48 & 63
+        self.width, self.segments, self.bits, self.least = width, segments, bits, least
 
     def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Bits in which the sketches differ, 255 where the rows cannot be similar or are of one component; x and y broadcast."""
@@ -312,49 +320,64 @@ class _Rows:
         size_x, size_y = self.size[x], self.size[y]
         ok = (np.bitwise_count(self.fp[x] ^ self.fp[y]) <= self.bits) & (far <= SKETCH_BITS) & (self.label[x] != self.label[y])
         ok &= np.minimum(size_x, size_y) >= self.least * np.maximum(size_x, size_y)
-        return np.where(ok, far, np.uint8(255))
-
-
-def _best_of(rows: _Rows, own: np.ndarray, all_rows: np.ndarray, per_component: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, neighbour, the neighbour's mean distance to its own): for each row of ``own`` its most central neighbour among ``all_rows``; with ``per_component`` that and the nearest of each other component.
-
-    The most central is the one that is nearest to its own neighbours on the
-    whole: the text that copies were made from is similar to all of them, when
-    they are hardly similar to each other.
+        far = np.where(ok, far, np.uint8(255))
+        at = np.nonzero(ok)
+        x, y = (np.broadcast_to(rows, ok.shape)[at] for rows in (x, y))
+        unlike = sum(np.bitwise_count(o[x] ^ o[y]).astype(np.int64) for o in self.odds)
+        # of so many members in all, similar sets differ in no more than this many
+        allowed = (1 - self.least) / (1 + self.least) * (self.size[x].astype(np.int64) + self.size[y]) + 1e-6
+        far[at] = np.where(unlike <= allowed, far[at], np.uint8(255))
+        return far
+
+    def first(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the rows of a pair, both in one bucket, meet in no earlier one."""
+        unlike = self.fp[x] ^ self.fp[y]
+        part = self.part[x]
+        out = np.ones(len(x), bool)
+        for p in range(self.segments):
+            own = _segment(unlike, p, self.width, self.segments)
+            out &= ~((part > p) & (np.bitwise_count(own) <= 1)) & ~((part == p) & (own == 0) & (self.bit[x] > 0))
+        return out
+
+
+def _best_of(rows: _Rows, own: np.ndarray, all_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour, rows that the neighbour meets, its mean distance to them) for each row of ``own`` that meets any of ``all_rows``; then (row, one of ``own``) for the others that are met.
+
+    A row's neighbour is the one that meets the most, of these the nearest to
+    its own neighbours: the text that copies were made from is similar to all
+    of them, when they are hardly similar to each other.
     """
-    if per_component:
-        all_rows = all_rows[np.argsort(rows.label[all_rows], kind="stable")]
-        names = rows.label[all_rows]
-        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-    else:
-        starts = np.zeros(1, np.int64)
     step = max(1, 1_000_000 // len(all_rows))
     parts = [own[at : at + step] for at in range(0, len(own), step)]
-    sums, counts = np.zeros(len(all_rows)), np.zeros(len(all_rows))
+    sums, counts = np.zeros(len(all_rows)), np.zeros(len(all_rows), np.int64)
+    met_by = np.full(len(all_rows), -1)
     for some in parts:
         far = rows.apart(some[:, None], all_rows[None, :])
-        sums += np.where(far < 255, far, 0).sum(axis=0)
-        counts += (far < 255).sum(axis=0)
+        near = far < 255
+        sums += np.where(near, far, 0).sum(axis=0)
+        counts += near.sum(axis=0)
+        new = (met_by < 0) & near.any(axis=0)
+        met_by[new] = some[near[:, new].argmax(axis=0)]
     mean = sums / np.maximum(counts, 1)
-    central = np.argsort(np.argsort(mean, kind="stable"), kind="stable")
-    place = np.arange(len(all_rows), dtype=np.int64)
-    none = np.int64(1) << 62
-    left, right, means = [own[:0]], [own[:0]], [mean[:0]]
+    central = np.empty(len(all_rows), np.int64)
+    central[np.lexsort((rows.doc[all_rows], mean, -counts))] = np.arange(len(all_rows))
+    none = len(all_rows)
+    left, at = [], []
     for some in parts:
-        far = rows.apart(some[:, None], all_rows[None, :]).astype(np.int64)
-        for order in (far, np.broadcast_to(central[None, :], far.shape))[0 if per_component else 1 :]:
-            least = np.minimum.reduceat(np.where(far < 255, order << 32 | place[None, :], none), starts, axis=1)
-            x, k = np.nonzero(least < none)
-            at = least[x, k] & 0xFFFFFFFF
-            left.append(some[x])
-            right.append(all_rows[at])
-            means.append(mean[at])
-    return np.concatenate(left), np.concatenate(right), np.concatenate(means)
-
-
-def _to_heads(rows: _Rows, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, head, mean distance to it) of a crowded bucket: the row in the middle of a crowd heads all that can be similar to it, then the rest goes on."""
-    left, right, means = [own[:0]], [own[:0]], [np.zeros(0)]
+        order = np.where(rows.apart(some[:, None], all_rows[None, :]) < 255, central[None, :], none)
+        best = order.argmin(axis=1)
+        meets = order[np.arange(len(some)), best] < none
+        left.append(some[meets])
+        at.append(best[meets])
+    left, at = np.concatenate(left), np.concatenate(at)
+    others = (met_by >= 0) & ~np.isin(all_rows, own)
+    return left, all_rows[at], counts[at], mean[at], all_rows[others], met_by[others]
+
+
+def _to_heads(rows: _Rows, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, head, rows of the head, mean distance to it) of a crowded bucket: the row in the middle of a crowd heads all that can be similar to it, then the rest goes on; then the rows that found no head."""
+    found = [[own[:0]], [own[:0]], [own[:0]], [np.zeros(0)]]
+    whole = own
     while len(own) > CROWD:
         near = own[rows.apart(own[:1], own) < 255]
         if not len(near):
@@ -363,73 +386,103 @@ def _to_heads(rows: _Rows, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         ones = np.unpackbits(rows.sketch[near].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
         middle = np.frombuffer(np.packbits(2 * ones > len(near)).tobytes(), ">u8").astype(np.uint64)[0]
         head = near[np.bitwise_count(rows.sketch[near] ^ middle).argmin()]
-        members = own[rows.apart(np.array([head]), own) < 255]
-        left.append(members)
-        right.append(np.full(len(members), head))
-        means.append(np.full(len(members), rows.apart(np.array([head]), members).mean() if len(members) else 0.0))
+        far = rows.apart(np.array([head]), own)
+        members, far = own[far < 255], far[far < 255]
+        for to, part in zip(found, (members, np.full(len(members), head), np.full(len(members), len(members)), np.full(len(members), far.mean() if len(members) else 0.0))):
+            to.append(part)
         gone = np.isin(own, members) | (own == head)
         gone[0] = True
         own = own[~gone]
     if len(own):
-        for to, found in zip((left, right, means), _best_of(rows, own, own, False)):
-            to.append(found)
-    return np.concatenate(left), np.concatenate(right), np.concatenate(means)
+        for to, part in zip(found, _best_of(rows, own, own)):
+            to.append(part)
+    left, right, counts, means = map(np.concatenate, found)
+    return left, right, counts, means, whole[~np.isin(whole, left)]
+
 
+#: what a row goes on with in a bucket: its neighbour, its neighbour in another component, or all in others
+_HUB, _OTHER, _REST = "hub", "other", "rest"
 
-def _candidates(bits: int, least: float, per_component: bool):
-    """(a, b, other, far, mean): candidates of row a inside whole buckets; rows come sorted by key, a bucket may span batches.
 
-    ``other`` is b's component, ``far`` the distance, ``mean`` b's own mean
-    distance in the bucket: the less, the more central it is.
+def _candidates(width: int, segments: int, bits: int, least: float, how: str):
+    """(a, b, met, far, mean): candidates of row a inside whole buckets; rows come sorted by key, a bucket may span batches.
+
+    ``met`` counts the rows that b meets in the bucket, ``far`` is the distance,
+    ``mean`` b's own mean distance. A pair is given in the first bucket of its
+    rows, so every row that meets any gives one. b is a for a row that meets
+    others and goes on with none.
     """
 
-    def out(key, columns):
-        rows = _Rows(columns, bits, least)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        size_of = np.repeat(sizes, sizes)
-        small = size_of <= SMALL
-        x, y, far, means = [], [], [], []
+    def batch_of(rows: _Rows, x, y, met, means) -> pa.RecordBatch:
+        far = np.bitwise_count(rows.sketch[x] ^ rows.sketch[y]).astype(np.int32)
+        columns = [rows.doc[x], rows.doc[y], met.astype(np.int64), far, means.astype(np.float64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "met", "far", "mean"])
+
+    def small_pairs(key: np.ndarray, rows: _Rows, small: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y, far = [key[:0]], [key[:0]], [np.zeros(0, np.uint8)]
         for step in range(1, SMALL):
             i = np.flatnonzero(small[:-step] & (size_of[:-step] > step) & (key[:-step] == key[step:]))
             if not len(i):
                 break
             own = rows.apart(i, i + step)
-            i, own = i[own < 255], own[own < 255]
-            x += [i, i + step]
-            y += [i + step, i]
-            far += [own, own]
-        if x:
-            x, y, far = map(np.concatenate, (x, y, far))
-            counts = np.bincount(y, minlength=len(key))
-            mean = (np.bincount(y, far, minlength=len(key)) / np.maximum(counts, 1))[y]
-            group = [x, rows.label[y]] if per_component else [x]
-            picked = []
-            for best in (far, mean) if per_component else (mean,):
-                order = np.lexsort((y, best, *reversed(group)))
-                same = [g[order][1:] == g[order][:-1] for g in group]
-                first = np.r_[True, ~np.logical_and.reduce(same)] if len(x) else np.zeros(0, bool)
-                picked.append(order[first])
-            picked = np.concatenate(picked)
-            x, y, means = [x[picked]], [y[picked]], [mean[picked]]
-        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            own = np.arange(s, s + n)
-            if per_component:
-                names, counts = np.unique(rows.label[own], return_counts=True)
-                found = _best_of(rows, own[rows.label[own] != names[counts.argmax()]], own, True) if len(names) > 1 else (own[:0], own[:0], np.zeros(0))
+            x.append(i[own < 255])
+            y.append(x[-1] + step)
+            far.append(own[own < 255])
+        return np.concatenate(x), np.concatenate(y), np.concatenate(far)
+
+    def rest_of(rows: _Rows, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every pair of a large bucket, each once."""
+        names, place, counts = np.unique(rows.label[own], return_inverse=True, return_counts=True)
+        largest = place == counts.argmax()
+        order = np.concatenate([own[~largest], own[largest]])
+        asking = len(own) - counts.max()
+        step = max(1, 1_000_000 // len(own))
+        for at in range(0, asking, step):
+            some = order[at : min(at + step, asking)]
+            i, j = np.nonzero(rows.apart(some[:, None], order[None, at:]) < 255)
+            i, j = i[j > i], j[j > i]
+            yield some[i], order[at + j]
+
+    def out(key, columns):
+        rows = _Rows(key, columns, width, segments, bits, least)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        size_of = np.repeat(sizes, sizes)
+        x, y, far = small_pairs(key, rows, size_of <= SMALL, size_of)
+        large = [np.arange(s, s + n) for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist())]
+        if how == _REST:
+            for x, y in chain([(x, y)], *(rest_of(rows, own) for own in large)):
+                new = rows.first(x, y)
+                if new.any():
+                    yield batch_of(rows, x[new], y[new], np.zeros(new.sum()), np.zeros(new.sum()))
+            return
+        x, y, far = np.r_[x, y], np.r_[y, x], np.r_[far, far]
+        met = np.bincount(y, minlength=len(key))
+        mean = np.bincount(y, far, minlength=len(key)) / np.maximum(met, 1)
+        order = np.lexsort((rows.doc[y], mean[y], -met[y], x))
+        picked = order[np.r_[True, x[order][1:] != x[order][:-1]]] if len(x) else order
+        found = [[x[picked]], [y[picked]], [met[y[picked]]], [mean[y[picked]]]]
+        alone = []
+        for own in large:
+            if how == _HUB and len(own) > CROWD:
+                *best, marked = _to_heads(rows, own)
+                alone.append(marked)
+            elif how == _HUB:
+                best = _best_of(rows, own, own)[:4]
             else:
-                found = _to_heads(rows, own)
-            for to, part in zip((x, y, means), found):
+                names, place, counts = np.unique(rows.label[own], return_inverse=True, return_counts=True)
+                if len(names) == 1:
+                    continue
+                *best, marked, by = _best_of(rows, own[place != counts.argmax()], own)
+                alone.append(marked[rows.first(marked, by)])
+            for to, part in zip(found, best):
                 to.append(part)
-        none = np.zeros(0, np.int64)
-        x, y, means = (np.concatenate(c) if c else none for c in (x, y, means))
-        if not per_component:  # a pair once, whichever row went on with the other
-            once = np.unique(np.stack([np.maximum(rows.doc[x], rows.doc[y]), np.minimum(rows.doc[x], rows.doc[y])]), axis=1, return_index=True)[1]
-            x, y, means = x[once], y[once], means[once]
-        far = rows.apart(x, y).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows.doc[x]), pa.array(rows.doc[y]), pa.array(rows.label[y]), pa.array(far), pa.array(means.astype(np.float64))], names=["a", "b", "other", "far", "mean"]
-        )
+        x, y, met, means = map(np.concatenate, found)
+        new = rows.first(x, y)
+        yield batch_of(rows, x[new], y[new], met[new], means[new])
+        if alone:
+            alone = np.unique(np.concatenate(alone))
+            yield batch_of(rows, alone, alone, np.zeros(len(alone)), np.zeros(len(alone)))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -438,23 +491,24 @@ def _candidates(bits: int, least: float, per_component: bool):
             held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
             done = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
             if done:
-                yield out(held[0][:done], [c[:done] for c in held[1:]])
+                yield from out(held[0][:done], [c[:done] for c in held[1:]])
                 held = [c[done:] for c in held]
         if held is not None and len(held[0]):
-            yield out(held[0], held[1:])
+            yield from out(held[0], held[1:])
 
     return candidates
 
 
-def _close(rows: list[tuple[DataFrame, range]], width: int, segments: int, bits: int, least: float, per_component: bool) -> DataFrame:
-    """(a, b) of candidates; ``rows`` are tables of rows, each with the parts by which they are to meet."""
+def _close(rows: list[tuple[DataFrame, range]], width: int, segments: int, bits: int, least: float, how: str) -> DataFrame:
+    """(a, b) of candidates; ``rows`` are tables of rows, each with the parts by which they are to meet. b is a for a row that meets others and goes on with none."""
     schema = f"key long, {_NEAR_SCHEMA}"
     spread = reduce(DataFrame.union, [r.select(*_NEAR_COLUMNS).mapInArrow(tidied(_spread(width, segments, parts)), schema) for r, parts in rows])
-    met = spread.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(_candidates(bits, least, per_component)), "a long, b long, other long, far int, mean double")
-    pairs = met
-    if per_component:  # over all its buckets a row goes on with the most central and the nearest of each other component
-        central, near = F.min_by("b", F.struct("mean", "far", "b")), F.min_by("b", F.struct("far", "mean", "b"))
-        pairs = met.groupBy("a", "other").agg(F.array(central, near).alias("both")).select("a", F.explode("both").alias("b"))
+    sorted_rows = spread.repartition("key").sortWithinPartitions("key")
+    pairs = sorted_rows.mapInArrow(tidied(_candidates(width, segments, bits, least, how)), "a long, b long, met long, far int, mean double")
+    if how != _REST:  # over all its buckets a row goes on with the one that meets the most, and with the nearest
+        alone = F.col("a") == F.col("b")
+        most, near = F.min_by("b", F.struct(alone, -F.col("met"), "mean", "b")), F.min_by("b", F.struct(alone, "far", "mean", "b"))
+        pairs = pairs.groupBy("a").agg(F.array(most, near).alias("both")).select("a", F.explode("both").alias("b"))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -472,18 +526,25 @@ def sketch(own: np.ndarray) -> int:
     return int.from_bytes(np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).tobytes(), "big")
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """For each of 256 classes of the set whether its members are odd in number; sets differ in at least as many members as these in bits."""
+    counts = np.bincount((own * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(56)).astype(np.int64), minlength=64 * len(ODDS))
+    return np.packbits(counts & 1 > 0).view(np.uint64)
+
+
 def _near_prints(shingle: int, words: int):
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in utf8(batch.column("text")):
                 own = word_set(text, words)
-                rows.append((fingerprint(text, shingle), sketch(own), len(own)))
-            fp, sketches, sizes = zip(*rows) if rows else ((), (), ())
+                rows.append((fingerprint(text, shingle), sketch(own), len(own), parities(own)))
+            fp, sketches, sizes, odds = zip(*rows) if rows else ((), (), (), ())
+            odds = np.array(odds, np.uint64).reshape(-1, len(ODDS)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(sketches, np.uint64).view(np.int64)),
-                    pa.array(np.array(sizes, np.int32)), batch.column("doc_id"),
+                    pa.array(np.array(sizes, np.int32)), batch.column("doc_id"), *(pa.array(odds[:, k]) for k in range(len(ODDS))),
                 ],
                 names=list(_NEAR_COLUMNS),
             )
@@ -523,16 +584,26 @@ def similar_links(docs: DataFrame, words: int = WORDS, least: float = LEAST, bit
         ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
         return written(texts.join(ids, "doc_id", "left_semi").mapInArrow(tidied(_sets(words)), "doc_id long, own array<long>"), "near-sets")
 
-    first = written(_close([(prints, early)], width, segments, bits, least, per_component=False), "near-first")
-    found = written(_similar(first, sets_of(first), least), "near-found")
-    met = first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct().withColumn("met", F.lit(True))
-    roots = components(found).withColumnRenamed("node", "doc_id")
-    labelled = prints.drop("label").join(roots, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).join(met, "doc_id", "left")
-    labelled = written(labelled.select(*_NEAR_COLUMNS, F.coalesce("met", F.lit(False)).alias("met")), "near-labelled")
+    def labelled(met: DataFrame, links: DataFrame) -> DataFrame:
+        roots = components(links).withColumnRenamed("node", "doc_id")
+        ids = met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct().withColumn("met", F.lit(True))
+        joined = prints.drop("label").join(roots, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).join(ids, "doc_id", "left")
+        return written(joined.select(*_NEAR_COLUMNS, F.coalesce("met", F.lit(False)).alias("met")), "near-labelled")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("a <> b")
+        return written(_similar(pairs, sets_of(pairs), least), "near-found")
+
+    first = written(_close([(prints, early)], width, segments, bits, least, _HUB), "near-first")
+    found = verified(first)
+    rows = labelled(first, found)
     # who met nobody by the early parts has nobody there
-    second = _close([(labelled, late), (labelled.where("met"), early)], width, segments, bits, least, per_component=True)
-    second = written(second.join(first, ["a", "b"], "left_anti"), "near-second")
-    return found.union(_similar(second, sets_of(second), least))
+    second = written(_close([(rows, late), (rows.where("met"), early)], width, segments, bits, least, _OTHER), "near-second")
+    found = found.union(verified(second.join(first, ["a", "b"], "left_anti")))
+    # nor has who met nobody of another component by all parts
+    rows = labelled(second, found).where("met")
+    rest = written(_close([(rows, range(segments))], width, segments, bits, least, _REST), "near-rest")
+    return found.union(verified(rest.join(first.union(second), ["a", "b"], "left_anti")))
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS, least: float = LEAST, bits: int = NEAR_BITS, shingle: int = SHINGLE) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,80 @@ def test_odd_rows(spark):
     assert kept_rows.columns == table.columns
     assert sorted((str(r["doc_id"]), r["label"]) for r in kept_rows.collect()) == [("1", 1), ("1", 2), ("3", 4), ("5", 6), ("6", 7), ("None", 8)]
     assert simhash.drop_similar(table.where("false")).count() == 0
+
+
+def copies_without_their_text(rows):
+    """Copies of one text that is not there; about half are similar to others, and to few."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(rows):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4, 5])):
+            own[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(own)))
+    return texts
+
+
+def test_no_candidate_is_left_out(spark):
+    """Rows of one bucket that can be similar by fingerprint and sketch, and are, end up connected; whatever a row went on with before."""
+    texts = copies_without_their_text(700)
+    links = [(r["a"], r["b"]) for r in simhash.similar_links(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    least = brute.smallest_reachable([i for i, _ in texts], links)
+    width, segments = simhash.planned_segments(len(texts))
+    prints = np.array([simhash.fingerprint(t.encode()) for _, t in texts], np.uint64)
+    sketches = [simhash.sketch(simhash.word_set(t.encode(), simhash.WORDS)) for _, t in texts]
+    parts = [simhash._segment(prints, p, width, segments) for p in range(segments)]
+    met = [
+        (a, b) for a, b in brute.similar_pairs(texts)
+        if any((int(p[a]) ^ int(p[b])).bit_count() <= 1 for p in parts)
+        and (int(prints[a]) ^ int(prints[b])).bit_count() <= simhash.NEAR_BITS and (sketches[a] ^ sketches[b]).bit_count() <= simhash.SKETCH_BITS
+    ]
+    assert len(met) > 1000 and not [(a, b) for a, b in met if least[a] != least[b]]
+    assert set(map(frozenset, links)) <= set(map(frozenset, brute.similar_pairs(texts)))
+
+
+def test_rows_of_a_large_group_meet_few(spark, monkeypatch):
+    """What leaves the buckets in all rounds, for a group that stays in many parts."""
+    given, of = spark.sparkContext.accumulator(0), simhash._candidates
+
+    def counted(*args):
+        candidates = of(*args)
+
+        def count(batches):
+            for batch in candidates(batches):
+                given.add(batch.num_rows)
+                yield batch
+
+        return count
+
+    monkeypatch.setattr(simhash, "_candidates", counted)
+    texts = copies_without_their_text(700)
+    simhash.similar_links(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert given.value < 10 * len(texts)
+
+
+@pytest.mark.parametrize("rows", [40, 150])
+def test_each_pair_of_the_rest_comes_once(rows):
+    """All buckets of rows in a few components: small and large ones, batches that cut them."""
+    rng = np.random.default_rng(3)
+    fp = np.uint64(0x0123456789ABCDEF) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (rows, 3)).astype(np.uint64), axis=1)
+    label = rng.integers(0, 5, rows)
+    zero = np.zeros(rows, np.int64)
+    columns = [np.arange(rows), fp.view(np.int64), zero, np.full(rows, 50, np.int32), label, *[zero] * len(simhash.ODDS)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(simhash._NEAR_COLUMNS))
+    spread = pa.Table.from_batches(simhash._spread(12, 6, range(6))(iter([batch]))).sort_by("key")
+    got = [(r["a"], r["b"]) for b in simhash._candidates(12, 6, 12, 0.8, "rest")(iter(spread.to_batches(max_chunksize=100))) for r in b.to_pylist()]
+    want = {(a, b) for a in range(rows) for b in range(a) if label[a] != label[b]}
+    parts = [simhash._segment(fp, p, 12, 6) for p in range(6)]
+    want = {(a, b) for a, b in want if any(int(p[a] ^ p[b]).bit_count() <= 1 for p in parts)}
+    assert len(got) == len(set(got)) and {(max(p), min(p)) for p in got} == want and len(got) == len(want)
+
+
+def test_parities_part_no_similar_sets():
+    rng = np.random.default_rng(8)
+    for size in (1, 30, 120, 5000):
+        own = rng.integers(0, 2**63, size).astype(np.uint64)
+        other = np.unique(np.r_[own[size // 9 :], rng.integers(0, 2**63, size // 10).astype(np.uint64)])
+        unlike = np.bitwise_count(simhash.parities(own) ^ simhash.parities(other)).sum()
+        assert unlike <= len(np.setxor1d(own, other)) and simhash.parities(own[:0]).sum() == 0
